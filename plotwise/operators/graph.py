@@ -41,8 +41,7 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         loops = current.where("u = v")
-        # A node that is its own minimum keeps no edge in the large star other than those its neighbours send.
-        large = large.where("u <> v").distinct()
+        # Repeated edges do no harm here; the distinct() at the end of a round keeps their number bounded.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
