@@ -3,14 +3,14 @@
 1. Each text becomes its set of distinct word shingles, a MinHash signature
    and ``bands`` band keys. Texts with equal sets form one class.
 2. Band keys that several classes share make candidates. A member of a band
-   bucket is first compared with one member of the bucket only.
+   bucket is first compared with the bucket's centre only.
 3. Signatures are compared a batch at a time. With m of n rows equal, the
    posterior of the similarity under a flat prior is Beta(m + 1, n - m + 1); a
    pair is dropped once P(similarity >= threshold) falls below ``miss``.
 4. What survives is checked exactly, on the full shingle sets.
-5. Where members of one bucket still lie in different components, all pairs
-   across these components go through steps 3 and 4. Pairs within a component
-   can't change it and are never made.
+5. Where members of one bucket still lie in different components, pairs across
+   these go through steps 3 and 4, unless shingles that nobody else has rule
+   them out. Pairs within a component can't change it and are never made.
 """
 
 from __future__ import annotations
@@ -133,6 +133,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold_percent:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _shareable(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(rep, size, most): how many shingles each wanted document has, and how many of them another wanted document has too."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys, sets = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), [shingle_set(data, width) for data in texts(part.column(1))]
+            if sets:
+                sizes = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["rep", "shingle", "size"])
+
+    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "rep long, shingle long, size long")
+    seen = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    alone = seen.where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
+    sizes = rows.groupBy("rep").agg(F.max("size").alias("size"))
+    return sizes.join(alone, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int = 80, bands: int = 48, rows: int = 7, miss: float = 1e-6, step: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the component of near-duplicates of each document.
 
@@ -153,28 +170,34 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     classes = cut(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks"), F.first("keys").alias("keys")))
     reps = classes.select("class", "n_shingles", "rep")
 
-    # Buckets with several classes, and in each the member all others are compared with first: the least after a turn that differs by bucket.
+    # Buckets that several classes share. Each bucket is centred on its member with the most company over all buckets: in a group of
+    # copies that is the text that most of them are close to.
     entries = classes.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("key"))).alias("turned")).where("n > 1")
-    members = cut(entries.join(shared, "key").select("key", "rep", F.col("turned").bitwiseXOR(F.col("key")).alias("centre")))
-
-    pairs = members.where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-    likely = cut(_plausible(pairs, classes, threshold, miss, step))
-    # The likeliest partner of each member is checked first; the rest only where that leaves components apart.
-    first = likely.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(entries.join(shared, "key"))
+    company = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    placed = members.select("key", "rep").join(company, "rep")
+    centres = placed.groupBy("key").agg(F.max_by("rep", F.struct("company", "rep")).alias("centre"))
+    pairs = members.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    # The likeliest centre of each member is checked first; the rest only where that leaves components apart.
+    likely = _plausible(pairs, classes, threshold, miss, step)
+    first = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")))
     ids = known.join(reps, ["class", "n_shingles"]).select("doc_id", "rep")
-    split = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
+    split = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).where("b < top").select(F.explode("reps").alias("a"), "b").where("a <> b")
     linked = cut(_verified(first, docs, width, threshold_percent).union(split))
-
     components = cut(connected_components(linked, src="a", dst="b"))
-    placed = members.join(components, members.rep == components.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+    placed = members.select("key", "rep").join(components, members.rep == components.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = cut(placed.join(mixed, "key"))
-    one = apart.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    two = apart.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(two, "key").where("a > b and ca <> cb").select("a", "b").distinct()
+    # A shingle that no other of these documents has can't be common to a pair: an exact bound on what a document can share with any.
+    bound = cut(_shareable(apart.select("rep").distinct(), docs, width))
+    apart = apart.join(bound, "rep").where(F.col("most") >= F.lit(threshold - 1e-9) * F.col("size"))
+    side = lambda x: apart.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
+    enough = F.least("ma", "mb") * (1 + threshold) + 1e-6 >= threshold * (F.col("na") + F.col("nb"))
+    rest = side("a").join(side("b"), "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
     more = cut(_verified(cut(_plausible(rest, classes, threshold, miss, step)), docs, width, threshold_percent))
-    if not more.isEmpty():  # every pair across components has now been checked
+    if not more.isEmpty():  # every pair across components that could be a link has now been checked
         components = cut(connected_components(linked.union(more), src="a", dst="b"))
 
     found = sketches.join(reps, ["class", "n_shingles"], "left").join(components, F.col("rep") == F.col("node"), "left")
