@@ -101,7 +101,7 @@ def dedup_substrings(docs: DataFrame, *, run: int = 3, min_words: int = 20) -> D
     A sentence goes if any run of ``run`` consecutive sentences that covers it
     (or more, until they have ``min_words`` words) stands earlier, in a document
     with a smaller doc_id or before in the same text. Words are compared as
-    they stand; white space is not. The first occurrence always stays whole.
+    they stand; white space only matters where a line break ends a sentence. The first occurrence always stays whole.
 
     Null and empty texts stay as they are. Rows without a doc_id take no part
     and stay. Rows that repeat a doc_id count as one document: equal texts are
