@@ -1,4 +1,4 @@
-from . import analytics, cleaning, spatial  # noqa: F401  they register their queries
+from . import analytics, cleaning, scenarios, spatial  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

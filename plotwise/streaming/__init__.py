@@ -1,0 +1 @@
+"""Nothing here runs on unbounded input: the rolling counts and interval joins of this library are batch windows."""
