@@ -397,8 +397,8 @@ def m22(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in stats.items()], "statistic string, value double")
 
 
-_VIF_SQL = """WITH m AS (SELECT corr(p_size, p_retailprice) AS ab, corr(p_size, p_partkey) AS ac, corr(p_retailprice, p_partkey) AS bc FROM part),
-r AS (SELECT 'p_size' AS feature, (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc) AS r2 FROM m UNION ALL SELECT 'p_retailprice', (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac) FROM m UNION ALL SELECT 'p_partkey', (ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab) FROM m)
+_VIF_SQL = """WITH m AS (SELECT corr(l_quantity, l_extendedprice) AS ab, corr(l_quantity, l_discount) AS ac, corr(l_extendedprice, l_discount) AS bc FROM lineitem),
+r AS (SELECT 'l_quantity' AS feature, (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc) AS r2 FROM m UNION ALL SELECT 'l_extendedprice', (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac) FROM m UNION ALL SELECT 'l_discount', (ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab) FROM m)
 SELECT feature, floor(1 / (1 - r2) * 1e3 + 0.5) / 1e3 AS vif, floor(r2 * 1e3 + 0.5) / 1e3 AS r_squared FROM r"""
 
 
@@ -406,7 +406,7 @@ SELECT feature, floor(1 / (1 - r2) * 1e3 + 0.5) / 1e3 AS vif, floor(r2 * 1e3 + 0
 def m23(spark, d):
     from ..operators.specs import feature_diagnostics
 
-    return feature_diagnostics(table(spark, d, "part"), ["p_size", "p_retailprice", "p_partkey"])[0]
+    return feature_diagnostics(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])[0]
 
 
 @query("m24_weighted_built_area", f"SELECT b.alt_id, {R4('sum(ln(1 + b.area / 10000) * y.n) / sum(y.n)')} AS log_built_area_ha FROM {BUILT_SQL} b JOIN (SELECT CAST(year(purchase_date) AS INTEGER) AS year, count(*) AS n FROM {SALES_SQL} GROUP BY 1) y USING (year) GROUP BY 1")
