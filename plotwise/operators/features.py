@@ -7,15 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Cluster columns that enter models: scaled distances, and sums that are logs already.
-SELECTED = {
-    "mfg_distance_nearest_cluster_km": ("manufacturing_cluster", "mfg_screen", "scaled_distance"),
-    "log_mfg_jobs_within_2km": ("manufacturing_cluster", "mfg_screen", "log"),
-    "log_mfg_cluster_gravity_inv_sq": ("manufacturing_cluster", "mfg_screen", "log"),
-    "logistics_distance_nearest_cluster_km": ("logistics_cluster", "logistics_screen", "scaled_distance"),
-    "log_logistics_jobs_within_2km": ("logistics_cluster", "logistics_screen", "log"),
-    "log_logistics_cluster_gravity_inv_sq": ("logistics_cluster", "logistics_screen", "log"),
-}
 CROSSINGS = ("travel_time_crossing_west", "travel_time_crossing_east")
 NEAREST = "min(travel_time_crossing_west, travel_time_crossing_east)"
 CATALOG = "source_column string, model_column string, family string, role string, transform string, scale_denominator double, eligible boolean, reason string"
@@ -55,55 +46,51 @@ def nice_denominators(df: DataFrame, columns: list[str], *, target_p75: float =
     return stats.select("feature", F.when(raw > 0, snapped(raw)).otherwise(1.0).alias("denominator"), "n_unique")
 
 
-def _cluster_family(column: str) -> str | None:
-    for prefix, family in (("mfg", "manufacturing_cluster"), ("logistics", "logistics_cluster")):
-        if column.startswith((f"{prefix}_", f"nearest_{prefix}_")) or f"_{prefix}_cluster" in column:
-            return family
-    return None
+# What a column is, by the first pattern that fits its name. A denominator of "nice" is looked up in the values; {c} is the
+# column, {d} its denominator.
+RULES = (
+    ("name|name_detail|geometry|alt_id", None, "identifier", "exclude", "not a model covariate", None, False, "identifier or geometry"),
+    ("access", "access_is_restricted", "access", "control", "LIBRE=0, RESTRINGIDO=1", 1.0, True, "binary access control"),
+    ("jobs_.*_2025", "{c}_scaled", "job_accessibility", "job_screen", "divide by {d:g} jobs", "nice", True, "candidate job accessibility"),
+    ("accessibility_services", "{c}_scaled", "service_accessibility", "control", "divide by {d:g}", "nice", True, "service accessibility control"),
+    ("travel_time_city_center", "{c}_scaled", "travel_time", "control", "divide by {d:g} seconds", "nice", True, "centrality control"),
+    ("travel_time_crossing_(west|east)", None, "travel_time", "helper", "combined into nearest crossing time", None, False, "raw crossing helper"),
+    ("built_area_.*", "log_built_area_ha", "built_area_history", "transaction_varying", "log1p(area_m2 / 10000) by purchase year", None, True, "dynamic supply proxy"),
+    ("(mfg|logistics)_distance_nearest_cluster_km", "{c}_scaled", "{cluster}", "{sector}_screen", "divide by {d:g} km", "nice", True, "selected interpretable cluster exposure"),
+    ("log_(mfg|logistics)_(jobs_within_2km|cluster_gravity_inv_sq)", "{c}", "{cluster}", "{sector}_screen", "already log scaled", 1.0, True, "selected interpretable cluster exposure"),
+    (r"(nearest_)?(mfg|logistics)_.*|.*_(mfg|logistics)_cluster.*", None, "{cluster}", "available_not_screened", "not used in v1 model specs", None, False, "kept out to avoid over-specified cluster models"),
+    (re.escape(NEAREST), "travel_time_nearest_crossing_scaled", "travel_time", "control", "divide by {d:g} seconds", "nice", True, "nearest border crossing control"),
+    (".*", None, "other", "exclude", "not classified for modelling", None, False, "unclassified"),
+)
+CLUSTER_FAMILIES = {"mfg": "manufacturing_cluster", "logistics": "logistics_cluster"}
+
+
+def rule_of(column: str) -> tuple:
+    """The first rule whose pattern is the whole name of the column."""
+    return next(r for r in RULES if re.fullmatch(r[0], column))
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
     """One row for each column of a neighbourhood table: what it is, whether and how it enters models.
 
-    Rules on names decide the family; denominators come from one pass over
-    the values. A row for the nearest crossing is added.
+    ``RULES`` decide by name; denominators come from one pass over the values.
+    Job columns without variation are excluded. A row for the nearest crossing
+    is added.
     """
-    scaled = [c for c in df.columns if re.fullmatch(r"jobs_.*_2025", c) or c in ("accessibility_services", "travel_time_city_center") or SELECTED.get(c, ("", "", ""))[2] == "scaled_distance"]
-    source = df.withColumn(NEAREST, F.least(*[finite(F.col(c)) for c in CROSSINGS])) if all(c in df.columns for c in CROSSINGS) else df
-    wanted = scaled + ([NEAREST] if NEAREST in source.columns else [])
-    known = {r["feature"]: (r["denominator"], r["n_unique"]) for r in nice_denominators(source, wanted).collect()} if wanted else {}
+    source = df.withColumn(NEAREST, F.least(*[finite(F.col(c)) for c in CROSSINGS])) if set(CROSSINGS) <= set(df.columns) else df
+    ruled = [(c, *rule_of(c)[1:]) for c in source.columns]
+    nice = [r[0] for r in ruled if r[5] == "nice"]
+    known = {r["feature"]: r for r in nice_denominators(source, nice).collect()} if nice else {}  # a row per column
     rows = []
-
-    def add(column, model, family, role, transform, denominator, eligible, reason):
-        rows.append((column, model, family, role, transform, denominator, eligible, reason))
-
-    for c in source.columns:
-        d, distinct = known.get(c, (None, 0))
-        if c in ("name", "name_detail", "geometry", "alt_id"):
-            add(c, None, "identifier", "exclude", "not a model covariate", None, False, "identifier or geometry")
-        elif c == "access":
-            add(c, "access_is_restricted", "access", "control", "LIBRE=0, RESTRINGIDO=1", 1.0, True, "binary access control")
-        elif re.fullmatch(r"jobs_.*_2025", c):
-            good = distinct > 1
-            add(c, f"{c}_scaled", "job_accessibility", "job_screen" if good else "exclude", f"divide by {d:g} jobs" if good else "zero variance", d if good else None, good, "candidate job accessibility" if good else "zero variance")
-        elif c == "accessibility_services":
-            add(c, f"{c}_scaled", "service_accessibility", "control", f"divide by {d:g}", d, True, "service accessibility control")
-        elif c == "travel_time_city_center":
-            add(c, f"{c}_scaled", "travel_time", "control", f"divide by {d:g} seconds", d, True, "centrality control")
-        elif c in CROSSINGS:
-            add(c, None, "travel_time", "helper", "combined into nearest crossing time", None, False, "raw crossing helper")
-        elif c.startswith("built_area_"):
-            add(c, "log_built_area_ha", "built_area_history", "transaction_varying", "log1p(area_m2 / 10000) by purchase year", None, True, "dynamic supply proxy")
-        elif c in SELECTED:
-            family, role, kind = SELECTED[c]
-            distance = kind == "scaled_distance"
-            add(c, f"{c}_scaled" if distance else c, family, role, f"divide by {d:g} km" if distance else "already log scaled", d if distance else 1.0, True, "selected interpretable cluster exposure")
-        elif c == NEAREST:
-            add(c, "travel_time_nearest_crossing_scaled", "travel_time", "control", f"divide by {d:g} seconds", d, True, "nearest border crossing control")
-        elif family := _cluster_family(c):
-            add(c, None, family, "available_not_screened", "not used in v1 model specs", None, False, "kept out to avoid over-specified cluster models")
-        else:
-            add(c, None, "other", "exclude", "not classified for modelling", None, False, "unclassified")
+    for c, model, family, role, transform, denominator, eligible, reason in ruled:
+        if denominator == "nice":
+            denominator = known[c]["denominator"]
+            if role == "job_screen" and known[c]["n_unique"] < 2:
+                role, transform, denominator, eligible, reason = "exclude", "zero variance", None, False, "zero variance"
+        sector = next((k for k in CLUSTER_FAMILIES if k in c), "")
+        fill = {"c": c, "d": denominator or 0.0, "sector": sector, "cluster": CLUSTER_FAMILIES.get(sector)}
+        model, family, role, transform = (v and v.format(**fill) for v in (model, family, role, transform))
+        rows.append((c, model, family, role, transform, denominator, eligible, reason))
     return df.sparkSession.createDataFrame(rows, CATALOG)
 
 
