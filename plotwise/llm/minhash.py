@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ def signature(items: np.ndarray, scale: np.ndarray, mask: np.ndarray, block: int
     return out
 
 
+@lru_cache(4096)
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """The fewest of n equal rows with which P(similarity >= threshold) is at least ``miss``."""
 
@@ -109,15 +111,67 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(work, "a long, b long, equal long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold_percent: int) -> DataFrame:
-    """pairs (a, b) whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _across(apart: DataFrame, classes: DataFrame, threshold: float, miss: float, step: int, block: int = 256) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that batches of their signatures don't rule out; each pair once.
+
+    ``apart``: key, rep, component, n (size of the bucket), size, most. A
+    bucket is dealt over blocks of about ``block`` members, and every two
+    blocks are compared in one row, batch by batch, so that a large bucket is
+    spread over tasks and only what survives is ever a row.
+    """
+    rows = apart.join(classes.select("rep", "marks", "keys"), "rep").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    member = F.struct("rep", "component", "size", "most", "marks", "keys")
+    packed = rows.groupBy("key", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")).agg(F.collect_list(member).alias("x"))
+    alone = packed.select("key", "x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
+    later = packed.where("blocks > 1 and own < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)))
+    both = later.select("key", "x", "other").join(packed.select("key", F.col("own").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("key", "x", "y")
+
+    def unpack(value: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        part = value.values
+        n = len(part)
+        numbers = [part.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        marks = np.frombuffer(b"".join(part.field(4).to_pylist()), np.uint8).reshape(n, -1)
+        return (*numbers, marks, np.array(part.field(5).to_pylist(), np.int64).reshape(n, -1))
 
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, left, right in zip(*(part.column(k) for k in range(3)), strict=True):
+                same = not right.is_valid
+                rep_a, comp_a, size_a, most_a, marks_a, keys_a = unpack(left)
+                rep_b, comp_b, size_b, most_b, marks_b, keys_b = (rep_a, comp_a, size_a, most_a, marks_a, keys_a) if same else unpack(right)
+                enough = np.minimum(most_a[:, None], most_b[None]) * (1 + threshold) + 1e-6 >= threshold * (size_a[:, None] + size_b[None])
+                enough &= comp_a[:, None] != comp_b[None]
+                i, j = np.nonzero(np.triu(enough) if same else enough)
+                equal = np.zeros(len(i), np.int64)
+                for k in range(0, marks_a.shape[1], step):
+                    upto = min(k + step, marks_a.shape[1])
+                    equal += (marks_a[i, k:upto] == marks_b[j, k:upto]).sum(axis=1)
+                    good = equal >= least_matches(upto, threshold, miss)
+                    i, j, equal = i[good], j[good], equal[good]
+                if len(i):  # a pair belongs to the first bucket that it shares
+                    shared = keys_a[i] == keys_b[j]
+                    mine = keys_a[i, shared.argmax(axis=1)] == key.as_py()
+                    firsts.append(np.maximum(rep_a[i], rep_b[j])[mine])
+                    seconds.append(np.minimum(rep_a[i], rep_b[j])[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], ["a", "b"])
+
+    batches(apart.sparkSession, 50)
+    return alone.union(both).mapInArrow(work, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, items): the shingle sets of the wanted documents (rep). The only step in which texts are shuffled."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shingle_set(data, width).tobytes() for data in texts(part.column(1))], pa.binary())], ["id", "items"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, items binary").distinct()
+    return docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "id long, items binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
+    """pairs (a, b) whose full shingle sets reach the threshold."""
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -128,22 +182,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold_percent:
                 good.append(100 * common >= threshold_percent * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.select("a", "b").join(found.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = both.join(found.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _shareable(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _shareable(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, size, most): how many shingles each wanted document has, and how many of them another wanted document has too."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keys, sets = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), [shingle_set(data, width) for data in texts(part.column(1))]
-            if sets:
-                sizes = [len(x) for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["rep", "shingle", "size"])
+            found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            if found:
+                sizes = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["rep", "shingle", "size"])
 
-    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "rep long, shingle long, size long")
+    rows = sets.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(work, "rep long, shingle long, size long")
     seen = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = seen.where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
     sizes = rows.groupBy("rep").agg(F.max("size").alias("size"))
@@ -176,6 +230,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(entries.join(shared, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
+    sets = cut(_sets(docs, company, width))
     placed = members.select("key", "rep").join(company, "rep")
     centres = placed.groupBy("key").agg(F.max_by("rep", F.struct("company", "rep")).alias("centre"))
     pairs = members.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
@@ -184,19 +239,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     first = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")))
     ids = known.join(reps, ["class", "n_shingles"]).select("doc_id", "rep")
     split = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).where("b < top").select(F.explode("reps").alias("a"), "b").where("a <> b")
-    linked = cut(_verified(first, docs, width, threshold_percent).union(split))
+    linked = cut(_verified(first, sets, threshold_percent).union(split))
     components = cut(connected_components(linked, src="a", dst="b"))
 
-    placed = members.select("key", "rep").join(components, members.rep == components.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(components, members.rep == components.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = cut(placed.join(mixed, "key"))
     # A shingle that no other of these documents has can't be common to a pair: an exact bound on what a document can share with any.
-    bound = cut(_shareable(apart.select("rep").distinct(), docs, width))
+    bound = cut(_shareable(apart.select("rep").distinct(), sets))
     apart = apart.join(bound, "rep").where(F.col("most") >= F.lit(threshold - 1e-9) * F.col("size"))
-    side = lambda x: apart.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("most").alias(f"m{x}"), F.col("size").alias(f"n{x}"))
-    enough = F.least("ma", "mb") * (1 + threshold) + 1e-6 >= threshold * (F.col("na") + F.col("nb"))
-    rest = side("a").join(side("b"), "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
-    more = cut(_verified(cut(_plausible(rest, classes, threshold, miss, step)), docs, width, threshold_percent))
+    rest = cut(_across(apart, classes, threshold, miss, step))
+    batches(docs.sparkSession)
+    more = cut(_verified(rest, sets, threshold_percent))
     if not more.isEmpty():  # every pair across components that could be a link has now been checked
         components = cut(connected_components(linked.union(more), src="a", dst="b"))
 
