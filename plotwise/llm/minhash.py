@@ -111,7 +111,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(work, "a long, b long, equal long")
 
 
-def _across(apart: DataFrame, classes: DataFrame, threshold: float, miss: float, step: int, block: int = 256) -> DataFrame:
+def _across(apart: DataFrame, classes: DataFrame, threshold: float, miss: float, step: int, block: int = 1024) -> DataFrame:
     """Pairs (a, b) of one bucket and two components that batches of their signatures don't rule out; each pair once.
 
     ``apart``: key, rep, component, n (size of the bucket), size, most. A
@@ -156,7 +156,7 @@ def _across(apart: DataFrame, classes: DataFrame, threshold: float, miss: float,
                     seconds.append(np.minimum(rep_a[i], rep_b[j])[mine])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], ["a", "b"])
 
-    batches(apart.sparkSession, 50)
+    batches(apart.sparkSession, 10)
     return alone.union(both).mapInArrow(work, "a long, b long").distinct()
 
 
