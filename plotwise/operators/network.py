@@ -67,8 +67,11 @@ def job_accessibility(edges: DataFrame, origins: DataFrame, jobs: DataFrame, thr
     reached = found.join(at, "node").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).where("cost <= threshold")
     sums = reached.groupBy("origin", "sector", "threshold").agg(F.sum(F.col("v") * F.exp(-F.col("cost") / F.col("threshold"))).alias("jobs"))
     kinds = at.select("sector").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    every = origins.select("zone", F.col("node").alias("origin")).join(kinds)
-    return every.join(sums, ["origin", "sector", "threshold"], "left").groupBy("zone", "sector", "threshold").agg(F.avg(F.coalesce("jobs", F.lit(0.0))).alias("jobs"))
+    nodes = origins.select("zone", F.col("node").alias("origin"))
+    # A node that reaches none of a sector's jobs adds 0 to the mean of its zone, so rows are made for zones only, not for nodes.
+    totals = nodes.join(sums, "origin").groupBy("zone", "sector", "threshold").agg(F.sum("jobs").alias("total"))
+    every = nodes.groupBy("zone").agg(F.count("*").alias("n")).join(F.broadcast(kinds))
+    return every.join(totals, ["zone", "sector", "threshold"], "left").select("zone", "sector", "threshold", (F.coalesce("total", F.lit(0.0)) / F.col("n")).alias("jobs"))
 
 
 def wide_accessibility(long: DataFrame, sectors: list[str], thresholds: list[float], year: int) -> DataFrame:
