@@ -80,11 +80,24 @@ def wide_accessibility(long: DataFrame, sectors: list[str], thresholds: list[flo
     return long.groupBy("zone").agg(*picks)
 
 
-def service_score(attraction, population, reached=None):
+def service_score(attraction, population):
     """Attraction over the population it serves, at least one person."""
     return attraction / F.greatest(population, F.lit(1.0))
 
 
+def service_accessibility(edges: DataFrame, zones: DataFrame, amenities: DataFrame, population: DataFrame, *, radius: float, weight: str = "length") -> DataFrame:
+    """(zone, accessibility_services): the mean index of a zone's nodes.
+
+    ``zones``: zone, node; ``amenities``: node, attraction; ``population``:
+    node, value. The people that each amenity reaches divide its attraction;
+    the quotients, summed by node, are what the zones' nodes reach.
+    """
+    reached = decayed_sums(edges, amenities.select("node").distinct(), population, radius=radius, weight=weight)
+    scores = amenities.join(reached, "node").select("node", service_score(F.col("attraction"), F.col("total")).alias("value"))
+    total = decayed_sums(edges, zones.select("node").distinct(), scores, radius=radius, weight=weight)
+    return zones.join(total, "node").groupBy("zone").agg(F.avg(service_index(F.col("total"))).alias("accessibility_services"))
+
+
 def service_index(total):
     """A decayed sum on a scale from 0 to 1: log(x + 1) * 12.5, clipped to 0..100, over 100."""
     return F.least(F.greatest(F.log1p(total) * 12.5, F.lit(0.0)), F.lit(100.0)) / 100

@@ -329,6 +329,15 @@ def n5(spark, d):
     return out.select("node", r4(network.service_index(F.col("total"))).alias("accessibility_services"))
 
 
+@query("n5_service_accessibility_by_zone")
+def n5_zones(spark, d):
+    p = table(spark, d, "part")
+    node = F.col("p_partkey").alias("node")
+    zones_, amenities, people = p.select(F.col("p_brand").alias("zone"), node), p.select(node, (F.col("p_size") * 20).alias("attraction")), p.select(node, F.col("p_retailprice").alias("value"))
+    out = network.service_accessibility(net(spark, d), zones_, amenities, people, radius=20.0)
+    return out.select("zone", r4(F.col("accessibility_services")).alias("accessibility_services"))
+
+
 @query("n6_nearest_crossing", "SELECT p_partkey, coalesce(least(a, b), a, b) AS nearest FROM (SELECT p_partkey, nullif(p_size, 1) AS a, 30 AS b FROM part)")
 def n6(spark, d):
     return table(spark, d, "part").select("p_partkey", network.nearest_crossing(F.nullif(F.col("p_size"), F.lit(1)), F.lit(30)).alias("nearest"))

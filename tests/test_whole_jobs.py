@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from plotwise import plans
+from plotwise.operators import network
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,26 @@ def test_job_accessibility_of_every_node(spark, sf, parts, reached):
                     want[rows[k].p_brand, rows[n].p_type, t] += float(rows[n].p_size) * math.exp(-c / t) / nodes[rows[k].p_brand]
     got = {(r.zone, r.sector, r.threshold): r.jobs for r in plans.QUERIES["n4_job_accessibility_every_node"](spark, sf).collect()}
     assert got == pytest.approx(want, abs=2e-4)
+
+
+def test_service_accessibility_divides_by_the_people_reached(spark, sf, parts, reached):
+    rows = {r.p_partkey: r for r in parts.itertuples()}
+    people = {k: sum(float(rows[n].p_retailprice) * math.exp(-c / 20) for n, c in found.items()) for k, found in reached.items()}
+    score = {k: float(r.p_size) * 20 / max(people[k], 1.0) for k, r in rows.items()}
+    by_zone = defaultdict(list)
+    for k, found in reached.items():
+        total = sum(score[n] * math.exp(-c / 20) for n, c in found.items())
+        by_zone[rows[k].p_brand].append(min(max(math.log1p(total) * 12.5, 0), 100) / 100)
+    want = {z: sum(v) / len(v) for z, v in by_zone.items()}
+    assert dict(plans.QUERIES["n5_service_accessibility_by_zone"](spark, sf).collect()) == pytest.approx(want, abs=2e-4)
+
+
+def test_service_accessibility_by_hand(spark):
+    edges = spark.createDataFrame([(1, 2, 10.0), (2, 1, 10.0)], "src long, dst long, length double")
+    zones = spark.createDataFrame([("a", 1), ("b", 2)], "zone string, node long")
+    people = spark.createDataFrame([(1, 4.0), (2, 0.5)], "node long, value double")
+    # Two amenities at node 2 reach 0.5 + 4 / e people there; the one at node 9, off the network, reaches nobody and is nobody's.
+    amenities = spark.createDataFrame([(2, 3.0), (2, 1.0), (9, 5.0)], "node long, attraction double")
+    got = dict(network.service_accessibility(edges, zones, amenities, people, radius=10.0).collect())
+    total = 4 / (0.5 + 4 / math.e)
+    assert got == pytest.approx({"a": math.log1p(total / math.e) * 0.125, "b": math.log1p(total) * 0.125})
