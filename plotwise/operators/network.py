@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ def travel_times(edges: DataFrame) -> DataFrame:
     return known.join(F.broadcast(overall)).withColumn("travel_time", F.col("length") / (F.coalesce("__s", "__all") / 3.6)).drop("__s", "__all")
 
 
-def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
     """(origin, node, cost): least cost from each origin to every node it reaches, within ``radius`` if given.
 
     ``starts``: origin, node. Each round extends only the frontier, the pairs
     that the last round improved; minima are taken before anything is joined.
+    Rounds go on until the frontier is empty; there are as many as hops on the
+    longest of the shortest paths. If ``max_rounds`` is given and the frontier
+    isn't empty after it, that is an error.
     reverse: costs from nodes to the origins. Negative weights aren't allowed.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -28,7 +33,7 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
     steps = cut(steps)
     best = cut(starts.select("origin", "node").distinct().withColumn("cost", F.lit(0.0)))
     frontier = best
-    for _ in range(max_rounds):
+    for done in itertools.count(1):
         reached = frontier.join(steps, "node").select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         if radius is not None:
             reached = reached.where(F.col("cost") <= radius)
@@ -37,8 +42,9 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
         best = merged.select("origin", "node", "cost")
         frontier = merged.where("better").select("origin", "node", "cost")
         if frontier.isEmpty():
-            break
-    return best
+            return best
+        if done == max_rounds:
+            raise RuntimeError(f"costs still improve after {max_rounds} rounds")
 
 
 def anchor_times(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, *, weight: str = "travel_time") -> DataFrame:

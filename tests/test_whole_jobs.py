@@ -79,3 +79,11 @@ def test_service_accessibility_by_hand(spark):
     got = dict(network.service_accessibility(edges, zones, amenities, people, radius=10.0).collect())
     total = 4 / (0.5 + 4 / math.e)
     assert got == pytest.approx({"a": math.log1p(total / math.e) * 0.125, "b": math.log1p(total) * 0.125})
+
+
+def test_shortest_times_never_stop_early(spark):
+    edges = spark.createDataFrame([(k, k + 1, 1.0) for k in range(6)], "src long, dst long, travel_time double")
+    start = spark.createDataFrame([(0, 0)], "origin long, node long")
+    with pytest.raises(RuntimeError):
+        network.shortest_times(edges, start, max_rounds=3)
+    assert {r.node: r.cost for r in network.shortest_times(edges, start).collect()} == {k: float(k) for k in range(7)}
