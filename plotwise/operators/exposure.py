@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import SECTORS
 from .geometry import box_distance
-from .grid import Grid, buffered_extent, cell_jobs, hotspot_clusters, hotspots, queen_edges, spatial_statistics
+from .graph import cut
+from .grid import Grid, buffered_extent, cell_jobs, hotspot_clusters, hotspots, local_permutation_p, queen_edges, spatial_statistics
 
 # Fixed values of the sector analysis.
 BUFFER_M, CELL_M, MIN_JOBS, MIN_BUSINESSES, PERMUTATIONS, SEED = 10_000.0, 250.0, 500.0, 2, 199, 42
@@ -75,14 +76,21 @@ class SectorAnalysis:
     exposure: DataFrame
 
 
-def sector_analysis(points: DataFrame, zones: DataFrame, *, grid: Grid | None = None, cell: float = CELL_M, buffer: float = BUFFER_M, min_jobs: float = MIN_JOBS, min_businesses: int = MIN_BUSINESSES) -> SectorAnalysis:
-    """From establishments (sector, x, y, jobs) and zones (alt_id, box) to clusters and exposure, all sectors in one plan."""
+def sector_analysis(points: DataFrame, zones: DataFrame, *, grid: Grid | None = None, cell: float = CELL_M, buffer: float = BUFFER_M, min_jobs: float = MIN_JOBS, min_businesses: int = MIN_BUSINESSES, value: str = "num_jobs", permutations: int = PERMUTATIONS, seed: int = SEED) -> SectorAnalysis:
+    """From establishments (sector, x, y, jobs) and zones (alt_id, box) to clusters and exposure, all sectors in one plan.
+
+    Hotspots go by the p-values of ``permutations``; with 0 of them, by the
+    normal tail of Gi* alone.
+    """
     spark = points.sparkSession
     if grid is None:
         ends = zones.select(F.col("x0").alias("x"), F.col("y0").alias("y")).union(zones.select("x1", "y1"))
         grid = Grid.over(buffered_extent(ends, buffer), cell)
     sectors = points.select("sector").distinct()
-    cells = hotspots(spatial_statistics(cell_jobs(points, grid, sectors), queen_edges(grid, spark)))
+    stats = spatial_statistics(cell_jobs(points, grid, sectors), queen_edges(grid, spark), value)
+    if permutations:
+        stats = cut(local_permutation_p(stats, queen_edges(grid, spark), value=value, permutations=permutations, seed=seed))
+    cells = hotspots(stats)
     members, clusters = hotspot_clusters(cells, queen_edges(grid, spark), min_jobs=min_jobs, min_businesses=min_businesses)
     chosen = clusters.where("cluster_rank is not null").select("sector", "cluster_id", "cluster_rank", "num_jobs", "num_businesses", "area_km2", "cx", "cy")
     boxes = members.select("sector", "cluster_id", F.col("bx0").alias("u0"), F.col("by0").alias("v0"), F.col("bx1").alias("u1"), F.col("by1").alias("v1")).join(chosen, ["sector", "cluster_id"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import connected_components, cut
 
 OFFSETS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
@@ -136,10 +136,42 @@ def moran_p(cells: DataFrame, edges: DataFrame, *, value: str = "log_jobs", perm
     return larger.select("sector", "moran_i", ((F.least(F.col("larger"), F.col("r") - F.col("larger")) + 1) / (F.col("r") + 1)).alias("p"))
 
 
+def local_permutation_p(stats: DataFrame, edges: DataFrame, *, value: str = "num_jobs", permutations: int = 199, seed: int = 42) -> DataFrame:
+    """stats with local_moran_p and getis_ord_p by conditional permutation, folded like :func:`moran_p`.
+
+    A cell keeps its value; its m neighbours are dealt the values of the first
+    m other cells in the order of md5(seed:permutation:cell). No more cells of
+    that order are needed than the most neighbours a cell has, and one. Both
+    statistics are monotone in the sum of the neighbours' values, so only sums
+    are compared, which are exact where the values are whole numbers.
+    """
+    around = _lags(stats.select("sector", "cell", value), edges, value).select("sector", "cell", value, "around", "n_around")
+    most = edges.groupBy("src").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("permutation").cast("string"), F.col("cell").cast("string")))
+    runs = stats.select("cell").distinct().withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("key", key)
+    firsts = runs.withColumn("at", F.row_number().over(Window.partitionBy("permutation").orderBy("key", "cell"))).where(F.col("at") <= most + 1)
+    dealt = firsts.join(stats.select("sector", "cell", F.col(value).cast("double").alias("v")), "cell").groupBy("sector", "permutation").agg(F.array_sort(F.collect_list(F.struct("at", "cell", "v"))).alias("dealt"))
+    dealt = cut(dealt)
+    others = F.slice(F.filter("dealt", lambda s: s["cell"] != F.col("cell")), F.lit(1), F.col("n_around").cast("int"))
+    total = F.aggregate(others, F.lit(0.0), lambda acc, s: acc + s["v"])
+    each = around.join(F.broadcast(dealt), "sector").select("sector", "cell", value, "around", total.alias("sim"))
+    mean = F.broadcast(stats.groupBy("sector").agg(F.avg(value).alias("mean")))
+    side = F.signum(F.col(value) - F.col("mean"))
+    counts = each.join(mean, "sector").groupBy("sector", "cell").agg(
+        F.count_if(side * F.col("sim") >= side * F.col("around")).alias("moran"), F.count_if(F.col("sim") >= F.col("around")).alias("getis"), F.count("*").alias("r")
+    )
+    p = lambda larger: (F.least(F.col(larger), F.col("r") - F.col(larger)) + 1) / (F.col("r") + 1)
+    return stats.drop("getis_ord_p").join(counts.select("sector", "cell", p("moran").alias("local_moran_p"), p("getis").alias("getis_ord_p")), ["sector", "cell"])
+
+
 def hotspots(stats: DataFrame, *, z: float = 1.96, p: float = 0.05) -> DataFrame:
-    """stats with is_high_high, is_getis_hotspot and is_hotspot_candidate."""
+    """stats with is_high_high, is_getis_hotspot and is_hotspot_candidate.
+
+    With the p-values of :func:`local_permutation_p`, that of local Moran
+    decides which quadrant-1 cells are high-high; without them, Gi* does.
+    """
     gi = (F.col("getis_ord_z") > z) & (F.col("getis_ord_p") < p)
-    high = (F.col("quadrant") == 1) & (F.col("local_moran_i") > 0) & gi
+    high = (F.col("quadrant") == 1) & (F.col("local_moran_p") < p if "local_moran_p" in stats.columns else (F.col("local_moran_i") > 0) & gi)
     return stats.withColumns({"is_high_high": high, "is_getis_hotspot": gi, "is_hotspot_candidate": gi & ((F.col("num_jobs") > 0) | high)})
 
 

@@ -146,7 +146,33 @@ def g12(spark, d):
 
 
 def analysis(spark, d):
-    return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=COARSE)
+    return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=COARSE, value="log_jobs", permutations=0)
+
+
+# The rule of the sector analysis: number of jobs, conditional permutations, 250 m. The queries on COARSE are those that SQL can follow.
+def fine_analysis(spark, d):
+    return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=GRID)
+
+
+@query("g10_hotspot_flags_permutation")
+def g10_fine(spark, d):
+    c = fine_analysis(spark, d).cells
+    return c.select("sector", "cell", "num_jobs", "num_businesses", "local_moran_i", "quadrant", "local_moran_p", "getis_ord_z", "getis_ord_p", "is_high_high", "is_getis_hotspot", "is_hotspot_candidate")
+
+
+@query("g12_clusters_permutation")
+def g12_fine(spark, d):
+    return fine_analysis(spark, d).clusters
+
+
+@query("g13_cluster_exposure_permutation")
+def g13_fine(spark, d):
+    return fine_analysis(spark, d).exposure
+
+
+@query("g17_sector_pipeline_permutation")
+def g17_fine(spark, d):
+    return exposure.sector_summary(fine_analysis(spark, d))
 
 
 _BOXES_SQL = f"""(SELECT r.sector, r.cell, c.root, c.jobs, (r.cell // 20) * 1000 AS u0, (r.cell % 20) * 1000 AS v0 FROM {_ROOT_SQL} r JOIN (SELECT sector, root, sum(num_jobs) AS jobs, sum(num_businesses) AS b FROM {_ROOT_SQL} GROUP BY 1, 2) c USING (sector, root) WHERE c.jobs >= 500 AND c.b >= 2)"""

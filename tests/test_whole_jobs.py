@@ -1,5 +1,6 @@
 """Queries that do the whole job where the one with SQL takes a sample, against plain versions."""
 
+import hashlib
 import heapq
 import math
 from collections import defaultdict
@@ -7,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from plotwise import plans
-from plotwise.operators import network
+from plotwise.operators import grid, network
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,27 @@ def test_shortest_times_never_stop_early(spark):
     with pytest.raises(RuntimeError):
         network.shortest_times(edges, start, max_rounds=3)
     assert {r.node: r.cost for r in network.shortest_times(edges, start).collect()} == {k: float(k) for k in range(7)}
+
+
+def test_local_permutation_p_and_flags(spark):
+    n, runs = 6, 49
+    g = grid.Grid(0.0, 0.0, n, n, 1.0)
+    jobs = {"s": [float(k * 7919 % 11 if k % 4 else 0) for k in range(n * n)], "t": [900.0 if k in (7, 8, 13, 14) else float(k % 3) for k in range(n * n)]}
+    cells = spark.createDataFrame([(s, k, v) for s, vs in jobs.items() for k, v in enumerate(vs)], "sector string, cell long, num_jobs double")
+    edges = grid.queen_edges(g, spark)
+    got = {(r.sector, r.cell): r for r in grid.hotspots(grid.local_permutation_p(grid.spatial_statistics(cells, edges, "num_jobs"), edges, permutations=runs)).collect()}
+    order = [sorted(range(n * n), key=lambda k: (hashlib.md5(f"42:{r}:{k}".encode()).hexdigest(), k)) for r in range(1, runs + 1)]
+    assert len(got) == 2 * n * n
+    for (s, k), r in got.items():
+        v = jobs[s]
+        mean = sum(v) / len(v)
+        near = [j for j in range(n * n) if j != k and abs(j // n - k // n) <= 1 and abs(j % n - k % n) <= 1]
+        # Local Moran and Gi* themselves, up to factors that a permutation leaves as they are.
+        seen, sims = sum(v[j] for j in near), [sum(v[j] for j in [j for j in o if j != k][: len(near)]) for o in order]
+        moran = sum((v[k] - mean) * (x - len(near) * mean) >= (v[k] - mean) * (seen - len(near) * mean) - 1e-7 for x in sims)
+        getis = sum(v[k] + x >= v[k] + seen for x in sims)
+        fold = lambda larger: (min(larger, runs - larger) + 1) / (runs + 1)
+        assert (r.local_moran_p, r.getis_ord_p) == pytest.approx((fold(moran), fold(getis)))
+        assert r.is_high_high == (r.quadrant == 1 and r.local_moran_p < 0.05)
+        assert r.is_hotspot_candidate == (r.getis_ord_z > 1.96 and r.getis_ord_p < 0.05 and (v[k] > 0 or r.is_high_high))
+    assert {k for (s, k), r in got.items() if s == "t" and r.is_hotspot_candidate} and any(r.getis_ord_z > 1.96 and r.getis_ord_p >= 0.05 for r in got.values())
