@@ -26,11 +26,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand in an earlier document go from the texts; n_chars follows. Documents of which nothing is left go, as do ones that had no text."""
+    """Passages that stand in an earlier document go from the texts; n_chars follows. Documents of which nothing is left go; ones that had no text stay as they are."""
     from pyspark.sql import functions as F
 
     cleaned = substrings.dedup_substrings(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).where("text is not null and (n_removed = 0 or text <> '')").select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).where("coalesce(n_removed, 0) = 0 or text <> ''").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

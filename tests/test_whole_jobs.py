@@ -112,3 +112,12 @@ def test_local_permutation_p_and_flags(spark):
         assert r.is_high_high == (r.quadrant == 1 and r.local_moran_p < 0.05)
         assert r.is_hotspot_candidate == (r.getis_ord_z > 1.96 and r.getis_ord_p < 0.05 and (v[k] > 0 or r.is_high_high))
     assert {k for (s, k), r in got.items() if s == "t" and r.is_hotspot_candidate} and any(r.getis_ord_z > 1.96 and r.getis_ord_p >= 0.05 for r in got.values())
+
+
+def test_substring_stage_keeps_documents_without_text(spark, sf):
+    import corpus_pipeline
+
+    passage = " ".join(f"Sentence {k} of this passage has quite a few words in it." for k in range(6))
+    docs = spark.createDataFrame([(1, passage, 9), (2, passage, 9), (3, None, None), (4, "", 0), (5, " ", 1)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_passages(spark, docs, sf).collect()}
+    assert got == {1: passage, 3: None, 4: "", 5: " "}
