@@ -188,7 +188,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
 
 
 def _shareable(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, size, most): how many shingles each wanted document has, and how many of them another wanted document has too."""
+    """(rep, size, most): how many shingles each wanted document has, and how many of them another wanted document has too.
+
+    Where rows repeat a doc_id with different texts, size is that of its smallest set and most that of its largest, so that no set is ruled out.
+    """
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -200,8 +203,9 @@ def _shareable(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     rows = sets.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(work, "rep long, shingle long, size long")
     seen = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = seen.where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = rows.groupBy("rep").agg(F.max("size").alias("size"))
-    return sizes.join(alone, "rep", "left").select("rep", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sizes = rows.groupBy("rep").agg(F.min("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("n"))
+    most = F.when(F.col("n") > F.col("top"), F.col("top")).otherwise(F.col("size") - F.coalesce("alone", F.lit(0)))
+    return sizes.join(alone, "rep", "left").select("rep", "size", most.alias("most"))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int = 80, bands: int = 48, rows: int = 7, miss: float = 1e-6, step: int = 32) -> DataFrame:
