@@ -107,7 +107,9 @@ def g7(spark, d):
 
 @query("g7_moran_permutation")
 def g7p(spark, d):
-    return grid.moran_p(coarse_cells(spark, d), grid.queen_edges(COARSE, spark), permutations=99)
+    p = points(spark, d)
+    cells = grid.cell_jobs(p, GRID, p.select("sector").distinct())
+    return grid.moran_p(cells, grid.queen_edges(GRID, spark), value="num_jobs", permutations=exposure.PERMUTATIONS, seed=exposure.SEED)
 
 
 @query("g8_local_moran", f"SELECT sector, cell, {R4('local_i')} AS local_moran_i, CASE WHEN z > 0 AND lag_z > 0 THEN 1 WHEN z <= 0 AND lag_z > 0 THEN 2 WHEN z <= 0 AND lag_z <= 0 THEN 3 ELSE 4 END AS quadrant FROM {STATS_SQL}")

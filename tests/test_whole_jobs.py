@@ -133,3 +133,10 @@ def test_bound_on_shared_shingles_holds_for_repeated_ids(spark):
     rows = spark.createDataFrame([(5, data["long"]), (5, data["short"]), (9, data["short"]), (7, data["own"])], "id long, items binary")
     got = {r.rep: (r.size, r.most) for r in minhash._shareable(spark.createDataFrame([(5,), (7,), (9,)], "rep long"), rows).collect()}
     assert got == {5: (100, 1000), 7: (50, 0), 9: (100, 100)}
+
+
+def test_global_permutation_runs_with_the_settings_of_the_analysis(spark, sf, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(grid, "moran_p", lambda cells, edges, **kw: seen.update(kw) or cells.groupBy("sector").count())
+    assert {r["count"] for r in plans.QUERIES["g7_moran_permutation"](spark, sf).collect()} == {6400}
+    assert seen == {"value": "num_jobs", "permutations": 199, "seed": 42}
