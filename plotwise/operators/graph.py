@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the shared folder that the cluster names; only where none is named, a temporary one for local runs."""
+    """Use the shared folder that the setting spark.checkpoint.dir names. Where none is set, a local session takes a temporary one; a cluster raises, as its machines share none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "plotwise-checkpoints"))
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="plotwise-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,33 +25,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", hot_share: float = 0.005) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Alternates the two star operations (link every neighbour to the smallest
     one, first for larger and then for smaller neighbours) until the edges no
     longer change, which takes a number of rounds logarithmic in the size of a
-    component. Minima are combined before each shuffle, and the joins are plain
-    equi-joins, so a node with very many neighbours can be split. Edges with a
-    null end and loops add nothing but their node; no edges, no rows.
+    component. Minima are combined before each shuffle. Nodes that have
+    ``hot_share`` of all edges or more, of which there are at most
+    2 / hot_share, are broadcast instead of shuffled, so no node gathers its
+    edges in one task. Edges with a null end and loops add nothing but their
+    node; no edges, no rows.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     current = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    for _ in range(max_rounds):
+    mark = F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
+    now = current.agg(*mark).first()
+    while True:
         both = current.where("u <> v").select("u", "v").union(current.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        many = max(1000, int(hot_share * now[0]))
+        hot = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+        larger = both.where("v > u")
+        large = larger.join(hot, "u").union(larger.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= many).select("u", "m"), "u"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         loops = current.where("u = v")
         # Repeated edges do no harm here; the distinct() at the end of a round keeps their number bounded.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         current = cut(small.union(loops).distinct())
-        now = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == mark:
+        before, now = now, current.agg(*mark).first()
+        if now == before:
             break
-        mark = now
     stars = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.union(roots).groupBy("node").agg(F.min("component").alias("component"))
