@@ -8,9 +8,10 @@
    posterior of the similarity under a flat prior is Beta(m + 1, n - m + 1); a
    pair is dropped once P(similarity >= threshold) falls below ``miss``.
 4. What survives is checked exactly, on the full shingle sets.
-5. Where members of one bucket still lie in different components, pairs across
-   these go through steps 3 and 4, unless shingles that nobody else has rule
-   them out. Pairs within a component can't change it and are never made.
+5. Where members of one bucket still lie in different components, they are
+   dealt over blocks, and every two blocks that can hold such a pair meet in
+   one task with their signatures and sets. Steps 3 and 4 are done there, and
+   only links that join two components leave it: pairs are never rows.
 """
 
 from __future__ import annotations
@@ -62,9 +63,13 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return next(m for m in range(n + 1) if tail(m) >= miss)
 
 
+def _class(items: np.ndarray) -> str:
+    """Two independent 64-bit sums that stand for a set."""
+    return f"{int(items.sum(dtype=_U64)):016x}{int(mix64(items + _U64(0x5851F42D4C957F2D)).sum(dtype=_U64)):016x}"
+
+
 def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, class (hash of the set), marks (a byte of each MinHash value), keys (of the bands)."""
-    batches(docs.sparkSession)
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, mask = permutations(bands * rows)
@@ -78,8 +83,7 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 if not len(items):
                     classes.append(None), marks.append(None), keys.append(None)
                     continue
-                # Two independent 64-bit sums stand for the set.
-                classes.append(f"{int(items.sum(dtype=_U64)):016x}{int(mix64(items + _U64(0x5851F42D4C957F2D)).sum(dtype=_U64)):016x}")
+                classes.append(_class(items))
                 mins = signature(items, scale, mask)
                 marks.append((mins & np.uint32(255)).astype(np.uint8).tobytes())
                 keys.append(mix64((mins.reshape(bands, rows).astype(_U64) * turn).sum(axis=1, dtype=_U64) ^ salt).view(np.int64))
@@ -111,63 +115,18 @@ def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(work, "a long, b long, equal long")
 
 
-def _across(apart: DataFrame, classes: DataFrame, threshold: float, miss: float, step: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that batches of their signatures don't rule out; each pair once.
-
-    ``apart``: key, rep, component, n (size of the bucket), size, most. A
-    bucket is dealt over blocks of about ``block`` members, and every two
-    blocks are compared in one row, batch by batch, so that a large bucket is
-    spread over tasks and only what survives is ever a row.
-    """
-    rows = apart.join(classes.select("rep", "marks", "keys"), "rep").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    member = F.struct("rep", "component", "size", "most", "marks", "keys")
-    packed = rows.groupBy("key", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")).agg(F.collect_list(member).alias("x"))
-    alone = packed.select("key", "x", F.lit(None).cast(packed.schema["x"].dataType).alias("y"))
-    later = packed.where("blocks > 1 and own < blocks - 1").withColumn("other", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)))
-    both = later.select("key", "x", "other").join(packed.select("key", F.col("own").alias("other"), F.col("x").alias("y")), ["key", "other"]).select("key", "x", "y")
-
-    def unpack(value: pa.ListScalar) -> tuple[np.ndarray, ...]:
-        part = value.values
-        n = len(part)
-        numbers = [part.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        marks = np.frombuffer(b"".join(part.field(4).to_pylist()), np.uint8).reshape(n, -1)
-        return (*numbers, marks, np.array(part.field(5).to_pylist(), np.int64).reshape(n, -1))
-
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for key, left, right in zip(*(part.column(k) for k in range(3)), strict=True):
-                same = not right.is_valid
-                rep_a, comp_a, size_a, most_a, marks_a, keys_a = unpack(left)
-                rep_b, comp_b, size_b, most_b, marks_b, keys_b = (rep_a, comp_a, size_a, most_a, marks_a, keys_a) if same else unpack(right)
-                enough = np.minimum(most_a[:, None], most_b[None]) * (1 + threshold) + 1e-6 >= threshold * (size_a[:, None] + size_b[None])
-                enough &= comp_a[:, None] != comp_b[None]
-                i, j = np.nonzero(np.triu(enough) if same else enough)
-                equal = np.zeros(len(i), np.int64)
-                for k in range(0, marks_a.shape[1], step):
-                    upto = min(k + step, marks_a.shape[1])
-                    equal += (marks_a[i, k:upto] == marks_b[j, k:upto]).sum(axis=1)
-                    good = equal >= least_matches(upto, threshold, miss)
-                    i, j, equal = i[good], j[good], equal[good]
-                if len(i):  # a pair belongs to the first bucket that it shares
-                    shared = keys_a[i] == keys_b[j]
-                    mine = keys_a[i, shared.argmax(axis=1)] == key.as_py()
-                    firsts.append(np.maximum(rep_a[i], rep_b[j])[mine])
-                    seconds.append(np.minimum(rep_a[i], rep_b[j])[mine])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(np.concatenate(seconds))], ["a", "b"])
-
-    batches(apart.sparkSession, 10)
-    return alone.union(both).mapInArrow(work, "a long, b long").distinct()
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, items): the shingle sets of the wanted documents (rep). The only step in which texts are shuffled."""
+    """(id, class, items): the shingle sets of the wanted documents (rep). The only step in which texts are shuffled."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([shingle_set(data, width).tobytes() for data in texts(part.column(1))], pa.binary())], ["id", "items"])
+            found = [shingle_set(data, width) for data in texts(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([_class(x) for x in found], pa.string()), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "class", "items"])
 
-    return docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "id long, items binary")
+    rows = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # Rows that repeat a document are read once; they already stand together.
+    once = rows.groupBy("doc_id", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"))
+    return once.select("doc_id", "text").mapInArrow(work, "id long, class string, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
@@ -187,25 +146,129 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _shareable(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, size, most): how many shingles each wanted document has, and how many of them another wanted document has too.
+class _Block:
+    """Members of a bucket that one task compares: components, marks, band keys and shingle sets."""
+
+    def __init__(self, key: int, rows: list[tuple]):
+        rows = [r for r in rows if key in r[2]]  # where a doc_id repeats, not all its texts are in each of its buckets
+        self.component = np.array([r[0] for r in rows], np.int64)
+        self.marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.keys = np.array([r[2] for r in rows], np.int64).reshape(len(rows), -1)
+        self.items = [np.frombuffer(r[3], _U64) for r in rows]
+        self.size = np.array([len(x) for x in self.items], np.int64)
+
 
-    Where rows repeat a doc_id with different texts, size is that of its smallest set and most that of its largest, so that no set is ruled out.
+def joining_links(key: int, left: _Block, right: _Block, threshold_percent: int, miss: float, step: int, cells: int = 1 << 18) -> list[tuple[int, int]]:
+    """Pairs of components that links between the two blocks (or within one, if both are the same) join, as a forest.
+
+    A pair of texts belongs to the first bucket that it shares. Of what batches
+    of signatures don't rule out, the likeliest is checked first, and pairs
+    whose components have been joined meanwhile are left out.
+    """
+    threshold, parent, out = threshold_percent / 100, {}, []
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    def common(i: int, js: np.ndarray) -> np.ndarray:
+        """How many shingles text i of the left block shares with each of texts js of the right one."""
+        body = np.concatenate([right.items[j] for j in js])
+        own = left.items[i]
+        hit = own[np.minimum(np.searchsorted(own, body), len(own) - 1)] == body
+        return np.add.reduceat(hit, np.concatenate(([0], np.cumsum(right.size[js])[:-1])), dtype=np.int64)
+
+    if not len(left.size) or not len(right.size):
+        return out
+    band = int(np.argmax(left.keys[0] == key))
+    rows = max(1, cells // len(right.size))
+    for at in range(0, len(left.size), rows):
+        part = slice(at, at + rows)
+        far = left.component[part, None] != right.component[None]
+        small, large = np.minimum(left.size[part, None], right.size[None]), np.maximum(left.size[part, None], right.size[None])
+        far &= 100 * small >= threshold_percent * large
+        if left is right:
+            far &= np.arange(at, min(at + rows, len(left.size)))[:, None] < np.arange(len(right.size))[None]
+        for k in range(band):
+            if not far.any():
+                break
+            far &= left.keys[part, k, None] != right.keys[None, :, k]
+        i, j = np.nonzero(far)
+        i += at
+        equal = np.zeros(len(i), np.int64)
+        for k in range(0, left.marks.shape[1], step):
+            if not len(i):
+                break
+            upto = min(k + step, left.marks.shape[1])
+            equal += (left.marks[i, k:upto] == right.marks[j, k:upto]).sum(axis=1)
+            good = equal >= least_matches(upto, threshold, miss)
+            i, j, equal = i[good], j[good], equal[good]
+        for mine in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+            own, js = i[mine[0]], j[mine][np.argsort(-equal[mine], kind="stable")]
+            for take in (1, 8, len(js)):
+                todo, js = js[:take], js[take:]
+                todo = np.array([x for x in todo if root(int(right.component[x])) != root(int(left.component[own]))], np.int64)
+                if len(todo):
+                    n = common(own, todo)
+                    for x in todo[100 * n >= threshold_percent * (left.size[own] + right.size[todo] - n)]:
+                        a, b = root(int(left.component[own])), root(int(right.component[x]))
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            out.append((max(a, b), min(a, b)))
+    return out
+
+
+def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_percent: int, miss: float, step: int, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+    """(a, b): components that a link between two members of one bucket joins.
+
+    ``apart``: key, rep, component. A bucket's members are dealt over blocks
+    of about ``block`` texts or ``block_bytes``; those of its largest component
+    go to blocks of their own, which never meet each other. Every two other
+    blocks meet in one task, so a large bucket is spread over many, and a task
+    holds two blocks.
     """
+    sized = apart.join(classes.select("rep", "class", "n_shingles"), "rep")
+    weight = F.greatest(F.lit(1.0 / block), (F.col("n_shingles") * 8 + 1000) / F.lit(float(block_bytes)))
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("blocks"))
+    best = F.struct("n", F.negative("component").alias("order"), "component", "blocks")
+    shape = parts.groupBy("key").agg(F.max(best).alias("best"), F.sum("blocks").alias("all"))
+    shape = shape.select("key", F.col("best.component").alias("top"), F.ceil("best.blocks").cast("int").alias("inner"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("best.blocks"))).cast("int").alias("outer"), (F.col("all") <= 1.0).alias("whole"))
+    placed = sized.join(shape, "key").withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("component") == F.col("top"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    # Meetings (x, y) of outer blocks, x <= y, and of an outer block x with the inner block y, counted from outer on. A small bucket meets as a whole.
+    inside = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda x: F.struct(x.alias("x"), (F.col("outer") + F.col("own")).alias("y"), F.lit(False).alias("left")))
+    ahead = F.transform(F.sequence(F.lit(0), F.col("own")), lambda x: F.struct(x.alias("x"), F.col("own").alias("y"), (x == F.col("own")).alias("left")))
+    behind = F.transform(F.sequence(F.col("own") + 1, F.col("outer") + F.col("inner") - 1), lambda y: F.struct(F.col("own").alias("x"), y.alias("y"), F.lit(True).alias("left")))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left")))
+    meetings = F.when(F.col("whole"), alone).when(F.col("component") == F.col("top"), inside).otherwise(F.concat(ahead, behind))
+    meet = placed.select("class", "key", "component", F.explode(meetings).alias("m")).select("class", "key", "component", "m.x", "m.y", "m.left")
+    rows = meet.join(classes.select("class", "marks", "keys"), "class").join(sets.select("class", "items"), "class")
+    rows = rows.select("key", "x", "y", "left", "component", "marks", "keys", "items").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.desc("left"))
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sides = None, ([], [])
+
+        def done() -> list[tuple[int, int]]:
+            if held is None or not sides[0]:
+                return []
+            left = _Block(held[0], sides[0])
+            if held[1] == held[2]:
+                return joining_links(held[0], left, left, threshold_percent, miss, step)
+            return joining_links(held[0], left, _Block(held[0], sides[1]), threshold_percent, miss, step) if sides[1] else []
+
         for part in parts:
-            found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-            if found:
-                sizes = [len(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(found)), pa.array(np.repeat(sizes, sizes).astype(np.int64))], ["rep", "shingle", "size"])
+            out: list[tuple[int, int]] = []
+            columns = [part.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 7)]
+            columns.insert(6, np.asarray(part.column(6).flatten()).reshape(part.num_rows, -1) if part.num_rows else [])
+            for key, x, y, first, *member in zip(*columns, strict=True):
+                if (key, x, y) != held:
+                    out.extend(done())
+                    held, sides = (key, x, y), ([], [])
+                sides[0 if first else 1].append(tuple(member))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done()], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    rows = sets.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(work, "rep long, shingle long, size long")
-    seen = rows.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-    alone = seen.where("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
-    sizes = rows.groupBy("rep").agg(F.min("size").alias("size"), F.max("size").alias("top"), F.count("*").alias("n"))
-    most = F.when(F.col("n") > F.col("top"), F.col("top")).otherwise(F.col("size") - F.coalesce("alone", F.lit(0)))
-    return sizes.join(alone, "rep", "left").select("rep", "size", most.alias("most"))
+    return rows.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int = 80, bands: int = 48, rows: int = 7, miss: float = 1e-6, step: int = 32) -> DataFrame:
@@ -223,43 +286,38 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     and are kept. Other columns are not carried; no rows give no rows.
     """
     threshold = threshold_percent / 100
+    batches(docs.sparkSession)
     sketches = cut(_sketches(docs, width, bands, rows))
     known = sketches.where("class is not null and doc_id is not null")
     classes = cut(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks"), F.first("keys").alias("keys")))
-    reps = classes.select("class", "n_shingles", "rep")
+    # One class may hold a third of all rows; the join has one row for it on its right, so that adaptive execution can split it.
+    placed = cut(sketches.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left").select("doc_id", "n_shingles", "rep"))
 
     # Buckets that several classes share. Each bucket is centred on its member with the most company over all buckets: in a group of
     # copies that is the text that most of them are close to.
-    entries = classes.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    entries = classes.select("rep", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(entries.join(shared, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
     sets = cut(_sets(docs, company, width))
-    placed = members.select("key", "rep").join(company, "rep")
-    centres = placed.groupBy("key").agg(F.max_by("rep", F.struct("company", "rep")).alias("centre"))
+    ranked = members.select("key", "rep").join(company, "rep")
+    centres = ranked.groupBy("key").agg(F.max_by("rep", F.struct("company", "rep")).alias("centre"))
     pairs = members.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     # The likeliest centre of each member is checked first; the rest only where that leaves components apart.
     likely = _plausible(pairs, classes, threshold, miss, step)
     first = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")))
-    ids = known.join(reps, ["class", "n_shingles"]).select("doc_id", "rep")
-    split = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps")).where("b < top").select(F.explode("reps").alias("a"), "b").where("a <> b")
-    linked = cut(_verified(first, sets, threshold_percent).union(split))
-    components = cut(connected_components(linked, src="a", dst="b"))
-
-    placed = members.join(components, members.rep == components.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = cut(placed.join(mixed, "key"))
-    # A shingle that no other of these documents has can't be common to a pair: an exact bound on what a document can share with any.
-    bound = cut(_shareable(apart.select("rep").distinct(), sets))
-    apart = apart.join(bound, "rep").where(F.col("most") >= F.lit(threshold - 1e-9) * F.col("size"))
-    rest = cut(_across(apart, classes, threshold, miss, step))
-    batches(docs.sparkSession)
-    more = cut(_verified(rest, sets, threshold_percent))
-    if not more.isEmpty():  # every pair across components that could be a link has now been checked
-        components = cut(connected_components(linked.union(more), src="a", dst="b"))
-
-    found = sketches.join(reps, ["class", "n_shingles"], "left").join(components, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), F.col("doc_id")))
+    several = placed.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps"))
+    split = several.where("b < top").select(F.explode("reps").alias("a"), "b").where("a <> b")
+    components = cut(connected_components(_verified(first, sets, threshold_percent).union(split), src="a", dst="b"))
+
+    divided = members.join(components, members.rep == components.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = divided.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    apart = cut(divided.join(mixed, "key").distinct())
+    joined = cut(_across(apart, classes, sets, threshold_percent, miss, step))
+    moved = connected_components(joined, src="a", dst="b").select(F.col("node").alias("component"), F.col("component").alias("least"))  # few: components that have been joined
+
+    found = placed.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).join(moved, "component", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("least", "component", "doc_id"), F.col("doc_id")))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 

@@ -7,6 +7,7 @@ as all these are single-byte characters, word ends never cut a character.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +103,9 @@ def code_points(data: np.ndarray) -> int:
     return len(data) - int(np.count_nonzero((data & 0xC0) == 0x80))
 
 
-def batches(spark, rows: int = 1000) -> None:
-    """Hand at most ``rows`` documents to Python at once, so that long texts stay within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def batches(spark) -> None:
+    """Hand at most 16 MB of rows (or a single longer one) to Python at once, so that long texts stay within a worker's memory. All operators set the same value, and only where the session allows more."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    known = re.match(r"(-?\d+)b?$", spark.conf.get(name))
+    if not known or not 0 < int(known[1]) <= most:
+        spark.conf.set(name, f"{most}b")

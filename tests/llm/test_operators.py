@@ -122,9 +122,9 @@ def test_near_duplicates_against_all_pairs(spark, documents, bodies, width):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [1024, 16, 3])
 def test_near_duplicates_of_a_drifting_group(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash._across, "__defaults__", (block,))
+    monkeypatch.setattr(minhash._across, "__defaults__", (block, 8 << 20))
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
     texts = []
