@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,23 +27,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", hot_share: float = 0.005) -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars: each node with the smallest node that it reaches there."""
+    parent: dict[int, int] = {}
 
-    Alternates the two star operations (link every neighbour to the smallest
-    one, first for larger and then for smaller neighbours) until the edges no
-    longer change, which takes a number of rounds logarithmic in the size of a
-    component. Minima are combined before each shuffle. Nodes that have
-    ``hot_share`` of all edges or more, of which there are at most
-    2 / hot_share, are broadcast instead of shuffled, so no node gathers its
-    edges in one task. Edges with a null end and loops add nothing but their
-    node; no edges, no rows.
+    def root(x: int) -> int:
+        top = x
+        while (up := parent[top]) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for part in parts:
+        for u, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u), parent.setdefault(v, v)
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+
+
+def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", per_task: int = 250_000, hot_share: float = 0.005) -> DataFrame:
+    """(node, component) for every node of an edge; component is the smallest node reachable. Nodes are longs.
+
+    The edges are dealt over tasks of about ``per_task``, and each task turns
+    its own into stars. Then two star operations alternate (link every
+    neighbour to the smallest one, first for larger and then for smaller
+    neighbours) until the edges no longer change, which takes a number of
+    rounds logarithmic in the size of a component; where one task holds all
+    edges there is nothing left to do. Minima are combined before each shuffle.
+    Nodes that have ``hot_share`` of all edges or more, of which there are at
+    most 2 / hot_share, are broadcast instead of shuffled, so no node gathers
+    its edges in one task. Edges with a null end and loops add nothing but
+    their node; no edges, no rows.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    current = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
+    dealt = cut(pairs)
+    tasks = dealt.count() // per_task + 1
+    current = cut(dealt.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
     mark = F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
-    now = current.agg(*mark).first()
-    while True:
+    before, now = None, current.agg(*mark).first() if tasks > 1 else None
+    while before != now:
         both = current.where("u <> v").select("u", "v").union(current.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         many = max(1000, int(hot_share * now[0]))
@@ -56,8 +84,6 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         current = cut(small.union(loops).distinct())
         before, now = now, current.agg(*mark).first()
-        if now == before:
-            break
     stars = current.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.union(roots).groupBy("node").agg(F.min("component").alias("component"))
