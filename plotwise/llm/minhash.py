@@ -68,28 +68,37 @@ def _class(items: np.ndarray) -> str:
     return f"{int(items.sum(dtype=_U64)):016x}{int(mix64(items + _U64(0x5851F42D4C957F2D)).sum(dtype=_U64)):016x}"
 
 
+def band_keys(marks: np.ndarray, rows: int) -> np.ndarray:
+    """(n, bands): a key for each band of n signatures; texts meet in a bucket where all marks of a band are equal."""
+    n, width = marks.shape
+    turn = mix64(np.arange(101, 101 + rows, dtype=_U64)) | _U64(1)
+    salt = mix64(np.arange(1, width // rows + 1, dtype=_U64))
+    return mix64((marks.reshape(n, width // rows, rows).astype(_U64) * turn).sum(axis=2, dtype=_U64) ^ salt).view(np.int64)
+
+
 def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set), marks (a byte of each MinHash value), keys (of the bands)."""
+    """doc_id, n_shingles, class (hash of the set), marks (the signature: a byte of each MinHash value)."""
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale, mask = permutations(bands * rows)
-        salt = mix64(np.arange(1, bands + 1, dtype=_U64))
-        turn = mix64(np.arange(101, 101 + rows, dtype=_U64)) | _U64(1)
         for part in parts:
-            sizes, classes, marks, keys = [], [], [], []
-            for data in texts(part.column(1)):
-                items = shingle_set(data, width)
-                sizes.append(len(items))
-                if not len(items):
-                    classes.append(None), marks.append(None), keys.append(None)
-                    continue
-                classes.append(_class(items))
-                mins = signature(items, scale, mask)
-                marks.append((mins & np.uint32(255)).astype(np.uint8).tobytes())
-                keys.append(mix64((mins.reshape(bands, rows).astype(_U64) * turn).sum(axis=1, dtype=_U64) ^ salt).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "marks", "keys"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, class string, marks binary, keys array<long>")
+            found = [shingle_set(data, width) for data in texts(part.column(1))]
+            marks = [(signature(x, scale, mask) & np.uint32(255)).astype(np.uint8).tobytes() if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([_class(x) if len(x) else None for x in found], pa.string()), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "class", "marks"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, class string, marks binary")
+
+
+def _entries(classes: DataFrame, rows: int) -> DataFrame:
+    """(rep, key) for every band of every class."""
+
+    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                keys = band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1])), pa.array(keys.reshape(-1))], ["rep", "key"])
+
+    return classes.select("rep", "marks").mapInArrow(work, "rep long, key long")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float, step: int) -> DataFrame:
@@ -149,12 +158,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> Data
 class _Block:
     """Members of a bucket that one task compares: components, marks, band keys and shingle sets."""
 
-    def __init__(self, key: int, rows: list[tuple]):
-        rows = [r for r in rows if key in r[2]]  # where a doc_id repeats, not all its texts are in each of its buckets
-        self.component = np.array([r[0] for r in rows], np.int64)
-        self.marks = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
-        self.keys = np.array([r[2] for r in rows], np.int64).reshape(len(rows), -1)
-        self.items = [np.frombuffer(r[3], _U64) for r in rows]
+    def __init__(self, key: int, members: list[tuple[int, bytes, bytes]], rows: int):
+        marks = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(members), -1)
+        keys = band_keys(marks, rows)
+        here = np.flatnonzero((keys == key).any(axis=1))  # where a doc_id repeats, not all its texts are in each of its buckets
+        self.component = np.array([m[0] for m in members], np.int64)[here]
+        self.marks, self.keys = marks[here], keys[here]
+        self.items = [np.frombuffer(members[k][2], _U64) for k in here]
         self.size = np.array([len(x) for x in self.items], np.int64)
 
 
@@ -219,7 +229,7 @@ def joining_links(key: int, left: _Block, right: _Block, threshold_percent: int,
     return out
 
 
-def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_percent: int, miss: float, step: int, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_percent: int, miss: float, step: int, rows: int, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
     """(a, b): components that a link between two members of one bucket joins.
 
     ``apart``: key, rep, component. A bucket's members are dealt over blocks
@@ -242,8 +252,8 @@ def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_per
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(True).alias("left")))
     meetings = F.when(F.col("whole"), alone).when(F.col("component") == F.col("top"), inside).otherwise(F.concat(ahead, behind))
     meet = placed.select("class", "key", "component", F.explode(meetings).alias("m")).select("class", "key", "component", "m.x", "m.y", "m.left")
-    rows = meet.join(classes.select("class", "marks", "keys"), "class").join(sets.select("class", "items"), "class")
-    rows = rows.select("key", "x", "y", "left", "component", "marks", "keys", "items").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", F.desc("left"))
+    full = meet.join(classes.select("class", "marks"), "class").join(sets.select("class", "items"), "class")
+    full = full.select("key", "x", "y", "left", "component", "marks", "items").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sides = None, ([], [])
@@ -251,16 +261,14 @@ def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_per
         def done() -> list[tuple[int, int]]:
             if held is None or not sides[0]:
                 return []
-            left = _Block(held[0], sides[0])
+            left = _Block(held[0], sides[0], rows)
             if held[1] == held[2]:
                 return joining_links(held[0], left, left, threshold_percent, miss, step)
-            return joining_links(held[0], left, _Block(held[0], sides[1]), threshold_percent, miss, step) if sides[1] else []
+            return joining_links(held[0], left, _Block(held[0], sides[1], rows), threshold_percent, miss, step) if sides[1] else []
 
         for part in parts:
             out: list[tuple[int, int]] = []
-            columns = [part.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 7)]
-            columns.insert(6, np.asarray(part.column(6).flatten()).reshape(part.num_rows, -1) if part.num_rows else [])
-            for key, x, y, first, *member in zip(*columns, strict=True):
+            for key, x, y, first, *member in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
                 if (key, x, y) != held:
                     out.extend(done())
                     held, sides = (key, x, y), ([], [])
@@ -268,7 +276,7 @@ def _across(apart: DataFrame, classes: DataFrame, sets: DataFrame, threshold_per
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done()], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(work, "a long, b long").distinct()
+    return full.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int = 80, bands: int = 48, rows: int = 7, miss: float = 1e-6, step: int = 32) -> DataFrame:
@@ -289,23 +297,22 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     batches(docs.sparkSession)
     sketches = cut(_sketches(docs, width, bands, rows))
     known = sketches.where("class is not null and doc_id is not null")
-    classes = cut(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks"), F.first("keys").alias("keys")))
+    classes = cut(known.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks")))
     # One class may hold a third of all rows; the join has one row for it on its right, so that adaptive execution can split it.
     placed = cut(sketches.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left").select("doc_id", "n_shingles", "rep"))
 
     # Buckets that several classes share. Each bucket is centred on its member with the most company over all buckets: in a group of
     # copies that is the text that most of them are close to.
-    entries = classes.select("rep", F.explode("keys").alias("key"))
+    entries = _entries(classes, rows)
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(entries.join(shared, "key"))
     company = members.groupBy("rep").agg(F.sum("n").alias("company"))
     sets = cut(_sets(docs, company, width))
     ranked = members.select("key", "rep").join(company, "rep")
-    centres = ranked.groupBy("key").agg(F.max_by("rep", F.struct("company", "rep")).alias("centre"))
-    pairs = members.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    # The likeliest centre of each member is checked first; the rest only where that leaves components apart.
-    likely = _plausible(pairs, classes, threshold, miss, step)
-    first = cut(likely.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")))
+    centres = ranked.groupBy("key").agg(F.max(F.struct("company", "rep")).alias("centre"))
+    # Each member is first compared with the centre of most company among its buckets; what that leaves apart is compared below.
+    pairs = members.join(centres, "key").groupBy(F.col("rep").alias("a")).agg(F.max(F.when(F.col("rep") != F.col("centre.rep"), F.col("centre"))).alias("centre"))
+    first = cut(_plausible(pairs.where("centre is not null").select("a", F.col("centre.rep").alias("b")), classes, threshold, miss, step))
     several = placed.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps"))
     split = several.where("b < top").select(F.explode("reps").alias("a"), "b").where("a <> b")
     components = cut(connected_components(_verified(first, sets, threshold_percent).union(split), src="a", dst="b"))
@@ -313,7 +320,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold_percent: int =
     divided = members.join(components, members.rep == components.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = divided.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     apart = cut(divided.join(mixed, "key").distinct())
-    joined = cut(_across(apart, classes, sets, threshold_percent, miss, step))
+    joined = cut(_across(apart, classes, sets, threshold_percent, miss, step, rows))
     moved = connected_components(joined, src="a", dst="b").select(F.col("node").alias("component"), F.col("component").alias("least"))  # few: components that have been joined
 
     found = placed.join(components, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).join(moved, "component", "left")
