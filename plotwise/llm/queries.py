@@ -15,8 +15,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
-    return plan.orderBy("virtual_finish", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.mix_plan(_read(spark, sf_dir, "documents"), columns=["doc_id"])
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +80,12 @@ r AS (SELECT *, 3 * s / w AS dry, sum(s) OVER () AS budget, sum(w) OVER () AS al
   coalesce(sum(3 * s) OVER b, 0) AS cap_before, coalesce(sum(w) OVER b, 0) AS w_before
   FROM s WINDOW b AS (ORDER BY 3 * s / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT max((budget - cap_before) / (all_w - w_before)) AS level FROM r WHERE (budget - cap_before) / (all_w - w_before) <= dry),
-p AS (SELECT d.*, r.s, r.w, v.level, sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN r USING (k), v)
-SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, least(w * level, 3 * s) AS target,
-  size * CASE WHEN s = 0 THEN 0 ELSE greatest(0, least(3, CAST(floor((2 * w * level - 2 * before - size) / (2 * s)) AS BIGINT) + 1)) END AS taken
-FROM p
+p AS (SELECT d.*, r.s, r.w, v.level, r.budget, sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN r USING (k), v),
+q AS (SELECT doc_id, k, h, e, size, budget, (e * s + before + size) / w AS finish FROM p, (SELECT unnest([0, 1, 2]) AS e) WHERE size > 0),
+t AS (SELECT doc_id, k, h, e, size, budget, sum(size) OVER (ORDER BY finish, k, e, h, doc_id ROWS UNBOUNDED PRECEDING) - size AS served FROM q),
+n AS (SELECT doc_id, k, h, count(*) AS n FROM t WHERE 2 * served + size <= 2 * budget GROUP BY ALL)
+SELECT p.doc_id, size, CAST(s AS BIGINT) AS source_size, least(w * level, 3 * s) AS target, size * coalesce(n, 0) AS taken
+FROM p LEFT JOIN n ON n.k = p.k AND n.h = p.h AND n.doc_id IS NOT DISTINCT FROM p.doc_id
 """ % _WORDS  # noqa: UP031
 
 OP3_SQL = r"""
