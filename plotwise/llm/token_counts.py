@@ -4,85 +4,157 @@ An Aho-Corasick automaton finds every piece of a unigram vocabulary in a text;
 dynamic programming carries, for each place, the best score of a segmentation
 up to there and its number of pieces. No segmentation is ever built.
 
-Ties follow the tokenizer's rule: of equal scores at a place, the piece with
-the earliest start stays. A character that is no piece costs 10 less than the
-lowest score and counts as its bytes. Scores are added in double precision.
+The rules are the tokenizer's own, so that ties fall as it lets them: of one
+place the piece that starts earliest stays unless a later one is better; sums
+are rounded to single precision; where the best score of a place is beyond
+100,000, it is taken off that place and all further ones first. A character
+that is no piece costs 10 less than the lowest score and counts as its bytes.
+
+What a word adds depends on the score before it only through this rounding, so
+words are remembered with what of that score can matter; see ``Counter.classes``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from ctypes import c_float
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .sentencepiece import BYTE, MARK, MODEL, NORMAL, Pieces, load
+from .sentencepiece import BYTE, MARK, MODEL, NORMAL, USER, Pieces, load
 from .text import batches
 
+# The score beyond which the tokenizer starts from 0 again; bits of a single-precision number.
+RESET, BITS = 100_000.0, 24
+_NONE = float("-inf")
+
+
+def _single(x: float) -> float:
+    return c_float(x).value
+
 
 class Counter:
-    """Counts the pieces of texts. Pieces never hold a mark behind another character, so words are counted by themselves and remembered."""
+    """Counts the pieces of texts. Pieces never hold a mark behind another character, so a text's words follow each other without sharing a piece."""
 
-    def __init__(self, pieces: Pieces, memory: int = 500_000):
-        known = [(p, s) for p, s, k in zip(pieces.names, pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
-        self.single = {p for p, _ in known if len(p) == 1}
-        self.lost = min((s for _, s in known), default=0.0) - 10.0
+    def __init__(self, pieces: Pieces, memory: int = 400_000):
+        scores = [_single(s) for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
+        highest = max(scores, default=0.0)
+        known = {p: _single(s) if k == NORMAL else len(p.encode()) * highest - 0.1 for p, s, k in zip(pieces.names, pieces.scores, pieces.kinds, strict=True) if k in (NORMAL, USER)}
+        self.lost = _single(min(scores, default=0.0) - 10.0)
         self.fallback = BYTE in pieces.kinds
         self.automaton = ahocorasick.Automaton()
-        for p, s in known:
+        for p, s in known.items():
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
-        self.words: dict[str, tuple[int, float]] = {}
-        self.memory = memory
-
-    def word(self, text: str) -> tuple[int, float]:
-        """(pieces, score) of the best segmentation."""
-        n = len(text)
-        best, count = [float("-inf")] * (n + 1), [0] * (n + 1)
-        best[0], done = 0.0, 0
-        matches = self.automaton.iter(text)
-        found = next(matches, None)
-        for end in range(1, n + 1):
-            while found is not None and found[0] + 1 == end:  # of one end the longest, which start first, come first
-                size, score = found[1]
-                value = best[end - size] + score
+        # If the mark alone is beyond the reset, every word resets behind it, and of whole-numbered scores only the rounding there is left.
+        self.mark = known.get(MARK, self.lost)
+        mark = abs(self.mark)
+        whole = all(v == int(v) for v in known.values()) and self.lost == int(self.lost)
+        self.period = 2 * math.ldexp(1.0, math.frexp(mark + RESET)[1] - BITS) if whole and mark > 2 * RESET and math.frexp(mark - RESET)[1] == math.frexp(mark + RESET)[1] else 0.0
+        self.known: dict[str, tuple[list[int] | None, list | dict]] = {}
+        self.exact = 2.0**BITS if whole else 0.0  # below this, sums of whole numbers need no rounding
+        self.rounded: dict[tuple[float, ...], list[int]] = {}
+        self.memory, self.held = memory, 0
+
+    def arcs(self, text: str) -> list[list[tuple[int, float]]]:
+        """(end, score) of the pieces that start at each place, the shortest first."""
+        out: list[list[tuple[int, float]]] = [[] for _ in text]
+        for last, (size, score) in self.automaton.iter(text):
+            out[last + 1 - size].append((last + 1, score))
+        return out
+
+    def word(self, text: str, before: float = 0.0, arcs: list | None = None) -> tuple[int, float, float]:
+        """(pieces, score, what it adds) of the best segmentation of a word behind the score ``before``; the score counts from the last reset."""
+        n, lost, exact = len(text), self.lost, self.exact
+        best, count, taken = [_NONE] * (n + 1), [0] * (n + 1), 0.0
+        best[0] = before
+        for start, found in enumerate(arcs or self.arcs(text)):
+            here = best[start]
+            if here > RESET or here < -RESET:
+                taken += here
+                for k in range(start + 1, n + 1):
+                    if best[k] > _NONE:
+                        best[k] = _single(best[k] - here)
+                here = 0.0
+            ahead = count[start] + 1
+            for end, score in found:
+                value = here + score
                 if value > best[end]:
-                    best[end], count[end] = value, count[end - size] + 1
-                found = next(matches, None)
-            char = text[end - 1]
-            if char not in self.single and best[done] + self.lost > best[end]:
-                best[end], count[end] = best[done] + self.lost, count[done] + (len(char.encode()) if self.fallback else 1)
-            done = end
-        return count[n], best[n]
+                    best[end] = value if -exact < value < exact else _single(value)
+                    count[end] = ahead
+            if not found or found[0][0] != start + 1:
+                value = _single(here + lost)
+                if value > best[start + 1]:
+                    best[start + 1], count[start + 1] = value, ahead - 1 + (len(text[start].encode()) if self.fallback else 1)
+        return count[n], best[n], taken + best[n] - before
+
+    def state(self, score: float) -> float | int:
+        """What the next word has to know of the score before it: nothing if that is beyond the reset; its remainder, below 0, if only rounding depends on it."""
+        if abs(score) > RESET:
+            return 0
+        return -int(score) % int(self.period) if self.period else score
+
+    def classes(self, heads: list[tuple[int, float]]) -> list[int]:
+        """For each remainder of the score before a word, a class that stands for what is left of it behind the word's first reset. ``heads``: the word's first pieces."""
+        key = tuple([score for end, score in heads if end > 1])
+        found = self.rounded.get(key)
+        if found is None:
+            before = -np.arange(int(self.period), dtype=np.float64)
+            base = (before + self.mark).astype(np.float32)
+            left = [((before + s).astype(np.float32) - base).tolist() for s in key]
+            kinds = list(zip(*left, strict=True)) if left else [()] * len(before)
+            number = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+            found = self.rounded[key] = [number[k] for k in kinds]
+        return found
+
+    def _learn(self, part: str, now: float | int) -> tuple[int, float | int, float]:
+        """(pieces, state behind, score added) of a word; the first remainder of a class stands for all."""
+        text = part if part[0] == MARK else MARK + part
+        arcs, known = self.arcs(text), self.known.get(part)
+        if known is None:
+            kinds = self.classes(arcs[0]) if self.period else None
+            known = (kinds, [None] * (max(kinds) + 1) if kinds else {})
+        key = known[0][now] if known[0] else now
+        n, score, added = self.word(text, -float(known[0].index(key)) if known[0] else float(now), arcs)
+        got = known[1][key] = n, self.state(score), added
+        if len(part) <= 64:
+            self.known[part] = known
+            self.held += 1
+        return got
+
+    def _words(self, text: str) -> Iterator[str]:
+        """The words with their marks, but for a single mark in front."""
+        text = text.replace(MARK, " ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            yield from text.split(" ")
+            return
+        marks = 0
+        for part in text.split(" "):
+            marks += 1
+            if part:
+                yield part if marks == 1 else MARK * marks + part
+                marks = 0
+        if marks:
+            yield MARK * marks
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a whole text; an empty one has none."""
         if not text:
             return 0, 0.0
-        pieces, score, marks = 0, 0.0, 0
-        get, words = self.words.get, self.words
-        for part in text.replace(MARK, " ").split(" "):
-            marks += 1
-            if part and marks == 1:
-                got = get(part)
-                if got is None:
-                    got = self.word(MARK + part)
-                    if len(words) >= self.memory:
-                        words.clear()
-                    if len(part) <= 64:
-                        words[part] = got
-            elif part:
-                got = self.word(MARK * marks + part)
-            else:
-                continue
-            pieces += got[0]
-            score += got[1]
-            marks = 0
-        if marks:
-            got = self.word(MARK * marks)
-            pieces, score = pieces + got[0], score + got[1]
-        return pieces, score
+        if self.held >= self.memory:
+            self.known, self.held = {}, 0
+        pieces, total, now = 0, 0.0, 0
+        find = self.known.get
+        for part in self._words(text):
+            known = find(part)
+            n, now, added = (known and (known[1][known[0][now]] if known[0] else known[1].get(now))) or self._learn(part, now)
+            pieces += n
+            total += added
+        return pieces, total
 
 
 def count_tokens(docs: DataFrame, *, path: str = MODEL) -> DataFrame:
