@@ -53,27 +53,29 @@ def unescape(body: str) -> str:
     return _BACK.sub(r"\1", body)
 
 
-def reply_paths(messages: DataFrame, *, max_doublings: int = 40) -> DataFrame:
+def reply_paths(messages: DataFrame) -> DataFrame:
     """(conv_id, leaf_id, depth, msg_id, score): for every leaf, the messages from its root (depth 0) to it.
 
     ``messages``: conv_id, msg_id (unique in its conversation), parent_id (null
     at a root), score. A message whose parent isn't there is a root, too.
-    Messages on a cycle have no leaf below them and are in no path.
+    Messages on a cycle, or below one, have no root and are in no path.
     """
-    nodes = messages.select("conv_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    nodes = cut(messages.select("conv_id", "msg_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     known = nodes.select("conv_id", F.col("msg_id").alias("up"))
-    hops = cut(nodes.select("conv_id", "msg_id", F.col("parent_id").alias("up")).where("up is not null").join(known, ["conv_id", "up"]).select("conv_id", "msg_id", "up"))
-    parents = hops.select("conv_id", F.col("up").alias("msg_id")).distinct()
+    # Level k holds the ancestor 2**k further up of each message that has one.
+    levels = [cut(nodes.select("conv_id", "msg_id", F.col("parent_id").alias("up")).where("up is not null").join(known, ["conv_id", "up"]).select("conv_id", "msg_id", "up"))]
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    while 1 << (len(levels) - 1) <= most and not levels[-1].isEmpty():
+        last = levels[-1]
+        levels.append(cut(last.join(last.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("top")), ["conv_id", "up"]).select("conv_id", "msg_id", F.col("top").alias("up"))))
+    # What still has an ancestor further up than a conversation is long goes round a cycle.
+    parents = levels[0].select("conv_id", F.col("up").alias("msg_id")).union(levels[-1].select("conv_id", "msg_id")).distinct()
     leaves = nodes.join(parents, ["conv_id", "msg_id"], "left_anti")
-    # Each leaf with all its ancestors: step k adds, for what is known, the ancestor 2**k further up.
-    paths = cut(leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).alias("up_steps")))
-    for k in range(max_doublings):
-        further = hops.withColumnRenamed("up", "above")
-        more = cut(paths.join(further, ["conv_id", "msg_id"]).select("conv_id", "leaf_id", F.col("above").alias("msg_id"), (F.col("up_steps") + (1 << k)).alias("up_steps")))
-        if more.isEmpty():
-            break
-        paths = paths.union(more)
-        hops = cut(hops.join(hops.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("top")), ["conv_id", "up"]).select("conv_id", "msg_id", F.col("top").alias("up")))
+    # Each leaf with all its ancestors: a round adds those 1, 2, 4, ... steps above what is known.
+    paths = leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up_steps"))
+    for k, level in enumerate(levels[:-1]):
+        above = level.withColumnRenamed("up", "above")
+        paths = cut(paths.union(paths.join(above, ["conv_id", "msg_id"]).select("conv_id", "leaf_id", F.col("above").alias("msg_id"), (F.col("up_steps") + (1 << k)).alias("up_steps"))))
     depth = F.max("up_steps").over(Window.partitionBy("conv_id", "leaf_id")) - F.col("up_steps")
     return paths.join(nodes.select("conv_id", "msg_id", "score"), ["conv_id", "msg_id"]).select("conv_id", "leaf_id", depth.alias("depth"), "msg_id", "score")
 
@@ -93,16 +95,22 @@ def format_trees(messages: DataFrame, *, branches: int | None = 1) -> DataFrame:
     ``messages``: conv_id, msg_id, parent_id, score, role, text. loss_spans are
     the (start, end) in characters of the escaped texts of assistant turns.
 
-    Null roles and texts count as empty; null conv_ids form one conversation.
-    Other columns are not carried; no rows give no rows. The turns of a path
+    Null roles and texts count as empty; null conv_ids form one conversation,
+    null msg_ids one message. Of several rows with one msg_id in a conversation
+    the first by parent_id, score, role and text holds, nulls first, so a
+    repeated message is one turn. Other columns are not carried; no rows give
+    no rows. The turns of a path
     are sorted by the shuffle and written one after the other; a task holds
     the conversation that it is writing, which is one row of the result.
     """
     spark = messages.sparkSession
     batches(spark)
-    safe = messages.withColumns({"conv_id": F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))), "role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    none = F.lit(-(1 << 63))  # stands for null ids
+    safe = messages.select(F.coalesce(F.col("conv_id").cast("long"), none).alias("conv_id"), F.coalesce(F.col("msg_id").cast("long"), none).alias("msg_id"), F.col("parent_id").cast("long").alias("parent_id"), F.col("score").cast("double").alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Texts are shuffled here, and again when the turns of a path come together; paths are found without them.
+    safe = cut(safe.groupBy("conv_id", "msg_id").agg(F.min(F.struct("parent_id", "score", "role", "text")).alias("m")).select("conv_id", "msg_id", "m.*"))
     chosen = choose_paths(reply_paths(safe), branches=branches)
-    rows = chosen.join(safe.select("conv_id", "msg_id", "role", "text"), ["conv_id", "msg_id"]).select("conv_id", "leaf_id", "rank", "depth", "role", "text")
+    rows = safe.select("conv_id", "msg_id", "role", "text").join(chosen, ["conv_id", "msg_id"]).select("conv_id", "leaf_id", "rank", "depth", "role", "text")
     rows = rows.repartition("conv_id", "leaf_id").sortWithinPartitions("conv_id", "leaf_id", "depth")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +145,7 @@ def format_trees(messages: DataFrame, *, branches: int | None = 1) -> DataFrame:
 
     schema = "conv_id long, leaf_id long, rank long, formatted string, loss_spans array<struct<start:long,end:long>>"
     found = rows.mapInArrow(work, schema)
-    return found.withColumn("conv_id", F.when(F.col("conv_id") != -(1 << 63), F.col("conv_id")))
+    return found.withColumns({c: F.when(F.col(c) != none, F.col(c)) for c in ("conv_id", "leaf_id")})
 
 
 def chains(turns: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import batches, code_points, mix64, powers, span_hashes, texts, word_bounds
+from ..operators.graph import cut
+from .text import batches, code_points, mix64, powers, span_hashes, texts, unused, word_bounds
 
 _U64 = np.uint64
 # Bytes that end a sentence, and bytes that may follow such a mark within the word.
@@ -24,14 +25,15 @@ _AFTER = np.zeros(256, bool)
 _AFTER[list(AFTER)] = True
 
 
-def sentences(data: np.ndarray, long: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sentences(data: np.ndarray, long: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bounds in bytes and first words of the sentences, with the hashes of all words: (starts, firsts, word hashes).
 
     A sentence ends after a word that ends in one of .!? (closing quotes or
-    brackets may follow) or before a line break. One of more than ``long``
-    words is cut further, after words whose hash falls in a fixed quarter, so
-    that the cuts of a passage don't depend on what stands around it.
-    ``starts`` has one more entry, the end of the text.
+    brackets may follow) or before a line break. Only a very long one, of more
+    than ``long`` words, is cut further, after words whose hash falls in a
+    fixed quarter, so that text without marks has places to compare, too, and
+    the cuts of a passage don't depend on what stands around it. ``starts`` has
+    one more entry, the end of the text.
     """
     begin, end = word_bounds(data)
     n = len(begin)
@@ -87,51 +89,38 @@ def _runs(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(work, "doc_id long, hash long")
 
 
-def repeated_runs(docs: DataFrame, *, run: int = 3, min_words: int = 20) -> DataFrame:
-    """(doc_id, hash): each run of sentences that a document with a smaller doc_id has too."""
-    runs = _runs(docs, run, min_words)
+def repeated_runs(docs: DataFrame, *, run: int = 2, min_words: int = 25) -> DataFrame:
+    """(doc_id, hash): each run of sentences that a document with a smaller doc_id has too. Texts are hashed once."""
+    runs = cut(_runs(docs, run, min_words))
     # Extremes are combined before the shuffle, so a passage that very many documents share costs a row per task.
     firsts = runs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
     return runs.join(firsts, "hash").where("doc_id > first").select("doc_id", "hash")
 
 
-def dedup_substrings(docs: DataFrame, *, run: int = 3, min_words: int = 20) -> DataFrame:
-    """docs with repeated passages taken out of ``text``, plus n_sentences, n_removed (sentences) and removed_chars.
-
-    A sentence goes if any run of ``run`` consecutive sentences that covers it
-    (or more, until they have ``min_words`` words) stands earlier, in a document
-    with a smaller doc_id or before in the same text. Words are compared as
-    they stand; white space only matters where a line break ends a sentence. The first occurrence always stays whole.
-
-    Null and empty texts stay as they are. Rows without a doc_id take no part
-    and stay. Rows that repeat a doc_id count as one document: equal texts are
-    treated alike and their runs never count against each other. A column of docs named
-    like an added one is replaced; no rows give no rows. A text of which
-    nothing is left becomes empty, and its row stays.
-    """
+def _without_repeats(docs: DataFrame, run: int, min_words: int, counts: tuple[str, str, str]) -> DataFrame:
+    """docs with repeated passages taken out of ``text``, and three counts under the given names."""
     batches(docs.sparkSession)
-    added = ("n_sentences", "n_removed", "removed_chars")
-    kept = [c for c in docs.columns if c not in added]
+    kept, held = docs.columns, unused("runs", docs.columns)
     # One document's runs; their number is bounded by its length.
-    flagged = repeated_runs(docs, run=run, min_words=min_words).groupBy("doc_id").agg(F.collect_set("hash").alias("__runs"))
-    joined = docs.select(*kept).join(flagged, "doc_id", "left").select(*kept, "__runs")
+    flagged = repeated_runs(docs, run=run, min_words=min_words).groupBy("doc_id").agg(F.collect_set("hash").alias(held))
+    joined = docs.join(flagged, "doc_id", "left").select(*kept, held)
+    where = kept.index("text")
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = kept.index("text")
         for part in parts:
-            bodies, counts, gone, chars = part.column(where).to_pylist(), [], [], []
+            bodies, found, gone, chars = part.column(where).to_pylist(), [], [], []
             for k, (data, elsewhere) in enumerate(zip(texts(part.column(where)), part.column(len(kept)), strict=True)):
                 starts, firsts, words = sentences(data)
-                at, upto, found = run_hashes(firsts, words, run, min_words)
-                again = np.ones(len(found), bool)
-                again[np.unique(found, return_index=True)[1]] = False
+                at, upto, hashes = run_hashes(firsts, words, run, min_words)
+                again = np.ones(len(hashes), bool)
+                again[np.unique(hashes, return_index=True)[1]] = False
                 if elsewhere.is_valid:
-                    again |= np.isin(found, np.asarray(elsewhere.values, np.int64).view(_U64))
+                    again |= np.isin(hashes, np.asarray(elsewhere.values, np.int64).view(_U64))
                 steps = np.zeros(len(firsts) + 1, np.int64)
                 np.add.at(steps, at[again], 1)
                 np.add.at(steps, upto[again], -1)
                 drop = np.cumsum(steps)[:-1] > 0
-                counts.append(len(firsts)), gone.append(int(drop.sum()))
+                found.append(len(firsts)), gone.append(int(drop.sum()))
                 if drop.any():
                     stay = np.repeat(~drop, np.diff(starts))
                     bodies[k] = data[stay].tobytes().decode()
@@ -140,9 +129,41 @@ def dedup_substrings(docs: DataFrame, *, run: int = 3, min_words: int = 20) -> D
                     chars.append(0)
             columns = [part.column(i) for i in range(len(kept))]
             columns[where] = pa.array(bodies, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(chars, pa.int64())], [*kept, *added])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (found, gone, chars))], [*kept, *counts])
 
-    schema = docs.select(*kept).schema
-    for name in added:
+    schema = docs.schema
+    for name in counts:
         schema = schema.add(name, "long")
     return joined.mapInArrow(work, schema)
+
+
+def dedup_substrings(docs: DataFrame, *, run: int = 2, min_words: int = 25) -> DataFrame:
+    """docs with repeated passages taken out of ``text``, plus n_sentences, n_removed (sentences) and removed_chars.
+
+    A sentence goes if any run of ``run`` consecutive sentences that covers it
+    (or more, until they have ``min_words`` words) stands earlier, in a document
+    with a smaller doc_id or before in the same text. Words are compared as
+    they stand; white space only matters where a line break ends a sentence.
+    The first occurrence always stays whole.
+
+    Null and empty texts stay as they are. Rows without a doc_id take no part
+    and stay. Rows that repeat a doc_id count as one document: equal texts are
+    treated alike and their runs never count against each other. A column of docs named
+    like an added one is replaced; no rows give no rows. A text of which
+    nothing is left becomes empty, and its row stays.
+    """
+    added = ("n_sentences", "n_removed", "removed_chars")
+    return _without_repeats(docs.drop(*added), run, min_words, added)
+
+
+def drop_repeated_passages(docs: DataFrame, *, run: int = 2, min_words: int = 25) -> DataFrame:
+    """docs, with their own columns, without the passages that :func:`dedup_substrings` takes out, and without the rows of which nothing is left by that.
+
+    n_chars, if docs has it, follows the text. Rows whose text was null or
+    without words before stay. All else as in :func:`dedup_substrings`.
+    """
+    counts = tuple(unused(name, docs.columns) for name in ("found", "gone", "chars"))
+    cleaned = _without_repeats(docs, run, min_words, counts).where((F.col(counts[1]) == 0) | (F.length(F.trim("text")) > 0))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)

@@ -103,6 +103,14 @@ def code_points(data: np.ndarray) -> int:
     return len(data) - int(np.count_nonzero((data & 0xC0) == 0x80))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many marks behind it as make it differ from all columns, which Spark compares without regard to case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batches(spark) -> None:
     """Hand at most 16 MB of rows (or a single longer one) to Python at once, so that long texts stay within a worker's memory. All operators set the same value, and only where the session allows more."""
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
