@@ -40,7 +40,7 @@ def _single(x: float) -> float:
 class Counter:
     """Counts the pieces of texts. Pieces never hold a mark behind another character, so a text's words follow each other without sharing a piece."""
 
-    def __init__(self, pieces: Pieces, memory: int = 400_000):
+    def __init__(self, pieces: Pieces, memory: int = 600_000):
         scores = [_single(s) for s, k in zip(pieces.scores, pieces.kinds, strict=True) if k == NORMAL]
         highest = max(scores, default=0.0)
         known = {p: _single(s) if k == NORMAL else len(p.encode()) * highest - 0.1 for p, s, k in zip(pieces.names, pieces.scores, pieces.kinds, strict=True) if k in (NORMAL, USER)}
@@ -55,9 +55,12 @@ class Counter:
         mark = abs(self.mark)
         whole = all(v == int(v) for v in known.values()) and self.lost == int(self.lost)
         self.period = 2 * math.ldexp(1.0, math.frexp(mark + RESET)[1] - BITS) if whole and mark > 2 * RESET and math.frexp(mark - RESET)[1] == math.frexp(mark + RESET)[1] else 0.0
-        self.known: dict[str, tuple[list[int] | None, list | dict]] = {}
+        self.known: dict = {}
+        self.tables: list[dict[str, tuple]] = []  # by class
+        self.heads: dict[str, tuple] = {}
         self.exact = 2.0**BITS if whole else 0.0  # below this, sums of whole numbers need no rounding
-        self.rounded: dict[tuple[float, ...], list[int]] = {}
+        self.rounded: dict[tuple, tuple] = {}
+        self.single = {p for p, s in known.items() if len(p) == 1 and abs(s) < RESET}
         self.memory, self.held = memory, 0
 
     def arcs(self, text: str) -> list[list[tuple[int, float]]]:
@@ -67,12 +70,12 @@ class Counter:
             out[last + 1 - size].append((last + 1, score))
         return out
 
-    def word(self, text: str, before: float = 0.0, arcs: list | None = None) -> tuple[int, float, float]:
+    def word(self, text: str, before: float = 0.0) -> tuple[int, float, float]:
         """(pieces, score, what it adds) of the best segmentation of a word behind the score ``before``; the score counts from the last reset."""
         n, lost, exact = len(text), self.lost, self.exact
         best, count, taken = [_NONE] * (n + 1), [0] * (n + 1), 0.0
         best[0] = before
-        for start, found in enumerate(arcs or self.arcs(text)):
+        for start, found in enumerate(self.arcs(text)):
             here = best[start]
             if here > RESET or here < -RESET:
                 taken += here
@@ -98,31 +101,62 @@ class Counter:
             return 0
         return -int(score) % int(self.period) if self.period else score
 
-    def classes(self, heads: list[tuple[int, float]]) -> list[int]:
-        """For each remainder of the score before a word, a class that stands for what is left of it behind the word's first reset. ``heads``: the word's first pieces."""
-        key = tuple([score for end, score in heads if end > 1])
-        found = self.rounded.get(key)
+    def classes(self, text: str) -> tuple[list[int], list[tuple]]:
+        """For each remainder of the score before a word, the number of a class in ``self.tables``; and for each such class its first remainder, the score taken off behind the mark and (end, score) of what is left of the word's first pieces then. Nothing else of the score before is left there."""
+        head = text[: self.automaton.longest_prefix(text)]
+        found = self.heads.get(head)
+        if found is None:
+            heads = tuple((size, s) for last, (size, s) in self.automaton.iter(head) if size > last > 0)
+            found = self.heads[head] = self.rounded.get(heads)
         if found is None:
             before = -np.arange(int(self.period), dtype=np.float64)
             base = (before + self.mark).astype(np.float32)
-            left = [((before + s).astype(np.float32) - base).tolist() for s in key]
+            left = [((before + s).astype(np.float32) - base).tolist() for _, s in heads]
             kinds = list(zip(*left, strict=True)) if left else [()] * len(before)
             number = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
-            found = self.rounded[key] = [number[k] for k in kinds]
+            firsts = [(float(before[kinds.index(k)]), float(base[kinds.index(k)]), list(zip((e for e, _ in heads), k, strict=True))) for k in number]
+            self.tables.extend({} for _ in range(len(number) - len(self.tables)))
+            found = self.heads[head] = self.rounded[heads] = [number[k] for k in kinds], firsts
         return found
 
+    def _plain(self, text: str, before: float, base: float, left: list[tuple[int, float]]) -> tuple[int, float, float]:
+        """As :meth:`word`, for a word whose places all have a path that needs no rounding behind the mark; whole numbers then add up exactly, so only the last reset matters."""
+        n = len(text)
+        best, count = [_NONE] * (n + 1), [1] * (n + 1)
+        best[1] = 0.0
+        for end, value in left:
+            best[end] = value
+        for last, (size, score) in self.automaton.iter(text):
+            if size <= last:
+                value = best[last + 1 - size] + score
+                if value > best[last + 1]:
+                    best[last + 1], count[last + 1] = value, count[last + 1 - size] + 1
+        since = 0.0
+        for value in best[2:n]:
+            if value - since > RESET or since - value > RESET:
+                since = value
+        return count[n], best[n] - since, base + best[n] - before
+
     def _learn(self, part: str, now: float | int) -> tuple[int, float | int, float]:
         """(pieces, state behind, score added) of a word; the first remainder of a class stands for all."""
         text = part if part[0] == MARK else MARK + part
-        arcs, known = self.arcs(text), self.known.get(part)
-        if known is None:
-            kinds = self.classes(arcs[0]) if self.period else None
-            known = (kinds, [None] * (max(kinds) + 1) if kinds else {})
-        key = known[0][now] if known[0] else now
-        n, score, added = self.word(text, -float(known[0].index(key)) if known[0] else float(now), arcs)
-        got = known[1][key] = n, self.state(score), added
+        if self.period:
+            kinds, firsts = self.classes(text)
+            first = firsts[kinds[now]]
+            if first[2] and first[2][0][0] == 2 and len(text) <= 64 and self.single.issuperset(text[1:]):
+                n, score, added = self._plain(text, *first)
+            else:
+                n, score, added = self.word(text, first[0])
+        else:
+            kinds = None
+            n, score, added = self.word(text, float(now))
+        got = n, self.state(score), added
         if len(part) <= 64:
-            self.known[part] = known
+            if kinds:
+                self.known[part] = kinds
+                self.tables[kinds[now]][part] = got
+            else:
+                self.known[part, now] = got
             self.held += 1
         return got
 
@@ -146,12 +180,18 @@ class Counter:
         if not text:
             return 0, 0.0
         if self.held >= self.memory:
-            self.known, self.held = {}, 0
+            self.known.clear()
+            for table in self.tables:
+                table.clear()
+            self.held = 0
         pieces, total, now = 0, 0.0, 0
-        find = self.known.get
+        find, tables, period = self.known.get, self.tables, self.period
         for part in self._words(text):
-            known = find(part)
-            n, now, added = (known and (known[1][known[0][now]] if known[0] else known[1].get(now))) or self._learn(part, now)
+            if period:
+                kinds = find(part)
+                n, now, added = (kinds and tables[kinds[now]].get(part)) or self._learn(part, now)
+            else:
+                n, now, added = find((part, now)) or self._learn(part, now)
             pieces += n
             total += added
         return pieces, total
