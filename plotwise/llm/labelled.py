@@ -16,9 +16,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
 
     Only this many ids are ever broadcast, so the texts aren't shuffled. Null
     labels and doc_ids don't count; of several labels of a document the larger
-    holds.
+    holds, and of several rows of a document the one with the least text, null
+    first, so that the bound holds for rows however often a doc_id repeats.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct("text")).alias("m")).select("doc_id", "m.text", "label")

@@ -73,8 +73,13 @@ def probability(data: np.ndarray, model: QualityModel, tables: np.ndarray) -> fl
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(bodies: list[bytes], labels: np.ndarray, *, filters: int = 16, width: int = 8, epochs: int = 6, batch: int = 32, rate: float = 0.01, chunk_limit: int = 40, seed: int = 7) -> QualityModel:
-    """Train by Adam on the logistic loss. Each pass sees at most ``chunk_limit`` chunks of a document, other ones each time."""
+def fit(bodies: list[bytes], labels: np.ndarray, *, filters: int = 16, width: int = 8, epochs: int = 6, batch: int = 32, rate: float = 0.01, chunks_at_once: int = 1024, seed: int = 7) -> QualityModel:
+    """Train by Adam on the logistic loss, on all chunks of every document.
+
+    The largest and mean values of a document are found first, ``chunks_at_once``
+    at a time, and the gradient then flows back through the same chunks, so
+    memory doesn't grow with the length of a text.
+    """
     rng = np.random.default_rng(seed)
     model = QualityModel(rng.normal(0, 0.5, (256, width)), rng.normal(0, (WIDTH * width) ** -0.5, (WIDTH, width, filters)), np.zeros(filters), np.zeros(2 * filters + 1))
     if not len(bodies):
@@ -93,23 +98,23 @@ def fit(bodies: list[bytes], labels: np.ndarray, *, filters: int = 16, width: in
         order = rng.permutation(len(arrays))
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
-            chunks, owner = [], []
-            for j, d in enumerate(docs):
-                starts = np.arange(0, max(1, len(arrays[d]) - span + hop), hop)
-                if len(starts) > chunk_limit:
-                    starts = rng.choice(starts, chunk_limit, replace=False)
-                for s in starts:
-                    part = arrays[d][s : s + span]
-                    chunks.append(part if len(part) == span else np.concatenate((part, np.zeros(span - len(part), np.uint8))))
-                    owner.append(j)
-            owner = np.array(owner)
-            seen = np.lib.stride_tricks.sliding_window_view(np.stack(chunks), WIDTH, axis=1)[:, ::STRIDE]  # chunks, positions, WIDTH
+            places = [(j, s) for j, d in enumerate(docs) for s in range(0, max(1, len(arrays[d]) - span + hop), hop)]
+            owner = np.array([j for j, _ in places])
             tables = model.tables()
-            acts = tables[0][seen[:, :, 0]]
-            for w in range(1, WIDTH):
-                acts += tables[w][seen[:, :, w]]
-            best = acts.argmax(axis=1)  # chunks, F
-            top = np.take_along_axis(acts, best[:, None, :], axis=1)[:, 0] + model.bias
+            under, tops = [], []
+            for at in range(0, len(places), chunks_at_once):
+                chunks = np.zeros((len(places[at : at + chunks_at_once]), span), np.uint8)
+                for row, (j, s) in zip(chunks, places[at : at + chunks_at_once], strict=True):
+                    part = arrays[docs[j]][s : s + span]
+                    row[: len(part)] = part
+                seen = np.lib.stride_tricks.sliding_window_view(chunks, WIDTH, axis=1)[:, ::STRIDE]  # chunks, positions, WIDTH
+                acts = tables[0][seen[:, :, 0]]
+                for w in range(1, WIDTH):
+                    acts += tables[w][seen[:, :, w]]
+                best = acts.argmax(axis=1)  # chunks, F
+                tops.append(np.take_along_axis(acts, best[:, None, :], axis=1)[:, 0] + model.bias)
+                under.append(np.take_along_axis(seen, best[:, :, None], axis=1))  # chunks, F, WIDTH bytes
+            top, picked = np.concatenate(tops), np.concatenate(under)
             relu = np.maximum(top, 0)
             n = np.bincount(owner, minlength=len(docs))[:, None]
             cuts = np.concatenate(([0], np.cumsum(n[:-1, 0])))
@@ -122,12 +127,11 @@ def fit(bodies: list[bytes], labels: np.ndarray, *, filters: int = 16, width: in
             leads = relu >= largest[owner]  # ties share
             ties = np.add.reduceat(leads.astype(float), cuts, axis=0)
             g = (g_feats[owner, :filters] * leads / ties[owner] + g_feats[owner, filters : 2 * filters] / n[owner]) * (top > 0)
-            picked = np.take_along_axis(seen, best[:, :, None], axis=1)  # chunks, F, WIDTH bytes
-            inputs = model.embedding[picked]  # chunks, F, WIDTH, E
-            g_filters = np.einsum("cf,cfke->kef", g, inputs)
-            g_bytes = np.einsum("cf,kef->cfke", g, model.filters)
-            g_embedding = np.zeros_like(model.embedding)
-            np.add.at(g_embedding, picked.reshape(-1), g_bytes.reshape(-1, width))
+            # What each byte at each place of each filter gets; filters and embedding share it.
+            weight = np.zeros((256, WIDTH, filters))
+            np.add.at(weight, (picked, np.arange(WIDTH)[None, None, :], np.arange(filters)[None, :, None]), g[:, :, None])
+            g_filters = np.einsum("bkf,be->kef", weight, model.embedding)
+            g_embedding = np.einsum("bkf,kef->be", weight, model.filters)
             step += 1
             pace = rate * (0.1 if epoch == epochs - 1 else 1.0)
             for q, grad, m, v in zip(params, (g_embedding, g_filters, g.sum(axis=0), g_head), first, second, strict=True):
@@ -144,7 +148,7 @@ def fit_quality(sample: DataFrame, **options) -> QualityModel:
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """(doc_id, score) for each row of docs, from every byte of its text; null counts as empty. No shuffle."""
+    """(doc_id, score) for each row of docs, repeated ones too, from every byte of its text; null counts as empty. No rows give no rows. No shuffle."""
     spark = docs.sparkSession
     batches(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.graph import cut
 from .text import batches, code_points, mix64, powers, span_hashes, texts, unused, word_bounds
@@ -131,9 +132,7 @@ def _without_repeats(docs: DataFrame, run: int, min_words: int, counts: tuple[st
             columns[where] = pa.array(bodies, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (found, gone, chars))], [*kept, *counts])
 
-    schema = docs.schema
-    for name in counts:
-        schema = schema.add(name, "long")
+    schema = StructType([*docs.schema.fields, *(StructField(name, LongType()) for name in counts)])
     return joined.mapInArrow(work, schema)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from .labelled import fold_is, labelled_sample
 from .text import _BYTE, batches, mix64, powers, texts, word_bounds
 
@@ -38,16 +39,14 @@ def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begin, end = word_bounds(data)
     low = np.frombuffer(lower, np.uint8)
     first, last = begin.copy(), end.copy()
-    for _ in range(8):
-        trim = (last > first + 1) & ~_LETTER[low[last - 1]]
-        if not trim.any():
-            break
-        last -= trim
-    for _ in range(4):
-        trim = (last > first + 1) & ~_LETTER[low[np.minimum(first, len(low) - 1)]]
-        if not trim.any():
-            break
-        first += trim
+    if len(begin):
+        # For each place the last letter up to it and the first from it on; a word without one stays as it is.
+        place = np.arange(len(low))
+        letter = _LETTER[low]
+        before = np.maximum.accumulate(np.where(letter, place, -1))
+        after = np.minimum.accumulate(np.where(letter, place, len(low))[::-1])[::-1]
+        some = after[begin] < end
+        first, last = np.where(some, after[begin], begin), np.where(some, before[end - 1] + 1, end)
     up, down = powers(len(low) + 1)
     sums = np.concatenate((np.zeros(1, _U64), np.cumsum(_BYTE[low] * up[:-1])))
     out = np.empty((1 + len(STEMS), len(first)), _U64)
@@ -146,15 +145,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return beta
 
 
-def fit_toxicity(sample: DataFrame, *, vocabulary: int = 50_000, min_docs: int = 4, prior: float = 1.0, confidence: float = 2.58, drift: float = 0.05) -> ToxicityModel:
+def fit_toxicity(sample: DataFrame, *, prior: float = 1.0, confidence: float = 2.58, drift: float = 0.05) -> ToxicityModel:
     """Learn from (doc_id, text, label), a bounded sample.
 
     Seven tenths of it give the token scores: the log-odds, taken toward 0 by
-    ``confidence`` standard deviations, of the ``vocabulary`` tokens that stand
-    out most among those in ``min_docs`` documents. The prior weighs as much as
+    ``confidence`` standard deviations, of every token that is further from 0
+    than that; so how much is kept depends on the evidence alone, and its
+    number is bounded by the words of the sample. The prior weighs as much as
     ``prior`` times the toxic documents. The rest gives the calibration. With
     one class only, or none, every score is the share of toxic rows (0 without rows).
     """
+    sample = cut(sample)  # read several times; the documents are scanned once
     batches(sample.sparkSession)
     fit = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(10)) < 7
     sizes = {r["label"]: r["n"] for r in sample.where(fit).groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -175,13 +176,13 @@ def fit_toxicity(sample: DataFrame, *, vocabulary: int = 50_000, min_docs: int =
                 keys, n = np.unique(np.concatenate(lists), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((n if mark else 0 * n).astype(np.int64)), pa.array((0 * n if mark else n).astype(np.int64))], ["key", "bad", "good"])
 
-    counts = sample.where(fit).select("text", "label").mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") + F.col("good") >= min_docs)
+    counts = sample.where(fit).select("text", "label").mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     weight = prior * bad
     alpha = (F.col("bad") + F.col("good")) * (weight / (bad + good))
     of = lambda n, total: (F.col(n) + alpha) / (F.lit(float(total) + weight) - F.col(n) - alpha)
     scored = counts.where(F.lit(float(min(bad, good)) + weight) > F.greatest("bad", "good") + alpha).select("key", (F.log(of("bad", bad)) - F.log(of("good", good))).alias("odds"), F.sqrt(1 / (F.col("bad") + alpha) + 1 / (F.col("good") + alpha)).alias("sd"))
     sure = F.signum("odds") * (F.abs("odds") - confidence * F.col("sd"))
-    kept = scored.where(F.abs("odds") > confidence * F.col("sd")).select("key", sure.alias("odds"), "sd").orderBy(F.abs("odds").desc(), "key").limit(vocabulary).select("key", "odds").collect()
+    kept = scored.where(F.abs("odds") > confidence * F.col("sd")).select("key", sure.alias("odds")).collect()  # at most the words of the sample
     keys = np.array([r["key"] for r in kept], np.int64).view(_U64)
     order = np.argsort(keys)
     model = ToxicityModel(keys[order], np.clip(np.array([r["odds"] for r in kept], float)[order], -0.5, 6.0), drift)
@@ -254,7 +255,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, with_passages: bool
 def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 10_000) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages), learnt from at most ``sample_rows`` labelled rows that aren't held out.
 
-    held_out: crc32 of the doc_id as text is divisible by 5; such labels are never read for learning.
+    held_out: crc32 of the doc_id as text is divisible by 5; such labels are
+    never read for learning. A row for each row of docs, repeated ones too;
+    a null doc_id is not held out; null and empty texts get the base score;
+    other columns are not carried, so none can clash; no rows give no rows.
     """
     held = fold_is(F.col("doc_id"), 5, 0)
     model = fit_toxicity(labelled_sample(docs, labels, "toxic", held, sample_rows))
