@@ -29,9 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of one partition as stars: each node with the smallest node that it reaches there."""
-    parent: dict[int, int] = {}
+    parent: dict = {}
+    kind = None
 
-    def root(x: int) -> int:
+    def root(x):
         top = x
         while (up := parent[top]) != top:
             top = up
@@ -40,17 +41,19 @@ def _contract(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return top
 
     for part in parts:
+        kind = part.schema.field(0).type
         for u, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             parent.setdefault(u, u), parent.setdefault(v, v)
             a, b = root(u), root(v)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "v"])
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["u", "v"])
 
 
 def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst", per_task: int = 250_000, hot_share: float = 0.005) -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable. Nodes are longs.
+    """(node, component) for every node of an edge; component is the smallest node reachable. Nodes are numbers or strings.
 
     The edges are dealt over tasks of about ``per_task``, and each task turns
     its own into stars. Then two star operations alternate (link every
@@ -63,10 +66,10 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
     its edges in one task. Edges with a null end and loops add nothing but
     their node; no edges, no rows.
     """
-    pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null")
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     dealt = cut(pairs)
     tasks = dealt.count() // per_task + 1
-    current = cut(dealt.coalesce(tasks).mapInArrow(_contract, "u long, v long"))
+    current = cut(dealt.coalesce(tasks).mapInArrow(_contract, pairs.schema))
     mark = F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
     before, now = None, current.agg(*mark).first() if tasks > 1 else None
     while before != now:

@@ -5,7 +5,6 @@ import heapq
 import math
 from collections import defaultdict
 
-import numpy as np
 import pytest
 
 from plotwise import plans
@@ -115,26 +114,6 @@ def test_local_permutation_p_and_flags(spark):
     assert {k for (s, k), r in got.items() if s == "t" and r.is_hotspot_candidate} and any(r.getis_ord_z > 1.96 and r.getis_ord_p >= 0.05 for r in got.values())
 
 
-def test_substring_stage_keeps_documents_without_text(spark, sf):
-    import corpus_pipeline
-
-    passage = " ".join(f"Sentence {k} of this passage has quite a few words in it." for k in range(6))
-    docs = spark.createDataFrame([(1, passage, 9), (2, passage, 9), (3, None, None), (4, "", 0), (5, " ", 1)], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_passages(spark, docs, sf).collect()}
-    assert got == {1: passage, 3: None, 4: "", 5: " "}
-
-
-def test_bound_on_shared_shingles_holds_for_repeated_ids(spark):
-    from plotwise.llm import minhash
-
-    # Document 5 has a long text of its own and a short one that 9 has too; 7 has words of its own.
-    sets = {"long": range(1000, 2000), "short": range(100), "own": range(5000, 5050)}
-    data = {k: np.array(v, np.uint64).tobytes() for k, v in sets.items()}
-    rows = spark.createDataFrame([(5, data["long"]), (5, data["short"]), (9, data["short"]), (7, data["own"])], "id long, items binary")
-    got = {r.rep: (r.size, r.most) for r in minhash._shareable(spark.createDataFrame([(5,), (7,), (9,)], "rep long"), rows).collect()}
-    assert got == {5: (100, 1000), 7: (50, 0), 9: (100, 100)}
-
-
 def test_global_permutation_runs_with_the_settings_of_the_analysis(spark, sf, monkeypatch):
     seen = {}
     monkeypatch.setattr(grid, "moran_p", lambda cells, edges, **kw: seen.update(kw) or cells.groupBy("sector").count())
