@@ -145,7 +145,8 @@ def with_successor(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     places = F.array(F.struct(F.col("__range").alias("at"), F.lit(False).alias("guest")), F.struct(before.cast("int").alias("at"), F.lit(True).alias("guest")))
     rows = rows.withColumn("place", F.explode(F.filter(places, lambda p: p["at"].isNotNull())))
     rows = rows.select("key", "text", F.col("place.at").alias("range"), F.col("place.guest").alias("guest"))
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("key").asc_nulls_last(), "text")
+    # Dealt by the ranges' order, so that no two of them meet in a task by chance.
+    rows = rows.repartitionByRange(n, "range").sortWithinPartitions("range", "guest", F.col("key").asc_nulls_last(), "text")
 
     def follow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []  # the row before, its range, whether it still waits for its successor
