@@ -92,16 +92,17 @@ def points_in_polygons(points: DataFrame, segs: DataFrame, *, cell: float, key:
     """points (x, y, ...) with the polygon that contains each, by counting crossings to the right.
 
     A polygon is sent to the rows of cells that its segments pass, so that a
-    point meets only the segments at its own height.
+    point meets only the segments at its own height. Points are told apart by
+    their columns; equal ones are counted first and come back as often.
     """
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = segs.withColumn("__row", F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))))
-    marked = points.withColumn("__pid", F.monotonically_increasing_id()).withColumn("__row", at("y"))
+    marked = points.groupBy(*points.columns).agg(F.count("*").alias("__times")).withColumn("__row", at("y"))
     hit = marked.join(rows, "__row").where((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y")))
     x = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    names = [F.first(c).alias(c) for c in points.columns]
-    return hit.where(x > F.col("x")).groupBy("__pid", key).agg(F.count("*").alias("__n"), *names).where("__n % 2 = 1").select(*points.columns, key)
+    inside = hit.where(x > F.col("x")).groupBy(*points.columns, key, "__times").agg(F.count("*").alias("__n")).where("__n % 2 = 1")
+    return inside.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*points.columns, key)
 
 
 def zonal_sums(pixels: DataFrame, segs: DataFrame, *, pixel_area: float, cell: float, key: str = "id") -> DataFrame:

@@ -37,8 +37,8 @@ class Grid:
 
 
 def buffered_extent(df: DataFrame, buffer: float, x: str = "x", y: str = "y") -> tuple[float, float, float, float]:
-    """Bounds of all points, widened: four numbers from one aggregation."""
-    r = df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
+    """Bounds of all points, widened: four numbers from one aggregation. Without points, those of the origin."""
+    r = [v or 0.0 for v in df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()]
     return r[0] - buffer, r[1] - buffer, r[2] + buffer, r[3] + buffer
 
 
@@ -82,7 +82,7 @@ def _lags(cells: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     return cells.join(sums, ["sector", "cell"], "left").fillna({"lag": 0.0, "around": 0.0, "n_around": 0})
 
 
-def spatial_statistics(cells: DataFrame, edges: DataFrame, value: str = "log_jobs") -> DataFrame:
+def spatial_statistics(cells: DataFrame, edges: DataFrame, value: str = "num_jobs") -> DataFrame:
     """cells with z, lag_z, local_moran_i, quadrant (1 high-high, 2 low-high, 3 low-low, 4 high-low), getis_ord_z and getis_ord_p.
 
     Local I is (n - 1) z lag(z) / sum z2 with row-standardised weights; Gi* has
@@ -109,7 +109,7 @@ def upper_tail(z: str):
     return F.when(F.col(z) >= 0, tail).otherwise(1 - tail)
 
 
-def global_moran(cells: DataFrame, edges: DataFrame, value: str = "log_jobs") -> DataFrame:
+def global_moran(cells: DataFrame, edges: DataFrame, value: str = "num_jobs") -> DataFrame:
     """sector, n, moran_i, expected_i: with row-standardised weights, n / S0 = 1 unless a cell has no neighbour."""
     stats = spatial_statistics(cells, edges, value)
     has = edges.select(F.col("src").alias("cell")).distinct().agg(F.count("*").alias("s0"))
@@ -127,7 +127,7 @@ def permuted(cells: DataFrame, value: str, permutations: int, seed: int) -> Data
     return ranked.select("sector", "permutation", "at", "cell").join(values, ["sector", "permutation", "at"]).select("sector", "permutation", "cell", value)
 
 
-def moran_p(cells: DataFrame, edges: DataFrame, *, value: str = "log_jobs", permutations: int = 199, seed: int = 42) -> DataFrame:
+def moran_p(cells: DataFrame, edges: DataFrame, *, value: str = "num_jobs", permutations: int = 199, seed: int = 42) -> DataFrame:
     """sector, moran_i, p: the share of permutations (and the observation) at least as extreme, on the nearer side."""
     dealt = permuted(cells, value, permutations, seed).withColumn("sector", F.concat_ws("|", "sector", F.col("permutation").cast("string")))
     simulated = global_moran(dealt, edges, value).withColumn("sector", F.regexp_replace("sector", r"\|[0-9]+$", "")).withColumnRenamed("moran_i", "sim")

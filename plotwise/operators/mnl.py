@@ -119,16 +119,18 @@ def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolera
             for _ in range(12):
                 new = moments(long, features, beta + move)
                 if new["ll"] >= at["ll"] - 1e-12 * abs(at["ll"]):
+                    beta, at = beta + move, new
                     break
                 move = move / 2
-            beta, at = beta + move, new
+            else:  # no step of this direction is better: the fit stays where it is, not converged
+                break
         return MnlFit(list(features), beta, at["ll"], at["null_ll"], at["n"], converged, at["gradient"], at["information"], at["outer"], first, steps)
     finally:
         long.unpersist()
 
 
 def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4) -> dict[str, float]:
-    """Largest differences between the analytic gradient and information and central differences; all likelihoods come from one job per parameter."""
+    """Largest differences between the analytic gradient and information and central differences, from two jobs for each parameter and one more."""
     k = len(fit.features)
     here = moments(long, fit.features, fit.beta)
     gradient, hessian = np.zeros(k), np.zeros((k, k))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Days since 1970-01-01.
 EPOCH = "1970-01-01"
 
@@ -75,29 +77,33 @@ def matched_features(specs: DataFrame, coefficients: DataFrame) -> DataFrame:
     return pairs.join(coefficients, ["spec_id", "feature"], "left")
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, *, cell: float, rings: int = 12) -> DataFrame:
+def nearest_node(points: DataFrame, nodes: DataFrame, *, cell: float) -> DataFrame:
     """(point_id, node_id, distance): the nearest node of each point, of equal ones the smallest.
 
     ``points``: point_id, x, y; ``nodes``: node_id, x, y. Nodes are looked up
     by grid cell, in rings that double their reach; a point that is served in
     a ring is out of the next. A ring's result stands only if it is no farther
-    than the ring surely reaches. Points farther than 2**rings cells from any
-    node keep none.
+    than the ring surely reaches. Rings go on until every point is served,
+    however far it lies; few points are left by then, so the many nodes in a
+    wide ring meet few of them. Points without a place, and all points where
+    there is no node, are not in the result.
     """
     found = None
     open_points = points.select("point_id", "x", "y").where("x is not null and y is not null")
-    spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).where("nx is not null and ny is not null")
     size = float(cell)
-    for k in range(rings):
+    if spots.isEmpty():
+        open_points = open_points.where("false")
+    while True:
         at = lambda c, s=size: F.floor(F.col(c) / F.lit(s)).cast("long")
         around = open_points.withColumns({"cx": at("x"), "cy": at("y")})
         around = around.withColumn("gx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
         here = spots.withColumns({"gx": at("nx"), "gy": at("ny")})
         pairs = around.join(here, ["gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("nx"), F.lit(2)) + F.pow(F.col("y") - F.col("ny"), F.lit(2))))
         best = pairs.groupBy("point_id").agg(F.min(F.struct("distance", "node_id")).alias("b")).where(F.col("b.distance") <= size).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance"))
+        best = cut(best)
         found = best if found is None else found.union(best)
-        open_points = open_points.join(best, "point_id", "left_anti")
+        open_points = cut(open_points.join(best, "point_id", "left_anti"))
         size *= 2
-        if k >= 3 and open_points.isEmpty():
-            break
-    return found
+        if open_points.isEmpty():
+            return found

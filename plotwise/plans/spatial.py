@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import contracts, exposure, features, geometry, grid, network, relate
+from ..operators.graph import cut
 from .registry import ALTERNATIVES_SQL, R4, alternatives, query, r4, table
 
 # Establishments: customers dealt over 20 km x 20 km with dense corners, off the edges of cells.
@@ -39,13 +40,22 @@ def g1(spark, d):
     return spark.createDataFrame([grid.buffered_extent(points(spark, d), 1000.0)], "x0 double, y0 double, x1 double, y1 double")
 
 
-@query("g2_reprojection", "SELECT id, TRUE AS round_trip FROM " + POINTS_SQL)
+# The Lambert conformal conic projection with two standard parallels on GRS80, as the textbooks have it, from its defining numbers alone.
+_E_SQL = "sqrt(2 / 298.257222101 - 1 / power(298.257222101, 2))"
+_M_SQL = "cos(radians({0})) / sqrt(1 - power(k.e * sin(radians({0})), 2))"
+_T_SQL = "tan(pi() / 4 - radians({0}) / 2) / power((1 - k.e * sin(radians({0}))) / (1 + k.e * sin(radians({0}))), k.e / 2)"
+PLANAR_SQL = f"""WITH k0 AS (SELECT {_E_SQL} AS e), k AS (SELECT e, (ln({_M_SQL.format(17.5)}) - ln({_M_SQL.format(29.5)})) / (ln({_T_SQL.format(17.5)}) - ln({_T_SQL.format(29.5)})) AS n FROM k0 k),
+ f AS (SELECT e, n, {_M_SQL.format(17.5)} / (n * power({_T_SQL.format(17.5)}, n)) AS f FROM k), p AS (SELECT id, x / 4000 - 105 AS lon, y / 4000 + 17 AS lat FROM {POINTS_SQL})
+ SELECT id, {R4(f"6378137 * k.f * power({_T_SQL.format('lat')}, k.n) * sin(radians(lon + 102) * k.n) + 2500000")} AS px, {R4(f"6378137 * k.f * power({_T_SQL.format(12.0)}, k.n) - 6378137 * k.f * power({_T_SQL.format('lat')}, k.n) * cos(radians(lon + 102) * k.n)")} AS py, TRUE AS round_trip FROM p, f k"""
+
+
+@query("g2_reprojection", PLANAR_SQL)
 def g2(spark, d):
     p = points(spark, d).select("id", (F.col("x") / 4000 - 105).alias("lon"), (F.col("y") / 4000 + 17).alias("lat"))
     x, y = geometry.to_planar(F.col("lon"), F.col("lat"))
     p = p.withColumns({"px": x, "py": y})
     lon, lat = geometry.to_geographic(F.col("px"), F.col("py"))
-    return p.select("id", ((F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)).alias("round_trip"))
+    return p.select("id", r4(F.col("px")).alias("px"), r4(F.col("py")).alias("py"), ((F.abs(lon - F.col("lon")) < 1e-9) & (F.abs(lat - F.col("lat")) < 1e-9)).alias("round_trip"))
 
 
 @query("g3_polygon_measures", f"SELECT id, (x1 - x0) * (y1 - y0) AS area, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x0, y0, x1, y1 FROM {ZONES_SQL}")
@@ -90,13 +100,24 @@ def g6(spark, d):
     return grid.queen_edges(COARSE, spark).join(n, "dst").select("src", "dst", r4(F.col("weight")).alias("weight"), "n")
 
 
-STATS_SQL = f"""(WITH c AS (SELECT *, ln(1 + num_jobs) AS v FROM {CELL_JOBS_SQL}), z AS (SELECT *, (v - avg(v) OVER (PARTITION BY sector)) / stddev_pop(v) OVER (PARTITION BY sector) AS z, count(*) OVER (PARTITION BY sector) AS n FROM c),
- l AS (SELECT z.sector, e.src AS cell, avg(z.z) AS lag_z, sum(z.z) AS around, count(*) AS k FROM {EDGES_SQL} e JOIN z ON z.cell = e.dst GROUP BY 1, 2)
- SELECT z.*, l.lag_z, (z.n - 1) * z.z * l.lag_z / z.n AS local_i, (l.around + z.z) / sqrt((z.n * (l.k + 1) - (l.k + 1) * (l.k + 1)) / (z.n - 1)) AS gi FROM z JOIN l USING (sector, cell))"""
+# The statistics are of the number of jobs. For p, each cell keeps its value and its k neighbours get those of the first k other cells in
+# the order of md5(seed:permutation:cell); p is the share of permutations, and the observation, on the nearer side.
+STATS_SQL = f"""(WITH c AS (SELECT *, num_jobs AS v FROM {CELL_JOBS_SQL}), z AS (SELECT *, (v - avg(v) OVER (PARTITION BY sector)) / stddev_pop(v) OVER (PARTITION BY sector) AS z, count(*) OVER (PARTITION BY sector) AS n FROM c),
+ l AS (SELECT z.sector, e.src AS cell, avg(z.z) AS lag_z, sum(z.z) AS around, sum(z.v) AS around_v, count(*) AS k FROM {EDGES_SQL} e JOIN z ON z.cell = e.dst GROUP BY 1, 2),
+ q AS MATERIALIZED (SELECT * FROM (SELECT p, i AS cell, row_number() OVER (PARTITION BY p ORDER BY md5('{exposure.SEED}:' || p || ':' || i), i) AS pos FROM range(1, {exposure.PERMUTATIONS + 1}) a(p), range(400) b(i)) WHERE pos <= 9),
+ k AS (SELECT src AS cell, count(*) AS k FROM {EDGES_SQL} GROUP BY 1),
+ d AS (SELECT k.cell, q.p, q.cell AS other FROM k JOIN q ON q.cell <> k.cell LEFT JOIN q o ON o.p = q.p AND o.cell = k.cell WHERE q.pos - CASE WHEN o.pos < q.pos THEN 1 ELSE 0 END <= k.k),
+ s AS (SELECT z.sector, d.cell, d.p, sum(z.v) AS sim FROM d JOIN z ON z.cell = d.other GROUP BY 1, 2, 3),
+ m AS (SELECT sector, cell, count(*) FILTER (sign(z.z) * s.sim >= sign(z.z) * l.around_v) AS larger, count(*) FILTER (s.sim >= l.around_v) AS higher, count(*) AS r FROM s JOIN z USING (sector, cell) JOIN l USING (sector, cell) GROUP BY 1, 2)
+ SELECT z.*, l.lag_z, (z.n - 1) * z.z * l.lag_z / z.n AS local_i, (l.around + z.z) / sqrt((z.n * (l.k + 1) - (l.k + 1) * (l.k + 1)) / (z.n - 1)) AS gi,
+ (least(larger, r - larger) + 1) / (r + 1) AS local_p, (least(higher, r - higher) + 1) / (r + 1) AS gi_p FROM z JOIN l USING (sector, cell) JOIN m USING (sector, cell))"""
+_HIGH_SQL, _GI_SQL = "(z > 0 AND lag_z > 0 AND local_p < 0.05)", "(gi > 1.96 AND gi_p < 0.05)"
+_SPOT_SQL = f"({_GI_SQL} AND (num_jobs > 0 OR {_HIGH_SQL}))"
 
 
 def coarse_stats(spark, d):
-    return grid.spatial_statistics(coarse_cells(spark, d), grid.queen_edges(COARSE, spark))
+    edges = grid.queen_edges(COARSE, spark)
+    return cut(grid.local_permutation_p(grid.spatial_statistics(coarse_cells(spark, d), edges), edges, permutations=exposure.PERMUTATIONS, seed=exposure.SEED))
 
 
 @query("g7_global_moran", f"SELECT sector, count(*) AS n, {R4('sum(z * lag_z) / sum(z * z)')} AS moran_i, {R4('-1.0 / (count(*) - 1)')} AS expected_i FROM {STATS_SQL} GROUP BY 1")
@@ -112,22 +133,22 @@ def g7p(spark, d):
     return grid.moran_p(cells, grid.queen_edges(GRID, spark), value="num_jobs", permutations=exposure.PERMUTATIONS, seed=exposure.SEED)
 
 
-@query("g8_local_moran", f"SELECT sector, cell, {R4('local_i')} AS local_moran_i, CASE WHEN z > 0 AND lag_z > 0 THEN 1 WHEN z <= 0 AND lag_z > 0 THEN 2 WHEN z <= 0 AND lag_z <= 0 THEN 3 ELSE 4 END AS quadrant FROM {STATS_SQL}")
+@query("g8_local_moran", f"SELECT sector, cell, {R4('local_i')} AS local_moran_i, {R4('local_p')} AS local_moran_p, CASE WHEN z > 0 AND lag_z > 0 THEN 1 WHEN z <= 0 AND lag_z > 0 THEN 2 WHEN z <= 0 AND lag_z <= 0 THEN 3 ELSE 4 END AS quadrant FROM {STATS_SQL}")
 def g8(spark, d):
-    return coarse_stats(spark, d).select("sector", "cell", r4(F.col("local_moran_i")).alias("local_moran_i"), "quadrant")
+    return coarse_stats(spark, d).select("sector", "cell", r4(F.col("local_moran_i")).alias("local_moran_i"), r4(F.col("local_moran_p")).alias("local_moran_p"), "quadrant")
 
 
-@query("g9_getis_ord", f"SELECT sector, cell, {R4('gi')} AS getis_ord_z FROM {STATS_SQL}")
+@query("g9_getis_ord", f"SELECT sector, cell, {R4('gi')} AS getis_ord_z, {R4('gi_p')} AS getis_ord_p FROM {STATS_SQL}")
 def g9(spark, d):
-    return coarse_stats(spark, d).select("sector", "cell", r4(F.col("getis_ord_z")).alias("getis_ord_z"))
+    return coarse_stats(spark, d).select("sector", "cell", r4(F.col("getis_ord_z")).alias("getis_ord_z"), r4(F.col("getis_ord_p")).alias("getis_ord_p"))
 
 
-@query("g10_hotspot_flags", f"SELECT sector, cell, gi > 1.96 AS is_getis_hotspot, gi > 1.96 AND (num_jobs > 0 OR (z > 0 AND lag_z > 0)) AS is_hotspot_candidate FROM {STATS_SQL}")
+@query("g10_hotspot_flags", f"SELECT sector, cell, {_HIGH_SQL} AS is_high_high, {_GI_SQL} AS is_getis_hotspot, {_SPOT_SQL} AS is_hotspot_candidate FROM {STATS_SQL}")
 def g10(spark, d):
-    return grid.hotspots(coarse_stats(spark, d)).select("sector", "cell", "is_getis_hotspot", "is_hotspot_candidate")
+    return grid.hotspots(coarse_stats(spark, d)).select("sector", "cell", "is_high_high", "is_getis_hotspot", "is_hotspot_candidate")
 
 
-_CAND_SQL = f"(SELECT sector, cell, num_jobs, num_businesses FROM {STATS_SQL} WHERE gi > 1.96 AND (num_jobs > 0 OR (z > 0 AND lag_z > 0)))"
+_CAND_SQL = f"(SELECT sector, cell, num_jobs, num_businesses FROM {STATS_SQL} WHERE {_SPOT_SQL})"
 _ROOT_SQL = f"""(WITH RECURSIVE h AS MATERIALIZED (SELECT * FROM {_CAND_SQL}), e AS MATERIALIZED (SELECT a.sector, a.cell AS src, b.cell AS dst FROM h a JOIN h b ON a.sector = b.sector AND abs(a.cell // 20 - b.cell // 20) <= 1 AND abs(a.cell % 20 - b.cell % 20) <= 1),
  r(sector, cell, node) AS (SELECT sector, cell, cell FROM h UNION SELECT r.sector, r.cell, e.dst FROM r JOIN e ON e.sector = r.sector AND e.src = r.node)
  SELECT h.sector, h.cell, h.num_jobs, h.num_businesses, m.root FROM h JOIN (SELECT sector, cell, min(node) AS root FROM r GROUP BY 1, 2) m USING (sector, cell))"""
@@ -148,10 +169,10 @@ def g12(spark, d):
 
 
 def analysis(spark, d):
-    return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=COARSE, value="log_jobs", permutations=0)
+    return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=COARSE)
 
 
-# The rule of the sector analysis: number of jobs, conditional permutations, 250 m. The queries on COARSE are those that SQL can follow.
+# The cells of the sector analysis, 250 m. The queries on COARSE go by the same rule on cells of 1 km, where the recursive SQL ends in time.
 def fine_analysis(spark, d):
     return exposure.sector_analysis(points(spark, d), zones(spark, d, "alt_id"), grid=GRID)
 
@@ -199,7 +220,7 @@ def g16(spark, d):
     return exposure.sector_configs(spark).select("sector", F.size("code_prefixes").cast("long").alias("n_codes")).join(F.broadcast(n))
 
 
-@query("g17_sector_pipeline", f"SELECT c.sector, c.n_cells, c.num_jobs, c.n_hotspots, coalesce(k.n, 0) AS n_clusters FROM (SELECT sector, count(*) AS n_cells, sum(num_jobs) AS num_jobs, count(*) FILTER (gi > 1.96 AND (num_jobs > 0 OR (z > 0 AND lag_z > 0))) AS n_hotspots FROM {STATS_SQL} GROUP BY 1) c LEFT JOIN (SELECT sector, count(DISTINCT root) AS n FROM {_ROOT_SQL} GROUP BY 1) k USING (sector)")
+@query("g17_sector_pipeline", f"SELECT c.sector, c.n_cells, c.num_jobs, c.n_hotspots, coalesce(k.n, 0) AS n_clusters FROM (SELECT sector, count(*) AS n_cells, sum(num_jobs) AS num_jobs, count(*) FILTER {_SPOT_SQL} AS n_hotspots FROM {STATS_SQL} GROUP BY 1) c LEFT JOIN (SELECT sector, count(DISTINCT root) AS n FROM {_ROOT_SQL} GROUP BY 1) k USING (sector)")
 def g17(spark, d):
     return exposure.sector_summary(analysis(spark, d)).select("sector", "n_cells", "num_jobs", "n_hotspots", "n_clusters")
 
