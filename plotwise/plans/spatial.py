@@ -339,46 +339,33 @@ def n2(spark, d):
     return network.anchor_times(net(spark, d), anchors, parts, weight="length")
 
 
-@query("n3_decayed_sums", f"SELECT o.node, {R4('coalesce(sum(p.p_size * exp(-r.cost / 20.0)), 0)')} AS total FROM (SELECT p_partkey AS node FROM part WHERE p_size = 7) o LEFT JOIN {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part WHERE p_size = 7)', 20)} r ON r.origin = o.node LEFT JOIN part p ON p.p_partkey = r.node GROUP BY 1")
+@query("n3_decayed_sums", f"SELECT o.node, {R4('coalesce(sum(p.p_size * exp(-r.cost / 20.0)), 0)')} AS total FROM (SELECT p_partkey AS node FROM part) o LEFT JOIN {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part)', 20)} r ON r.origin = o.node LEFT JOIN part p ON p.p_partkey = r.node GROUP BY 1")
 def n3(spark, d):
     p = table(spark, d, "part")
-    out = network.decayed_sums(net(spark, d), p.where("p_size = 7").select(F.col("p_partkey").alias("node")), p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("value")), radius=20.0)
+    out = network.decayed_sums(net(spark, d), p.select(F.col("p_partkey").alias("node")), p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("value")), radius=20.0)
     return out.withColumn("total", r4(F.col("total")))
 
 
-# n3, n4 and n5 take a sample of origins, for which the recursive SQL ends in reasonable time; the queries on every node have no SQL.
-@query("n3_decayed_sums_every_node")
-def n3_all(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("value"))
-    out = network.decayed_sums(net(spark, d), p.select("node"), p, radius=20.0)
-    return out.withColumn("total", r4(F.col("total")))
-
-
-@query("n4_job_accessibility", f"WITH o AS (SELECT p_partkey AS node, p_brand AS zone FROM part WHERE p_size = 7), r AS MATERIALIZED (SELECT * FROM {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part WHERE p_size = 7)', 20)}), j AS (SELECT p_type AS sector, p_partkey AS node, p_size AS v FROM part), k AS (SELECT DISTINCT sector, t FROM j, (VALUES (10), (20)) v(t)) SELECT zone, sector, CAST(t AS DOUBLE) AS threshold, {R4('avg(jobs)')} AS jobs FROM (SELECT o.node, o.zone, k.sector, k.t, coalesce(sum(j.v * exp(-r.cost / k.t)), 0) AS jobs FROM o CROSS JOIN k LEFT JOIN r ON r.origin = o.node AND r.cost <= k.t LEFT JOIN j ON j.node = r.node AND j.sector = k.sector GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
+@query("n4_job_accessibility", f"WITH o AS (SELECT p_partkey AS node, p_brand AS zone FROM part), r AS MATERIALIZED (SELECT * FROM {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part)', 20)}), j AS (SELECT p_type AS sector, p_partkey AS node, p_size AS v FROM part), k AS (SELECT DISTINCT sector, t FROM j, (VALUES (10), (20)) v(t)) SELECT zone, sector, CAST(t AS DOUBLE) AS threshold, {R4('avg(jobs)')} AS jobs FROM (SELECT o.node, o.zone, k.sector, k.t, coalesce(sum(j.v * exp(-r.cost / k.t)), 0) AS jobs FROM o CROSS JOIN k LEFT JOIN r ON r.origin = o.node AND r.cost <= k.t LEFT JOIN j ON j.node = r.node AND j.sector = k.sector GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
 def n4(spark, d):
-    p = table(spark, d, "part")
-    origins = p.where("p_size = 7").select(F.col("p_brand").alias("zone"), F.col("p_partkey").alias("node"))
-    jobs = p.select(F.col("p_type").alias("sector"), F.col("p_partkey").alias("node"), F.col("p_size").alias("workers"))
-    return network.job_accessibility(net(spark, d), origins, jobs, [10.0, 20.0], weight="length").withColumn("jobs", r4(F.col("jobs")))
-
-
-@query("n4_job_accessibility_every_node")
-def n4_all(spark, d):
     p = table(spark, d, "part")
     origins = p.select(F.col("p_brand").alias("zone"), F.col("p_partkey").alias("node"))
     jobs = p.select(F.col("p_type").alias("sector"), F.col("p_partkey").alias("node"), F.col("p_size").alias("workers"))
     return network.job_accessibility(net(spark, d), origins, jobs, [10.0, 20.0], weight="length").withColumn("jobs", r4(F.col("jobs")))
 
 
-@query("n5_service_accessibility", f"SELECT o.node, {R4('least(greatest(ln(1 + coalesce(sum(p.p_size * 20 / greatest(p.p_retailprice, 1) * exp(-r.cost / 20.0)), 0)) * 12.5, 0), 100) / 100')} AS accessibility_services FROM (SELECT p_partkey AS node FROM part WHERE p_size = 7) o LEFT JOIN {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part WHERE p_size = 7)', 20)} r ON r.origin = o.node LEFT JOIN part p ON p.p_partkey = r.node GROUP BY 1")
+@query("n5_service_accessibility", f"SELECT o.node, {R4('least(greatest(ln(1 + coalesce(sum(p.p_size * 20 / greatest(p.p_retailprice, 1) * exp(-r.cost / 20.0)), 0)) * 12.5, 0), 100) / 100')} AS accessibility_services FROM (SELECT p_partkey AS node FROM part) o LEFT JOIN {_bounded_sql('(SELECT p_partkey AS origin, p_partkey AS node FROM part)', 20)} r ON r.origin = o.node LEFT JOIN part p ON p.p_partkey = r.node GROUP BY 1")
 def n5(spark, d):
     p = table(spark, d, "part")
     values = p.select(F.col("p_partkey").alias("node"), network.service_score(F.col("p_size") * 20, F.col("p_retailprice")).alias("value"))
-    out = network.decayed_sums(net(spark, d), p.where("p_size = 7").select(F.col("p_partkey").alias("node")), values, radius=20.0)
+    out = network.decayed_sums(net(spark, d), p.select(F.col("p_partkey").alias("node")), values, radius=20.0)
     return out.select("node", r4(network.service_index(F.col("total"))).alias("accessibility_services"))
 
 
-@query("n5_service_accessibility_by_zone")
+_REACHED_SQL = _bounded_sql("(SELECT p_partkey AS origin, p_partkey AS node FROM part)", 20)
+
+
+@query("n5_service_accessibility_by_zone", f"WITH r AS MATERIALIZED (SELECT * FROM {_REACHED_SQL}), people AS (SELECT origin AS node, sum(p_retailprice * exp(-cost / 20.0)) AS n FROM r JOIN part ON p_partkey = node GROUP BY 1), score AS (SELECT node, p_size * 20 / greatest(n, 1) AS s FROM people JOIN part ON p_partkey = node), total AS (SELECT origin AS node, sum(s * exp(-cost / 20.0)) AS t FROM r JOIN score USING (node) GROUP BY 1) SELECT p_brand AS zone, {R4('avg(least(greatest(ln(1 + t) * 12.5, 0), 100) / 100)')} AS accessibility_services FROM part JOIN total ON node = p_partkey GROUP BY 1")
 def n5_zones(spark, d):
     p = table(spark, d, "part")
     node = F.col("p_partkey").alias("node")

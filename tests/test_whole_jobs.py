@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the one with SQL takes a sample, against plain versions."""
+"""Queries over whole networks and grids against plain versions."""
 
 import hashlib
 import heapq
@@ -40,13 +40,13 @@ def reached(parts):
     return {k: search(k) for k in keys}
 
 
-def test_decayed_sums_of_every_node(spark, sf, parts, reached):
+def test_decayed_sums_of(spark, sf, parts, reached):
     size = dict(zip(parts.p_partkey, parts.p_size, strict=True))
     want = {k: sum(float(size[n]) * math.exp(-c / 20) for n, c in found.items()) for k, found in reached.items()}
-    assert dict(plans.QUERIES["n3_decayed_sums_every_node"](spark, sf).collect()) == pytest.approx(want, abs=2e-4)
+    assert dict(plans.QUERIES["n3_decayed_sums"](spark, sf).collect()) == pytest.approx(want, abs=2e-4)
 
 
-def test_job_accessibility_of_every_node(spark, sf, parts, reached):
+def test_job_accessibility_of(spark, sf, parts, reached):
     rows = {r.p_partkey: r for r in parts.itertuples()}
     want = {(z, s, t): 0.0 for z in set(parts.p_brand) for s in set(parts.p_type) for t in (10.0, 20.0)}
     nodes = parts.p_brand.value_counts()
@@ -55,7 +55,7 @@ def test_job_accessibility_of_every_node(spark, sf, parts, reached):
             for t in (10.0, 20.0):
                 if c <= t:
                     want[rows[k].p_brand, rows[n].p_type, t] += float(rows[n].p_size) * math.exp(-c / t) / nodes[rows[k].p_brand]
-    got = {(r.zone, r.sector, r.threshold): r.jobs for r in plans.QUERIES["n4_job_accessibility_every_node"](spark, sf).collect()}
+    got = {(r.zone, r.sector, r.threshold): r.jobs for r in plans.QUERIES["n4_job_accessibility"](spark, sf).collect()}
     assert got == pytest.approx(want, abs=2e-4)
 
 
