@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relate import day_number
+from .relate import day_number, with_places
 
 
 def prepare_transactions(sales: DataFrame, known: DataFrame, *, min_year: int, max_year: int, threshold: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -27,18 +27,9 @@ def prepare_transactions(sales: DataFrame, known: DataFrame, *, min_year: int, m
     return kept, counts
 
 
-def with_transaction_ids(sales: DataFrame, *, buckets: int = 256) -> DataFrame:
-    """sales with transaction_id, from 0 by date, alternative and obs_id.
-
-    Days are counted first and only their counts are accumulated in one
-    place, so that no task sorts all sales.
-    """
-    days = sales.groupBy("purchase_date").agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col("purchase_date").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = days.select("purchase_date", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("purchase_date").orderBy("alt_id", "obs_id")
-    joined = sales.withColumn("__rn", F.row_number().over(within)).join(starts.withColumnRenamed("purchase_date", "__day"), F.col("purchase_date").eqNullSafe(F.col("__day")))
-    return joined.withColumn("transaction_id", F.col("__start") + F.col("__rn") - 1).drop("__start", "__rn", "__day")
+def with_transaction_ids(sales: DataFrame) -> DataFrame:
+    """sales with transaction_id, from 0 by date (nulls first), alternative and obs_id; a day may hold any share of the sales."""
+    return with_places(sales, [F.col("purchase_date").asc_nulls_first(), F.col("alt_id").asc(), F.col("obs_id").asc()], "transaction_id")
 
 
 def rolling_sales(sales: DataFrame, *, window_days: int) -> DataFrame:

@@ -46,51 +46,84 @@ def nice_denominators(df: DataFrame, columns: list[str], *, target_p75: float =
     return stats.select("feature", F.when(raw > 0, snapped(raw)).otherwise(1.0).alias("denominator"), "n_unique")
 
 
-# What a column is, by the first pattern that fits its name. A denominator of "nice" is looked up in the values; {c} is the
-# column, {d} its denominator.
-RULES = (
-    ("name|name_detail|geometry|alt_id", None, "identifier", "exclude", "not a model covariate", None, False, "identifier or geometry"),
-    ("access", "access_is_restricted", "access", "control", "LIBRE=0, RESTRINGIDO=1", 1.0, True, "binary access control"),
-    ("jobs_.*_2025", "{c}_scaled", "job_accessibility", "job_screen", "divide by {d:g} jobs", "nice", True, "candidate job accessibility"),
-    ("accessibility_services", "{c}_scaled", "service_accessibility", "control", "divide by {d:g}", "nice", True, "service accessibility control"),
-    ("travel_time_city_center", "{c}_scaled", "travel_time", "control", "divide by {d:g} seconds", "nice", True, "centrality control"),
-    ("travel_time_crossing_(west|east)", None, "travel_time", "helper", "combined into nearest crossing time", None, False, "raw crossing helper"),
-    ("built_area_.*", "log_built_area_ha", "built_area_history", "transaction_varying", "log1p(area_m2 / 10000) by purchase year", None, True, "dynamic supply proxy"),
-    ("(mfg|logistics)_distance_nearest_cluster_km", "{c}_scaled", "{cluster}", "{sector}_screen", "divide by {d:g} km", "nice", True, "selected interpretable cluster exposure"),
-    ("log_(mfg|logistics)_(jobs_within_2km|cluster_gravity_inv_sq)", "{c}", "{cluster}", "{sector}_screen", "already log scaled", 1.0, True, "selected interpretable cluster exposure"),
-    (r"(nearest_)?(mfg|logistics)_.*|.*_(mfg|logistics)_cluster.*", None, "{cluster}", "available_not_screened", "not used in v1 model specs", None, False, "kept out to avoid over-specified cluster models"),
-    (re.escape(NEAREST), "travel_time_nearest_crossing_scaled", "travel_time", "control", "divide by {d:g} seconds", "nice", True, "nearest border crossing control"),
-    (".*", None, "other", "exclude", "not classified for modelling", None, False, "unclassified"),
-)
-CLUSTER_FAMILIES = {"mfg": "manufacturing_cluster", "logistics": "logistics_cluster"}
-
-
-def rule_of(column: str) -> tuple:
-    """The first rule whose pattern is the whole name of the column."""
-    return next(r for r in RULES if re.fullmatch(r[0], column))
+# Names of the contract. A family by the pattern of a column's name, and the cluster measures that models choose from.
+FAMILIES = {
+    "identifier": "name|name_detail|geometry|alt_id",
+    "access": "access",
+    "job_accessibility": "jobs_.*_2025",
+    "service_accessibility": "accessibility_services",
+    "travel_time": "travel_time_city_center|" + "|".join(map(re.escape, (*CROSSINGS, NEAREST))),
+    "built_area_history": "built_area_.*",
+    "manufacturing_cluster": "(log_|nearest_)?mfg_.*|.*_mfg_cluster.*",
+    "logistics_cluster": "(log_|nearest_)?logistics_.*|.*_logistics_cluster.*",
+}
+SCREENS = {"manufacturing_cluster": "mfg", "logistics_cluster": "logistics"}
+SCREENED = ("{}_distance_nearest_cluster_km", "log_{}_jobs_within_2km", "log_{}_cluster_gravity_inv_sq")
+
+# What each role means for models; columns in the roles of the second table are in none.
+USED = {
+    "control": "in every model",
+    "job_screen": "one of the job measures to choose from",
+    "mfg_screen": "one of the manufacturing measures to choose from",
+    "logistics_screen": "one of the logistics measures to choose from",
+    "transaction_varying": "looked up by the year of each sale",
+}
+UNUSED = {
+    "exclude": "says nothing that a model could use",
+    "helper": "only goes into another column",
+    "available_not_screened": "stays in the table for other uses",
+}
+
+
+def family_of(column: str) -> str:
+    return next((f for f, pattern in FAMILIES.items() if re.fullmatch(pattern, column)), "other")
+
+
+def role_of(column: str, family: str, *, varies: bool) -> str:
+    """The role of a column by its family; ``varies``: whether it has two values at least."""
+    if family in ("identifier", "other") or (family == "job_accessibility" and not varies):
+        return "exclude"
+    if family in SCREENS:
+        sector = SCREENS[family]
+        return f"{sector}_screen" if column in [name.format(sector) for name in SCREENED] else "available_not_screened"
+    if column in CROSSINGS:
+        return "helper"
+    return {"job_accessibility": "job_screen", "built_area_history": "transaction_varying"}.get(family, "control")
+
+
+def scaling_of(column: str, family: str, denominator: float) -> tuple[str, str, float | None]:
+    """(model column, transform in words, denominator) of a column that models use."""
+    if family == "access":
+        return "access_is_restricted", "0 if open, 1 if gated", 1.0
+    if family == "built_area_history":
+        return "log_built_area_ha", "ln(1 + hectares) of the year of the sale", None
+    if column.startswith("log_"):
+        return column, "as it is, a logarithm", 1.0
+    stem = "travel_time_nearest_crossing" if column == NEAREST else column
+    return f"{stem}_scaled", f"value / {denominator:g}", denominator
 
 
 def feature_catalog(df: DataFrame) -> DataFrame:
     """One row for each column of a neighbourhood table: what it is, whether and how it enters models.
 
-    ``RULES`` decide by name; denominators come from one pass over the values.
-    Job columns without variation are excluded. A row for the nearest crossing
+    The family follows from the name, the role from the family, and whether a
+    column is eligible from the role. Denominators, and which job columns vary
+    at all, come from one pass over the values. A row for the nearest crossing
     is added.
     """
     source = df.withColumn(NEAREST, F.least(*[finite(F.col(c)) for c in CROSSINGS])) if set(CROSSINGS) <= set(df.columns) else df
-    ruled = [(c, *rule_of(c)[1:]) for c in source.columns]
-    nice = [r[0] for r in ruled if r[5] == "nice"]
-    known = {r["feature"]: r for r in nice_denominators(source, nice).collect()} if nice else {}  # a row per column
+    families = {c: family_of(c) for c in source.columns}
+    numbers = [c for c, f in families.items() if f not in ("identifier", "access", "built_area_history", "other")]
+    known = {r["feature"]: r for r in nice_denominators(source, numbers).collect()} if numbers else {}  # a row per column
     rows = []
-    for c, model, family, role, transform, denominator, eligible, reason in ruled:
-        if denominator == "nice":
-            denominator = known[c]["denominator"]
-            if role == "job_screen" and known[c]["n_unique"] < 2:
-                role, transform, denominator, eligible, reason = "exclude", "zero variance", None, False, "zero variance"
-        sector = next((k for k in CLUSTER_FAMILIES if k in c), "")
-        fill = {"c": c, "d": denominator or 0.0, "sector": sector, "cluster": CLUSTER_FAMILIES.get(sector)}
-        model, family, role, transform = (v and v.format(**fill) for v in (model, family, role, transform))
-        rows.append((c, model, family, role, transform, denominator, eligible, reason))
+    for c, family in families.items():
+        role = role_of(c, family, varies=c in known and known[c]["n_unique"] > 1)
+        if role in USED:
+            model, transform, denominator = scaling_of(c, family, known[c]["denominator"] if c in known else 1.0)
+            rows.append((c, model, family, role, transform, denominator, True, USED[role]))
+        else:
+            # A job column that doesn't vary keeps the name that it would have.
+            rows.append((c, f"{c}_scaled" if family == "job_accessibility" else None, family, role, None, None, False, UNUSED[role]))
     return df.sparkSession.createDataFrame(rows, CATALOG)
 
 

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relate import with_places
+
 # The Lambert conformal conic projection of EPSG:6372 (GRS80).
 A, INVERSE_F = 6378137.0, 298.257222101
 LAT1, LAT2, LAT0, LON0, X0, Y0 = 17.5, 29.5, 12.0, -102.0, 2500000.0, 0.0
@@ -189,6 +191,14 @@ def tercile(value: str, tie: str) -> Column:
     return F.when(rn <= F.ceil((n - 1) / 3), 0).when(rn <= F.ceil(2 * (n - 1) / 3), 1).otherwise(2)
 
 
+def with_terciles(df: DataFrame, value: str, tie: str, name: str = "tercile") -> DataFrame:
+    """df with the same terciles as :func:`tercile` gives, found by ranges for tables of any size; ``tie`` is unique."""
+    placed = with_places(df, [F.col(value).asc(), F.col(tie).asc()], "__place")
+    rows = F.broadcast(df.agg((F.count("*") - 1).alias("__last")))
+    place, last = F.col("__place"), F.col("__last")
+    return placed.join(rows).withColumn(name, F.when(place < F.ceil(last / 3), 0).when(place < F.ceil(2 * last / 3), 1).otherwise(2)).drop("__place", "__last")
+
+
 def grid_zones(df: DataFrame, key: str = "alt_id") -> DataFrame:
     """df (a row per alternative) with its zone on a 3 x 3 grid of terciles, and eight dummies; central_central is the reference."""
     ew, ns = ("west", "central", "east"), ("south", "central", "north")

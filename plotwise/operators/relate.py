@@ -64,6 +64,21 @@ def dense_index(names: DataFrame, column: str, index: str = "alt_id") -> DataFra
     return names.select(column).where(F.col(column).isNotNull()).distinct().withColumn(index, F.row_number().over(Window.orderBy(column)) - 1)
 
 
+def with_places(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """df with its place, from 0, in an order that has no ties.
+
+    Rows are dealt over ranges of the order and kept; only the rows of each
+    range are counted and accumulated in one place, and each range is sorted by
+    itself, so no task sorts all rows or all of one common value.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))  # a row per range
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn(place, within).join(F.broadcast(starts), "__range").withColumn(place, F.col("__start") + F.col(place) - 1).drop("__range", "__start")
+
+
 def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side) of the keys that only one side has; side is 'left' or 'right'."""
     a, b = left.select(key).where(F.col(key).isNotNull()).distinct(), right.select(key).where(F.col(key).isNotNull()).distinct()

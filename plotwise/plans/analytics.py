@@ -102,9 +102,9 @@ def w2(spark, d):
 
 @query("w3_terciles", "SELECT p_partkey, CASE WHEN rn <= ceil((n - 1) / 3.0) THEN 0 WHEN rn <= ceil(2 * (n - 1) / 3.0) THEN 1 ELSE 2 END AS tercile FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS rn, count(*) OVER () AS n FROM part)")
 def w3(spark, d):
-    from ..operators.geometry import tercile
+    from ..operators.geometry import with_terciles
 
-    return table(spark, d, "part").select("p_partkey", tercile("p_retailprice", "p_partkey").alias("tercile"))
+    return with_terciles(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey").select("p_partkey", "tercile")
 
 
 @query("w4_rank_columns", "SELECT alt_id, CAST(row_number() OVER (ORDER BY customers DESC, suppliers DESC, alt_id) AS INTEGER) AS rank FROM " + ALTERNATIVES_SQL)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import SECTORS
+from ..operators.relate import with_places
 
 
 def read_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -61,15 +62,10 @@ def upper_names(df: DataFrame) -> DataFrame:
 def request_batches(df: DataFrame, column: str, size: int = 100) -> DataFrame:
     """(batch, items): distinct values in ascending order, in lists of ``size``.
 
-    Values are counted by their first characters, and only these counts are
-    accumulated, so no task sorts all values.
+    Values are placed by ranges, so no task sorts all of them.
     """
-    values = df.select(F.col(column).alias("v")).where("v is not null").distinct().withColumn("head", F.substring("v", 1, 13))
-    heads = values.groupBy("head").agg(F.count("*").alias("n"))
-    starts = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    placed = values.withColumn("rn", F.row_number().over(Window.partitionBy("head").orderBy("v"))).join(starts, "head")
-    place = F.col("start") + F.col("rn") - 1
-    batches = placed.select(F.floor(place / size).alias("batch"), F.struct(place.alias("at"), F.col("v")).alias("item")).groupBy("batch").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    placed = with_places(df.select(F.col(column).alias("v")).where("v is not null").distinct(), [F.col("v").asc()], "at")
+    batches = placed.select(F.floor(F.col("at") / size).alias("batch"), F.struct("at", "v").alias("item")).groupBy("batch").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return batches.select("batch", F.col("items.v").alias("items"))
 
 

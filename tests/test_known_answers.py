@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plotwise.operators import choice, exposure, features, geometry, grid, mnl, network, relate, specs
 from plotwise.operators.graph import connected_components
@@ -137,6 +138,14 @@ def test_catalog_and_prepared_features(spark):
     roles = {r.model_column: r.role for r in catalog.where("model_column is not null").collect()}
     want = {"access_is_restricted": "control", "jobs_logistics_20_2025_scaled": "job_screen", "log_mfg_jobs_within_2km": "mfg_screen", "logistics_distance_nearest_cluster_km_scaled": "logistics_screen"}
     assert want.items() <= roles.items()
+    found = {r.source_column: r for r in catalog.collect()}
+    assert {c: (found[c].family, found[c].role, found[c].eligible) for c in ("name_detail", features.CROSSINGS[0], "built_area_2020", "nearest_logistics_cluster_jobs", features.NEAREST)} == {
+        "name_detail": ("identifier", "exclude", False), features.CROSSINGS[0]: ("travel_time", "helper", False), "built_area_2020": ("built_area_history", "transaction_varying", True),
+        "nearest_logistics_cluster_jobs": ("logistics_cluster", "available_not_screened", False), features.NEAREST: ("travel_time", "control", True),
+    }
+    assert found[features.NEAREST].model_column == "travel_time_nearest_crossing_scaled" and found["log_mfg_jobs_within_2km"].scale_denominator == 1.0
+    flat = features.feature_catalog(df.withColumn("jobs_logistics_20_2025", F.lit(5.0))).where("source_column = 'jobs_logistics_20_2025'").first()
+    assert (flat.family, flat.role, flat.model_column, flat.eligible) == ("job_accessibility", "exclude", "jobs_logistics_20_2025_scaled", False)
     out = features.prepare_features(df, catalog)
     assert "nearest_logistics_cluster_jobs" not in out.columns and "built_area_2020" in out.columns
     assert [r.access_is_restricted for r in out.orderBy("name_detail").collect()] == [0, 1]
@@ -285,3 +294,17 @@ def test_sources(spark, tmp_path):
     schema = "batchItems array<struct<error:struct<code:string>,response:struct<results:array<struct<type:string,address:struct<street:string>,poi:struct<name:string>,position:struct<lon:double,lat:double>>>>>>"
     found = tables.flatten_responses(tables.read_json_batches(spark, str(tmp_path / "r.json"), schema))
     assert [tuple(r) for r in found.collect()] == [("s", "n", 1.5, 2.5)]
+
+
+def test_places_of_hot_and_equal_values(spark):
+    from plotwise.operators import geometry, relate
+
+    data = [(i, None if i % 10 == 0 else 5.0 if i % 3 else float(i)) for i in range(500)]
+    df = spark.createDataFrame(data, "id int, v double")
+    want = [i for i, _ in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))]
+    placed = relate.with_places(df, [F.col("v").asc_nulls_first(), F.col("id").asc()], "at").collect()
+    assert [r.id for r in sorted(placed, key=lambda r: r["at"])] == want and sorted(r["at"] for r in placed) == list(range(500))
+    both = geometry.with_terciles(df, "v", "id", "t").withColumn("u", geometry.tercile("v", "id"))
+    assert both.count() == 500 and both.where("t <> u").count() == 0
+    empty = df.where("false")
+    assert relate.with_places(empty, [F.col("id").asc()], "at").count() == geometry.with_terciles(empty, "v", "id").count() == 0
