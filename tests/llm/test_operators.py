@@ -417,6 +417,31 @@ def test_toxicity_on_held_out_rows(larger):
     assert scored.count() == 1000 and right > 0.93 and auc > 0.75
 
 
+def plain_probability(data, model):
+    """The score by definition: every window by itself, the largest of each 64 positions, of each four blocks from every third on, then the head."""
+    data = data + bytes(max(0, 8 - len(data)))
+    data += bytes((len(data) - 8) % 2)
+    at = [sum(model.embedding[data[p + k]] @ model.filters[k] for k in range(8)) for p in range(0, len(data) - 7, 2)]
+    blocks = [np.max(at[i : i + 64], axis=0) for i in range(0, len(at), 64)]
+    chunks, start = [], 0
+    while start == 0 or start + 1 < len(blocks):
+        chunks.append(np.maximum(np.max(blocks[start : start + 4], axis=0) + model.bias, 0))
+        start += 3
+    z = np.concatenate((np.max(chunks, axis=0), np.mean(chunks, axis=0), [1.0])) @ model.head
+    return 1 / (1 + math.exp(-z))
+
+
+def test_convolution_against_plain_version():
+    rng = np.random.default_rng(5)
+    model = quality_cnn.QualityModel(rng.normal(size=(256, 3)), rng.normal(size=(8, 3, 5)), rng.normal(size=5), rng.normal(size=11) / 20)
+    tables = model.tables()
+    for n in (0, 1, 7, 8, 9, 63, 134, 135, 520, 521, 900, 1291, 3000):
+        data = rng.integers(0, 256, n).astype(np.uint8)
+        assert quality_cnn.probability(data, model, tables) == pytest.approx(plain_probability(data.tobytes(), model), abs=1e-5)
+    long = rng.integers(0, 256, 20_000).astype(np.uint8)
+    assert np.array_equal(quality_cnn.pooled(long, tables, model.bias, piece=640), quality_cnn.pooled(long, tables, model.bias))
+
+
 def test_held_out_labels_are_never_read(spark, larger):
     docs_, labels = larger
     for module, label, args in ((quality_cnn, "quality", (3, 1)), (toxicity, "toxic", (5, 0))):
