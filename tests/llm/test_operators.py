@@ -466,6 +466,38 @@ def test_maximal_segments_against_definition():
         assert [(a, b, round(v, 6)) for a, b, v in toxicity.maximal_segments(np.array(s))] == plain(s)
 
 
+def test_log_odds_against_plain_version(spark):
+    """The scores of tokens (words, and their first 5 and 7 letters) by their definition, and the law that the calibration follows."""
+    rng = random.Random(8)
+    usual, rude = ([f"{a}{rng.choice('aeiou')}{b}" for a in stems for b in ("", "rd", "rdling")] for stems in (("barn", "fold", "mist", "tr", "quill"), ("grok", "snarlp", "bl")))
+    data = []
+    for i in range(400):
+        bad = i % 4 == 0
+        data.append((i, " ".join(rng.choice(rude if bad and rng.random() < 0.3 else usual) for _ in range(rng.randint(5, 30))) + ".", int(bad)))
+    sample = spark.createDataFrame(data, "doc_id long, text string, label int")
+    fold = {r.doc_id for r in sample.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(10)) < 7).select("doc_id").collect()}
+    seen, sizes = Counter(), Counter()
+    for i, text, label in data:
+        if i in fold:
+            sizes[label] += 1
+            ws = {w.strip(".") for w in text.split()}
+            seen.update({(label, k, w[:n]) for w in ws for k, n in enumerate((None, 5, 7))})
+    want = []
+    for key in {k[1:] for k in seen}:
+        b, g = seen[1, *key], seen[0, *key]
+        a = (b + g) * sizes[1] / (sizes[0] + sizes[1])
+        if min(sizes.values()) + sizes[1] > max(b, g) + a:
+            odds = math.log((b + a) / (2 * sizes[1] - b - a)) - math.log((g + a) / (sizes[0] + sizes[1] - g - a))
+            sd = math.sqrt(1 / (b + a) + 1 / (g + a))
+            if abs(odds) > 2.58 * sd:
+                want.append(min(max(odds - math.copysign(2.58 * sd, odds), -0.5), 6.0))
+    model = toxicity.fit_toxicity(sample)
+    assert len(want) > 5 and sorted(model.odds) == pytest.approx(sorted(want), abs=1e-9)
+    for value, n in ((0.0, 1), (3.0, 20), (8.0, 300)):
+        z = (model.scale * value - math.log(n) - model.place) / model.spread
+        assert model.surprise(value, n) == pytest.approx(-math.log(1 - math.exp(-math.exp(-z))) if z < 20 else z, rel=1e-6)
+
+
 def test_classifiers_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(3, 1, 1), (7, 1, 1), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
