@@ -128,6 +128,35 @@ def test_fingerprints_against_plain_version(spark, documents, bodies):
     assert np.mean([r.near_edited for r in values]) > 0.5 > 0.2 > np.mean([r.near_next for r in values])
 
 
+def plain_fingerprint(data):
+    """Chunk by chunk, trying one block size after the other; only the table of byte values and the hash of a chunk are the operator's."""
+
+    def chunks(size):
+        out, start = [], 0
+        for i in range(len(data)):
+            roll = sum((int(fingerprint._BYTE[data[i - k]]) >> 32) * 31 ** (2 * k + 1) for k in range(min(7, i + 1))) % 2**32
+            if (roll ^ (roll >> 15)) % size == size - 1:
+                out.append(data[start : i + 1])
+                start = i + 1
+        return [*out, data[start:]] if start < len(data) else out
+
+    def sign(size):
+        return "".join(fingerprint.DIGITS.decode()[int(span_hashes(np.frombuffer(c, np.uint8), np.array([0]), np.array([len(c)]))[0]) >> 58] for c in chunks(size))
+
+    size = 3
+    while len(chunks(size)) > 64:
+        size *= 2
+    return f"{size}:{sign(size)}:{sign(2 * size)}"
+
+
+def test_fingerprints_chunk_by_chunk():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 6, 7, 8, 30, 190, 191, 192, 193, 400, 1500):
+        for letters in ("a", "ab", "abcdefghij \u00e9\u4e2d\n"):
+            data = "".join(rng.choice(letters) for _ in range(n)).encode()
+            assert fingerprint.fingerprint(data) == plain_fingerprint(data)
+
+
 def test_fingerprint_block_size_and_locality():
     rng = random.Random(1)
     text = " ".join(str(rng.random()) for _ in range(3000))
