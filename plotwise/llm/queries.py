@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, minhash, mixing, quality_cnn, quality_rules, sentencepiece, substrings, token_counts, toxicity
+from . import chat, divergence, fingerprint, minhash, mixing, quality_cnn, quality_rules, sentencepiece, substrings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, pipeline]
+    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, op11_divergence, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -113,5 +117,23 @@ FROM f GROUP BY conv_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(m.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(m.n, 0) + 2) // (sum(coalesce(m.n, 0)) OVER (PARTITION BY g.lang, g.source) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) m ON m.lang = g.lang AND m.source = g.source AND m.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM c a JOIN c b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+f AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM c WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM f QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL, "op11_divergence": OP11_SQL}
