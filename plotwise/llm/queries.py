@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, fingerprint, minhash, mixing, quality_cnn, quality_rules, sentencepiece, substrings, token_counts, toxicity
+from . import chat, divergence, fingerprint, minhash, mixing, quality_cnn, quality_rules, repair, sentencepiece, substrings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, op11_divergence, pipeline]
+    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, op11_divergence, op12_repair, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -135,5 +139,48 @@ FROM f QUALIFY part = 'pair' OR rank <= 10
 """
 
 
+# The dynamic programme row by row from the end: for each state of the grammar (z: nothing yet, s, u, a) cost, audit and repaired lines.
+_CRC = "list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END, 4294967295::BIGINT)"
+
+
+def _way(when: str, cost: str, letter: str, then: str, line: str | None) -> str:
+    lines = f"list_prepend({line}, {then}.l)" if line else f"{then}.l"
+    return f"CASE WHEN {when} THEN {{'c': {then}.c + {cost}, 'a': '{letter}' || {then}.a, 'l': {lines}}} END"
+
+
+def _best(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _row(state: str, keeps: dict[str, str], expected: str) -> str:
+    stays = "fault IS DISTINCT FROM 'blank' AND fault IS DISTINCT FROM 'duplicate'"
+    more = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    named = {"u": "user", "a": "assistant"}[expected]
+    keep = [_way(f"{stays} AND i = '{i}'", more, "K", to, "role || ':' || text") for i, to in keeps.items()]
+    return _best(_way("TRUE", "2", "D", state, None), *keep, _way(stays, f"1 + {more}", "R", expected, f"'{named}:' || text"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor({_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}, 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM r, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) || i AS pair FROM o),
+p(conv_id, k, z, s, u, a) AS (
+  SELECT DISTINCT conv_id, n + 1, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}}, {{'c': 10, 'a': 'II', 'l': ['user:', 'assistant:']}}, {{'c': 5, 'a': 'I', 'l': ['assistant:']}}, {{'c': 0, 'a': '', 'l': []::VARCHAR[]}} FROM f
+  UNION ALL SELECT conv_id, k, {_best("z", _way("TRUE", "5", "I", "nu", "'user:'"))}, {_best("s", _way("TRUE", "5", "I", "nu", "'user:'"))}, nu, na
+  FROM (SELECT *, {_best("u", _way("TRUE", "5", "I", "a", "'assistant:'"))} AS nu, {_best("a", _way("TRUE", "5", "I", "u", "'user:'"))} AS na
+    FROM (SELECT f.conv_id, f.pos AS k, {_row("z", {"s": "s", "u": "u"}, "u")} AS z, {_row("s", {"u": "u"}, "u")} AS s, {_row("u", {"a": "a"}, "a")} AS u, {_row("a", {"u": "u"}, "u")} AS a
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.k - 1))),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(p.z.c, 0) AS BIGINT) AS cost, coalesce(p.z.a, '') AS audit, sha256(coalesce(array_to_string(p.z.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL, "op11_divergence": OP11_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL, "op11_divergence": OP11_SQL, "op12_repair": OP12_SQL}
