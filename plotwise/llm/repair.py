@@ -61,17 +61,16 @@ def signatures(rows: DataFrame) -> DataFrame:
     Rows go by turn, nulls first, then by role and text. The word has one
     character for each row; texts are left behind.
     """
-    by = [F.col("turn").asc_nulls_first(), "role", "text"]
-    of_conv = Window.partitionBy("conv_id", "gone").orderBy(*by)
-    of_text = Window.partitionBy("conv_id", "gone", "role", "text").orderBy(F.col("turn").asc_nulls_first())
+    of_conv = Window.partitionBy("conv_id", "gone").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    of_text = Window.partitionBy("conv_id", "gone", "role", "text").orderBy("at")
     last = F.right(F.rtrim(F.translate("text", SPACES, " " * len(SPACES))), F.lit(1))
-    initial = F.left("role", F.lit(1))
-    marked = rows.repartition("conv_id").withColumns({"again": F.row_number().over(of_text) > 1, "initial": initial, "last": last})
-    marked = marked.select("conv_id", "gone", "turn", "role", "text", "initial", (F.col("last") == "").alias("blank"), "again", (~F.col("last").isin(".", "!", "?")).alias("cut"))
     pair = F.concat(F.lag("initial").over(of_conv), F.col("initial"))
+    same = F.lag("turn").over(of_conv).eqNullSafe(F.col("turn"))
+    marked = rows.repartition("conv_id").withColumns({"initial": F.left("role", F.lit(1)), "last": last})
+    marked = marked.withColumns({"at": F.row_number().over(of_conv), "illegal": ~pair.isin("su", "ua", "au"), "same": same}).withColumn("again", F.row_number().over(of_text) > 1)
     kind = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("o")
-    fault = F.when(F.col("blank"), "blank").when(F.col("again"), "duplicate").when(F.col("cut"), "truncated")
-    placed = marked.select("conv_id", "gone", "turn", fault.alias("fault"), kind.alias("kind"), F.row_number().over(of_conv).alias("at"), (~pair.isin("su", "ua", "au")).alias("illegal"), (F.lag("turn").over(of_conv).eqNullSafe(F.col("turn"))).alias("same"))
+    fault = F.when(F.col("last") == "", "blank").when(F.col("again"), "duplicate").when(~F.col("last").isin(".", "!", "?"), "truncated")
+    placed = marked.select("conv_id", "gone", "turn", fault.alias("fault"), kind.alias("kind"), "at", "illegal", "same")
     symbol = F.when(F.col("fault").isin("blank", "duplicate"), "x").when(F.col("fault") == "truncated", F.upper("kind")).otherwise(F.col("kind"))
     here = ~F.col("gone")
     count = lambda c: F.count_if(here & c)
