@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, fingerprint, minhash, mixing, quality_cnn, quality_rules, repair, sentencepiece, substrings, token_counts, toxicity
+from . import chat, divergence, fingerprint, minhash, mixing, quality_cnn, quality_rules, repair, secret_scan, sentencepiece, substrings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(_read(spark, sf_dir, "conversations"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, op11_divergence, op12_repair, pipeline]
+    named = [op1_mixing, op2_fingerprints, op3_minhash, op4_sentencepiece, op5_quality_rules, op6_substrings, op7_token_counts, op8_chat, op9_quality, op10_toxicity, op11_divergence, op12_repair, op13_secrets, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -183,5 +187,40 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS
 """
 
 
+# The battery of tests over lists of characters; what stands for a case in either case is spelt out, as the other engine folds more than letters A-Z.
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = f"(?:{'|'.join(map(_either, ('password', 'passwd', 'secret', 'token', 'api_?key')))})" + r"[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SHAPES = (_ASSIGN, secret_scan.ACCESS, secret_scan.HEX, "[A-Za-z0-9+/_-]{20,}={0,2}")
+_TAIL = "(SELECT CASE WHEN z >= 0 THEN w ELSE 1 - w END FROM (SELECT z, exp(-z * z / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS w FROM (SELECT z, 1 / (1 + abs(z) * 0.2316419) AS t FROM (SELECT {0} AS z))))"
+_CHANGES = "CASE WHEN encoding = 'decimal' THEN translate(s, '0123456789', 'LLLLLUUUUU') ELSE translate(s, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/', 'DDDDDDDDDDUUUUUUUUUUUUUUUUUUUUUUUUUULLLLLLLLLLLLLLLLLLLLLLLLLL+') END"
+for _k in ("D", "U", "L", r"\+"):
+    _CHANGES = f"regexp_replace({_CHANGES}, '{_k}+', '{_k[-1]}', 'g')"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS s FROM d" for k, p in enumerate(_SHAPES))}),
+p AS (SELECT r, kind, m[i] AS v, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+q AS MATERIALIZED (SELECT r, kind, v, b, b + length(v) AS e FROM p WHERE kind <> 0 OR length(regexp_extract(v, '{_ASSIGN}', 1)) >= 12),
+c AS (SELECT r, b, e, translate(rtrim(v, '='), '-_', '+/') AS s FROM q WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM q k WHERE k.r = q.r AND k.kind < 3 AND k.b < q.e AND q.b < k.e)),
+n AS (SELECT *, length(s)::DOUBLE AS n, CASE {" ".join(f"WHEN regexp_full_match(s, '{v[0]}') THEN '{k}'" for k, v in secret_scan.ENCODINGS.items())} END AS encoding FROM c),
+a AS (SELECT *, length(a)::DOUBLE AS k, greatest(length(a) * 0.065, 2) - 1 AS uneven, list_transform(string_split(s, ''), lambda x: strpos(a, x)::DOUBLE) AS x FROM
+  (SELECT *, CASE encoding {" ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in secret_scan.ENCODINGS.items())} END AS a, CASE encoding {" ".join(f"WHEN '{k}' THEN {v[2] / 2!r}::DOUBLE" for k, v in secret_scan.ENCODINGS.items())} END AS rare FROM n)),
+x AS (SELECT *, list_sum(list_transform(string_split(a, ''), lambda y: power(length(s) - length(replace(s, y, '')), 2))) AS squares, list_sum(x) / n AS mean, list_sum(x) AS total,
+  list_sum(list_transform(range(1, len(x)), lambda i: x[i] * x[i + 1])) AS products, list_sum(list_transform(x, lambda v: v * v)) AS whole, length({_CHANGES}) - 1 AS changes FROM a),
+y AS (SELECT r, b, e, CAST(floor(n * log2(k)) AS BIGINT) AS bits, greatest({_TAIL.format("(k - 1 + n * uneven - (k / n * squares - n)) / sqrt(2 * (k - 1) + 4 * n * uneven)")}, 1e-300) AS chi,
+  greatest({_TAIL.format("(changes - 0.5 - rare * (n - 1)) / sqrt((n - 1) * rare * (1 - rare))")}, 1e-300) AS runs,
+  CASE WHEN whole - total * mean > 0 THEN least(greatest(abs((products - mean * (2 * total - x[1] - x[-1]) + (n - 1) * mean * mean) / (whole - total * mean)), 1 / n), 1) ELSE 1 END AS serial FROM x),
+z AS (SELECT r, b, e, bits, CAST(floor(-log10(least(greatest(exp(-h) * (1 + h + h * h / 2), 1e-300), 1) / bits) * 100) AS BIGINT) AS place FROM (SELECT *, -(ln(chi) + ln(runs) + ln(serial)) AS h FROM y)),
+l AS (SELECT min(place) AS place FROM (SELECT place, sum(count(*)) OVER (ORDER BY place DESC) AS reported, sum(sum(bits)) OVER () AS all_bits FROM z GROUP BY place) WHERE power(10, -place / 100.0) * all_bits <= 0.01 * reported),
+f AS (SELECT r, kind, b, e FROM q WHERE kind < 3 UNION ALL SELECT r, 3, b, e FROM z, l WHERE z.place >= l.place),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY b, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY b, kind) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || b || ':' || e AS s FROM f) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL, "op11_divergence": OP11_SQL, "op12_repair": OP12_SQL}
+    return {"op1_mixing": OP1_SQL, "op3_minhash": OP3_SQL, "op8_chat": OP8_SQL, "op11_divergence": OP11_SQL, "op12_repair": OP12_SQL, "op13_secrets": OP13_SQL}
