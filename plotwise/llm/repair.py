@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
 from .text import batches
 
 # What edits cost, and what a truncated row that stays adds.
@@ -275,5 +276,5 @@ def repair(rows: DataFrame) -> DataFrame:
     tables give no rows. Other columns don't matter.
     """
     hurt = damage(rows)
-    plans = plan(signatures(hurt)).drop("word")
+    plans = plan(cut(signatures(hurt))).drop("word")  # kept, as dealing by ranges reads its input twice
     return repaired(hurt, plans, digest=True)
