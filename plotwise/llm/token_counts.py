@@ -50,6 +50,7 @@ class Counter:
         for p, s in known.items():
             self.automaton.add_word(p, (len(p), s))
         self.automaton.make_automaton()
+        self.longest = max(map(len, known), default=1)
         # If the mark alone is beyond the reset, every word resets behind it, and of whole-numbered scores only the rounding there is left.
         self.mark = known.get(MARK, self.lost)
         mark = abs(self.mark)
@@ -79,7 +80,7 @@ class Counter:
             here = best[start]
             if here > RESET or here < -RESET:
                 taken += here
-                for k in range(start + 1, n + 1):
+                for k in range(start + 1, min(n, start + self.longest) + 1):  # no place further on is reached yet
                     if best[k] > _NONE:
                         best[k] = _single(best[k] - here)
                 here = 0.0

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -264,6 +265,19 @@ def test_counts_equal_the_library_whatever_the_scores(pieces, bodies):
         assert counter.count(text)[0] == len(processor.encode(text))
 
 
+def test_unspaced_text_takes_linear_time(pieces):
+    draw = random.Random(4)
+    for letters in ("的一是不了人我在有他这中大来上国个到说们", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefABCDEF+/"):
+        text = "".join(draw.choices(letters, k=400_000))
+        counter = token_counts.Counter(pieces)
+        began = time.monotonic()
+        few = counter.count(text[:40_000])
+        middle = time.monotonic()
+        many = counter.count(text)
+        assert time.monotonic() - middle < 40 * max(middle - began, 0.05)
+        assert 0 < 9 * few[0] < many[0] < 11 * few[0]
+
+
 def test_counts_against_plain_viterbi(pieces):
     plain = sentencepiece.Pieces(pieces.names, [max(s, -40_000.0) for s in pieces.scores], pieces.kinds, pieces.kind)  # added exactly
     counter = token_counts.Counter(plain)
