@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst"
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     dealt = cut(pairs)
     tasks = dealt.count() // per_task + 1
-    current = cut(dealt.coalesce(tasks).mapInArrow(_contract, pairs.schema))
+    current = cut(dealt.repartition(tasks).mapInArrow(_contract, pairs.schema))
     mark = F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
     before, now = None, current.agg(*mark).first() if tasks > 1 else None
     while before != now:

@@ -98,24 +98,30 @@ def nearest_node(points: DataFrame, nodes: DataFrame, *, cell: float) -> DataFra
     ``points``: point_id, x, y; ``nodes``: node_id, x, y. Nodes are looked up
     by grid cell, in rings that double their reach; a point that is served in
     a ring is out of the next. A ring's result stands only if it is no farther
-    than the ring surely reaches. Rings go on until every point is served,
-    however far it lies; few points are left by then, so the many nodes in a
-    wide ring meet few of them. Points without a place, and all points where
-    there is no node, are not in the result.
+    than the ring surely reaches, or if the ring spans all places there are.
+    Rings go on until every point is served, however far it lies; few points
+    are left by then, so the many nodes in a wide ring meet few of them. Points
+    without a place, and all points where there is no node, are not in the
+    result; a place is two finite numbers, neither null, NaN nor infinite.
     """
+    placed = lambda df: df.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))  # noqa: E731 (NaN is above infinity)
     found = None
-    open_points = points.select("point_id", "x", "y").where("x is not null and y is not null")
-    spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).where("nx is not null and ny is not null")
+    open_points = placed(points.select("point_id", "x", "y"))
+    spots = placed(nodes.select("node_id", "x", "y"))
+    bounds = [v for c in ("x", "y") for v in spots.select(c).union(open_points.select(c)).agg(F.min(c), F.max(c)).first()]
+    spots = spots.withColumnsRenamed({"x": "nx", "y": "ny"})
+    span = max(bounds[1] - bounds[0], bounds[3] - bounds[2]) if None not in bounds else 0.0
     size = float(cell)
     if spots.isEmpty():
         open_points = open_points.where("false")
+    far = 1 << 62  # beyond this, cells share a number
     while True:
-        at = lambda c, s=size: F.floor(F.col(c) / F.lit(s)).cast("long")
+        at = lambda c, s=size: F.least(F.greatest(F.floor(F.col(c) / F.lit(s)), F.lit(-far)), F.lit(far))
         around = open_points.withColumns({"cx": at("x"), "cy": at("y")})
         around = around.withColumn("gx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("gy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
         here = spots.withColumns({"gx": at("nx"), "gy": at("ny")})
         pairs = around.join(here, ["gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("nx"), F.lit(2)) + F.pow(F.col("y") - F.col("ny"), F.lit(2))))
-        best = pairs.groupBy("point_id").agg(F.min(F.struct("distance", "node_id")).alias("b")).where(F.col("b.distance") <= size).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance"))
+        best = pairs.groupBy("point_id").agg(F.min(F.struct("distance", "node_id")).alias("b")).where((F.col("b.distance") <= size) | F.lit(size >= span)).select("point_id", F.col("b.node_id").alias("node_id"), F.col("b.distance").alias("distance"))
         best = cut(best)
         found = best if found is None else found.union(best)
         open_points = cut(open_points.join(best, "point_id", "left_anti"))

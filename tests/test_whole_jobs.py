@@ -119,3 +119,12 @@ def test_global_permutation_runs_with_the_settings_of_the_analysis(spark, sf, mo
     monkeypatch.setattr(grid, "moran_p", lambda cells, edges, **kw: seen.update(kw) or cells.groupBy("sector").count())
     assert {r["count"] for r in plans.QUERIES["g7_moran_permutation"](spark, sf).collect()} == {6400}
     assert seen == {"value": "num_jobs", "permutations": 199, "seed": 42}
+
+
+def test_nearest_node_of_odd_places(spark):
+    nan, inf = float("nan"), float("inf")
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, nan, 0.0), (3, 0.0, inf), (4, None, 0.0), (5, 1e6, -1e6), (6, 1e300, 1e300), (7, -1e18, 3.0)], "point_id long, x double, y double")
+    nodes = spark.createDataFrame([(1, 3.0, 4.0), (2, nan, nan), (3, -inf, 0.0), (4, 1e6, -1e6 + 2), (5, None, None)], "node_id long, x double, y double")
+    got = {r.point_id: (r.node_id, r.distance) for r in relate.nearest_node(points, nodes, cell=1.0).collect()}
+    assert set(got) == {1, 5, 6, 7} and got[1] == (1, 5.0) and got[5] == (4, 2.0) and got[7][0] == 1
+    assert relate.nearest_node(points, nodes.where("node_id = 2"), cell=1.0).count() == 0
