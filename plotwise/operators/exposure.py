@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import SECTORS
-from .geometry import box_distance
+from .geometry import box_segments, interior_point
 from .graph import cut
 from .grid import Grid, buffered_extent, cell_jobs, hotspot_clusters, hotspots, local_permutation_p, queen_edges, spatial_statistics
+from .overlay import dissolve, distances_to_boxes
 
 # Fixed values of the sector analysis.
 BUFFER_M, CELL_M, MIN_JOBS, MIN_BUSINESSES, PERMUTATIONS, SEED = 10_000.0, 250.0, 500.0, 2, 199, 42
@@ -30,18 +31,30 @@ def sector_configs(spark) -> DataFrame:
     return spark.createDataFrame(rows, "sector string, prefix string, code_prefixes array<string>, buffer_m double, cell_m double, min_jobs double, min_businesses int, permutations int, seed int, bands_km array<double>")
 
 
-def cluster_exposure(zones: DataFrame, boxes: DataFrame, sectors: DataFrame, bands: tuple[float, ...] = BANDS_KM) -> DataFrame:
+def outlines(zones: DataFrame, key: str = "alt_id") -> DataFrame:
+    """The segments of zones that are given by their segments already, or as boxes (key, x0, y0, x1, y1)."""
+    return zones if "seq" in zones.columns else box_segments(zones, key)
+
+
+def cluster_exposure(zones: DataFrame, boxes: DataFrame, sectors: DataFrame, bands: tuple[float, ...] = BANDS_KM, *, size: float = CELL_M) -> DataFrame:
     """A row for each zone and sector.
 
-    ``zones``: alt_id, x0, y0, x1, y1; ``boxes``: sector, cluster_rank,
-    num_jobs, num_businesses, area_km2, cx, cy and the boxes u0, v0, u1, v1 of
-    a cluster's cells; ``sectors``: sector. The distance to a cluster is that
-    to its nearest cell. Of equally near clusters the better ranked counts.
-    Without clusters, distances are null, flags false and sums 0.
+    ``zones``: alt_id and a box x0, y0, x1, y1, or the segments of polygons;
+    ``boxes``: sector, cluster_rank, num_jobs, num_businesses, area_km2, cx, cy
+    and the boxes u0, v0, u1, v1 of a cluster's cells, about ``size`` wide;
+    ``sectors``: sector. The distance to a cluster is that from the polygon to
+    its nearest cell, 0 if they touch or one holds the other; the distance of
+    centres is that from a point within the zone. Of equally near clusters the
+    better ranked counts. Without clusters, distances are null, flags false and
+    sums 0. A zone meets every cluster, as the sums are over all of them, but
+    of a cluster's cells only those that may be the nearest.
     """
-    pairs = zones.select("alt_id", "x0", "y0", "x1", "y1").join(F.broadcast(boxes))
-    centre = F.sqrt(F.pow((F.col("x0") + F.col("x1")) / 2 - F.col("cx"), F.lit(2)) + F.pow((F.col("y0") + F.col("y1")) / 2 - F.col("cy"), F.lit(2)))
-    each = pairs.withColumns({"d": box_distance(), "c": centre}).groupBy("alt_id", "sector", "cluster_rank").agg(F.min("d").alias("d"), F.first("c").alias("c"), *[F.first(k).alias(k) for k in ("num_jobs", "num_businesses", "area_km2")])
+    segs, boxes = outlines(zones), cut(boxes)
+    facts = ["num_jobs", "num_businesses", "area_km2"]
+    clusters = boxes.groupBy("sector", "cluster_rank").agg(*[F.first(k).alias(k) for k in (*facts, "cx", "cy")])
+    near_by = distances_to_boxes(segs, boxes, group=["sector", "cluster_rank"], size=size, key="alt_id")
+    centre = F.hypot(F.col("px") - F.col("cx"), F.col("py") - F.col("cy"))
+    each = near_by.join(clusters, ["sector", "cluster_rank"]).join(interior_point(segs, "alt_id"), "alt_id", "left").withColumn("c", centre)
     km = F.col("d") / 1000
     near: list[Column] = [F.min(F.struct("d", "cluster_rank", "c", "num_jobs", "num_businesses", "area_km2")).alias("near")]
     for b in bands:
@@ -49,7 +62,7 @@ def cluster_exposure(zones: DataFrame, boxes: DataFrame, sectors: DataFrame, ban
         near += [F.count_if(inside).alias(f"clusters_within_{s}"), F.sum(F.when(inside, F.col("num_jobs")).otherwise(0.0)).alias(f"jobs_within_{s}"), F.max(F.when(inside, F.col("num_jobs")).otherwise(0.0)).alias(f"largest_within_{s}")]
     near += [F.sum(F.col("num_jobs") / F.pow(km + GRAVITY_KM, F.lit(2))).alias("gravity_inv_sq"), F.sum(F.col("num_jobs") * F.exp(-km / DECAY_KM)).alias("gravity_exp")]
     sums = each.groupBy("alt_id", "sector").agg(*near)
-    full = zones.select("alt_id").join(F.broadcast(sectors.select("sector"))).join(sums, ["alt_id", "sector"], "left")
+    full = zones.select("alt_id").distinct().join(sectors.select("sector")).join(sums, ["alt_id", "sector"], "left")
     out = {"nearest_rank": F.col("near.cluster_rank"), "distance_m": F.col("near.d"), "distance_km": F.col("near.d") / 1000, "centroid_distance_m": F.col("near.c"), "centroid_distance_km": F.col("near.c") / 1000}
     out |= {"nearest_jobs": F.col("near.num_jobs"), "nearest_businesses": F.col("near.num_businesses"), "nearest_area_km2": F.col("near.area_km2")}
     out |= {f"within_{m}m" if m else "overlaps": F.coalesce(F.col("near.d") <= m, F.lit(False)) for m in FLAGS_M}
@@ -77,14 +90,14 @@ class SectorAnalysis:
 
 
 def sector_analysis(points: DataFrame, zones: DataFrame, *, grid: Grid | None = None, cell: float = CELL_M, buffer: float = BUFFER_M, min_jobs: float = MIN_JOBS, min_businesses: int = MIN_BUSINESSES, value: str = "num_jobs", permutations: int = PERMUTATIONS, seed: int = SEED) -> SectorAnalysis:
-    """From establishments (sector, x, y, jobs) and zones (alt_id, box) to clusters and exposure, all sectors in one plan.
+    """From establishments (sector, x, y, jobs) and zones (alt_id, box or segments) to clusters and exposure, all sectors in one plan.
 
     Hotspots go by the p-values of ``permutations``; with 0 of them, by the
     normal tail of Gi* alone.
     """
     spark = points.sparkSession
     if grid is None:
-        ends = zones.select(F.col("x0").alias("x"), F.col("y0").alias("y")).union(zones.select("x1", "y1"))
+        ends = outlines(zones).select(F.col("x1").alias("x"), F.col("y1").alias("y"))
         grid = Grid.over(buffered_extent(ends, buffer), cell)
     sectors = points.select("sector").distinct()
     stats = spatial_statistics(cell_jobs(points, grid, sectors), queen_edges(grid, spark), value)
@@ -94,7 +107,13 @@ def sector_analysis(points: DataFrame, zones: DataFrame, *, grid: Grid | None =
     members, clusters = hotspot_clusters(cells, queen_edges(grid, spark), min_jobs=min_jobs, min_businesses=min_businesses)
     chosen = clusters.where("cluster_rank is not null").select("sector", "cluster_id", "cluster_rank", "num_jobs", "num_businesses", "area_km2", "cx", "cy")
     boxes = members.select("sector", "cluster_id", F.col("bx0").alias("u0"), F.col("by0").alias("v0"), F.col("bx1").alias("u1"), F.col("by1").alias("v1")).join(chosen, ["sector", "cluster_id"])
-    return SectorAnalysis(grid, cells, members, clusters, cluster_exposure(zones, boxes, sectors))
+    return SectorAnalysis(grid, cells, members, clusters, cluster_exposure(zones, boxes, sectors, size=grid.size))
+
+
+def cluster_outlines(members: DataFrame) -> DataFrame:
+    """(cluster, ring, seq, x1, y1, x2, y2): the outlines of each cluster's cells; cluster is a struct of sector and cluster_id."""
+    cells = members.select(F.struct("sector", "cluster_id").alias("cluster"), F.col("bx0").alias("x0"), F.col("by0").alias("y0"), F.col("bx1").alias("x1"), F.col("by1").alias("y1"))
+    return dissolve(box_segments(cells, "cluster"), key="cluster")
 
 
 def sector_summary(analysis: SectorAnalysis) -> DataFrame:

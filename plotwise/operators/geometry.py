@@ -90,29 +90,6 @@ def interior_point(segs: DataFrame, key: str = "id") -> DataFrame:
     return best.select(key, ((F.col("b.nx") - F.col("b.m")) / 2).alias("px"), F.col("b.py").alias("py"))
 
 
-def points_in_polygons(points: DataFrame, segs: DataFrame, *, cell: float, key: str = "id") -> DataFrame:
-    """points (x, y, ...) with the polygon that contains each, by counting crossings to the right.
-
-    A polygon is sent to the rows of cells that its segments pass, so that a
-    point meets only the segments at its own height. Points are told apart by
-    their columns; equal ones are counted first and come back as often.
-    """
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = segs.withColumn("__row", F.explode(F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))))
-    marked = points.groupBy(*points.columns).agg(F.count("*").alias("__times")).withColumn("__row", at("y"))
-    hit = marked.join(rows, "__row").where((F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y")))
-    x = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    inside = hit.where(x > F.col("x")).groupBy(*points.columns, key, "__times").agg(F.count("*").alias("__n")).where("__n % 2 = 1")
-    return inside.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*points.columns, key)
-
-
-def zonal_sums(pixels: DataFrame, segs: DataFrame, *, pixel_area: float, cell: float, key: str = "id") -> DataFrame:
-    """(id, year, total): yearly mean of each pixel (x, y, date, value) times its area, summed over the polygon that contains it."""
-    yearly = pixels.groupBy("x", "y", F.year("date").alias("year")).agg(F.avg("value").alias("value"))
-    return points_in_polygons(yearly, segs, cell=cell, key=key).groupBy(key, "year").agg((F.sum("value") * pixel_area).alias("total"))
-
-
 def candidate_cells(boxes: DataFrame, cell: float, key: str = "id") -> DataFrame:
     """boxes (id, x0, y0, x1, y1) with every cell (gx, gy) that they touch."""
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import contracts, exposure, features, geometry, grid, network, relate
+from ..operators import contracts, exposure, features, geometry, grid, network, overlay, relate
 from ..operators.graph import cut
 from .registry import ALTERNATIVES_SQL, R4, alternatives, query, r4, table
 
@@ -266,7 +266,7 @@ PIXELS_SQL = "(SELECT (event_id % 10000) // 100 * 200 + 100.5 AS x, (event_id %
 def g23(spark, d):
     e = F.col("event_id") % 10000
     px = table(spark, d, "events").select((F.floor(e / 100) * 200 + 100.5).alias("x"), (e % 100 * 200 + 100.5).alias("y"), F.col("ts").alias("date"), "value")
-    return geometry.zonal_sums(px, geometry.box_segments(zones(spark, d)), pixel_area=40000.0, cell=1000.0).withColumn("total", r4(F.col("total")))
+    return overlay.zonal_sums(px, geometry.box_segments(zones(spark, d)), pixel_area=40000.0, cell=1000.0).withColumn("total", r4(F.col("total")))
 
 
 MESH_SQL = "(SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 200 * 100 AS DOUBLE) AS x0, CAST((s_suppkey * 53) % 200 * 100 AS DOUBLE) AS y0, CAST((s_suppkey * 37) % 200 * 100 + 900 AS DOUBLE) AS x1, CAST((s_suppkey * 53) % 200 * 100 + 900 AS DOUBLE) AS y1, s_acctbal AS v FROM supplier)"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotwise.operators import choice, exposure, features, geometry, grid, mnl, network, relate, specs
+from plotwise.operators import choice, exposure, features, geometry, grid, mnl, network, overlay, relate, specs
 from plotwise.operators.graph import connected_components
 from plotwise.sources import tables
 
@@ -174,7 +174,7 @@ def test_polygons(spark):
     p = geometry.interior_point(segs).first()
     assert (p.px, p.py) == (0.5, 2.0)
     points = spark.createDataFrame([(0.5, 3.0), (3.0, 0.5), (3.0, 3.0), (-1.0, 0.5)], "x double, y double")
-    assert rows(geometry.points_in_polygons(points, segs, cell=1.0).select("x", "y"), "x") == [(0.5, 3.0), (3.0, 0.5)]
+    assert rows(overlay.points_in_polygons(points, segs, cell=1.0).select("x", "y"), "x") == [(0.5, 3.0), (3.0, 0.5)]
 
 
 def test_clusters_and_exposure(spark):
