@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import itertools
+import math
+import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
+from .relate import with_places
 
 
 def travel_times(edges: DataFrame) -> DataFrame:
@@ -18,39 +24,157 @@ def travel_times(edges: DataFrame) -> DataFrame:
     return known.join(F.broadcast(overall)).withColumn("travel_time", F.col("length") / (F.coalesce("__s", "__all") / 3.6)).drop("__s", "__all")
 
 
-def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None) -> DataFrame:
+def range_blocks(edges: DataFrame, *, size: int = 4096) -> DataFrame:
+    """(node, block): the nodes of an edge table dealt over blocks of about ``size`` by ranges of their ids, for networks whose ids follow the map."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    return with_places(nodes, [F.col("node")], "place").select("node", F.floor(F.col("place") / size).alias("block"))
+
+
+def grown_blocks(edges: DataFrame, *, size: int = 4096) -> DataFrame:
+    """(node, block): connected blocks of about ``size`` nodes and more, whatever the ids are.
+
+    Every block below that size joins the neighbour with the least hash of
+    this round, if that is less than its own; chains of such choices are
+    followed to their end by pointers that double their reach. A round leaves
+    about a third of the blocks of a path and fewer of a denser network, so
+    the number of rounds is logarithmic in ``size``.
+    """
+    c = F.col
+    links = cut(edges.select("src", "dst").where("src <> dst").union(edges.select(c("dst").alias("src"), c("src").alias("dst")).where("src <> dst")).distinct())
+    blocks = cut(edges.select(c("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct().withColumn("block", c("node")))
+    for turn in itertools.count():
+        sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+        mark = lambda b, k=turn: F.struct(F.xxhash64(F.lit(k), b).alias("h"), b.alias("b"))
+        own = blocks.withColumnsRenamed({"node": "src", "block": "own"})
+        other = blocks.withColumnsRenamed({"node": "dst", "block": "other"})
+        beside = links.join(own, "src").join(other, "dst").where("own <> other").groupBy("own").agg(F.min(mark(c("other"))).alias("least"))
+        small = sizes.where(c("n") < size).select(c("block").alias("own"))
+        joins = cut(beside.join(small, "own").where(c("least") < mark(c("own"))).select("own", c("least.b").alias("to")))
+        if joins.isEmpty():
+            # No block that is too small has a lesser neighbour by this round's hash; it is done when none has any neighbour that could take it.
+            if beside.join(small, "own").isEmpty():
+                return blocks
+            continue
+        while True:
+            further = joins.select(c("own").alias("to"), c("to").alias("next"))
+            joins = cut(joins.join(further, "to", "left").select("own", F.coalesce("next", "to").alias("to"), c("next").isNotNull().alias("moved")))
+            if joins.where("moved").isEmpty():
+                break
+            joins = joins.select("own", "to")
+        blocks = cut(blocks.join(joins.select(c("own").alias("block"), "to"), "block", "left").select("node", F.coalesce("to", "block").alias("block")))
+
+
+def _settle(graph: dict, known: dict, arrived: list, radius: float) -> tuple[dict, dict]:
+    """Dijkstra's algorithm within a block for one origin: (costs that improved, least costs at nodes of other blocks).
+
+    ``graph``: node -> [(node, inside, weight)]; ``known``: costs from before;
+    ``arrived``: (cost, node) that came in.
+    """
+    heapq.heapify(arrived)
+    better: dict = {}
+    out: dict = {}
+    while arrived:
+        cost, node = heapq.heappop(arrived)
+        if cost >= known.get(node, math.inf):
+            continue
+        known[node] = better[node] = cost
+        for to, inside, weight in graph.get(node, ()):
+            value = cost + weight
+            if value <= radius:
+                if not inside:
+                    if value < out.get(to, math.inf):
+                        out[to] = value
+                elif value < known.get(to, math.inf):
+                    heapq.heappush(arrived, (value, to))
+    return better, out
+
+
+def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None, blocks: DataFrame | None = None, per_task: int = 8192) -> DataFrame:
     """(origin, node, cost): least cost from each origin to every node it reaches, within ``radius`` if given.
 
-    ``starts``: origin, node. Each round extends only the frontier, the pairs
-    that the last round improved; minima are taken before anything is joined.
-    Rounds go on until the frontier is empty; there are as many as hops on the
-    longest of the shortest paths. If ``max_rounds`` is given and the frontier
-    isn't empty after it, that is an error.
-    reverse: costs from nodes to the origins. Negative weights aren't allowed.
+    ``starts``: origin, node. The network is dealt over ``blocks`` (node,
+    block; by default ranges of ids, :func:`grown_blocks` where ids say nothing
+    of the place). In a round, each block that something has reached searches
+    to the end within itself, and only the costs at nodes of other blocks go
+    on; so there are as many rounds as blocks on the longest of the shortest
+    paths, not hops, and costs of blocks that nothing reached stay where they
+    are. What comes to a block is dealt by origin over tasks of about
+    ``per_task`` costs, each with a copy of the block.
+
+    If ``max_rounds`` is given and there is more to do after it, that is an
+    error, as is a negative weight. Edges with a null end or weight don't
+    count. reverse: costs from nodes to the origins.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.groupBy(F.col(a).alias("node"), F.col(b).alias("to")).agg(F.min(weight).cast("double").alias("w"))
-    steps = cut(steps)
-    best = cut(starts.select("origin", "node").distinct().withColumn("cost", F.lit(0.0)))
-    frontier = best
+    plain = edges.select(F.col("src"), F.col("dst"), F.col(weight).cast("double").alias("w")).where("src is not null and dst is not null and w is not null and not isnan(w)")
+    steps = plain.groupBy(F.col(a).alias("node"), F.col(b).alias("to")).agg(F.min("w").alias("w"))
+    blocks = cut(range_blocks(plain) if blocks is None else blocks.select("node", "block"))
+    steps = steps.join(blocks, "node").join(blocks.select(F.col("node").alias("to"), F.col("block").alias("other")), "to")
+    steps = cut(steps.select("block", "node", "to", (F.col("block") == F.col("other")).alias("inside"), "w"))
+    if (steps.agg(F.min("w")).first()[0] or 0.0) < 0:
+        raise ValueError("negative weights")
+    limit = math.inf if radius is None else float(radius)
+    kinds = dict(starts.dtypes) | {"block": dict(blocks.dtypes)["block"]}
+    labels = f"origin {kinds['origin']}, node {kinds['node']}, cost double, block {kinds['block']}"
+
+    def search(key: tuple, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """Costs that improved, with their block, and those at nodes of other blocks, without one."""
+        out = {"origin": [], "node": [], "cost": [], "block": []}
+        fresh = rows.fresh.to_numpy()
+        if not fresh.any():
+            return pd.DataFrame(out, dtype=object)
+        near: dict = {}
+        for node, to, inside, w in zip(graph.node.tolist(), graph.to.tolist(), graph.inside.tolist(), graph.w.tolist(), strict=True):
+            near.setdefault(node, []).append((to, inside, w))
+        known: dict = {}
+        arrived: dict = {}
+        for origin, node, cost, new in zip(rows.origin.tolist(), rows.node.tolist(), rows.cost.tolist(), fresh.tolist(), strict=True):
+            if new:
+                arrived.setdefault(origin, []).append((cost, node))
+            else:
+                mine = known.setdefault(origin, {})
+                mine[node] = min(cost, mine.get(node, math.inf))
+        for origin, came in arrived.items():
+            better, further = _settle(near, known.get(origin, {}), came, limit)
+            for found, block in ((better, key[0]), (further, None)):
+                out["origin"].extend([origin] * len(found)), out["node"].extend(found), out["cost"].extend(found.values()), out["block"].extend([block] * len(found))
+        return pd.DataFrame(out, dtype=object)
+
+    # Each round is a table of its own in the shared folder, so that no plan grows with the rounds.
+    spark = edges.sparkSession
+    folder = f"{spark.sparkContext.getCheckpointDir()}/times-{uuid.uuid4().hex}"
+    at_block = blocks.select("node", "block")
+    first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().withColumn("cost", F.lit(0.0))
+    first.write.parquet(f"{folder}/0")
+    fresh = spark.read.parquet(f"{folder}/0").join(at_block, "node")
+    rounds: list[str] = []
     for done in itertools.count(1):
-        reached = frontier.join(steps, "node").select("origin", F.col("to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
-        if radius is not None:
-            reached = reached.where(F.col("cost") <= radius)
-        reached = reached.groupBy("origin", "node").agg(F.min("cost").alias("new"))
-        merged = cut(best.join(reached, ["origin", "node"], "full_outer").select("origin", "node", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("better")))
-        best = merged.select("origin", "node", "cost")
-        frontier = merged.where("better").select("origin", "node", "cost")
-        if frontier.isEmpty():
-            return best
+        fresh.select("origin", "node", "cost", "block").write.parquet(f"{folder}/to-{done}")
+        came = spark.read.parquet(f"{folder}/to-{done}")
+        # How many tasks share the origins of a block; blocks that nothing came to are not in it.
+        shares = came.groupBy("block").agg(F.ceil(F.count("*") / per_task).alias("share"))
+        deal = F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal")
+        rows = came.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(True).alias("fresh"))
+        if rounds:
+            known = spark.read.parquet(*rounds).where("block is not null")
+            rows = rows.union(known.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(False).alias("fresh")))
+        copies = steps.join(shares, "block").select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("copy"), "node", "to", "inside", "w")
+        copies.groupBy("at", "copy").cogroup(rows.groupBy("block", "deal")).applyInPandas(search, labels).write.parquet(f"{folder}/{done}")
+        rounds.append(f"{folder}/{done}")
+        further = spark.read.parquet(rounds[-1]).where("block is null").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+        if further.isEmpty():
+            # Starts off the network reach themselves only.
+            whole = spark.read.parquet(*rounds).where("block is not null").select("origin", "node", "cost").union(spark.read.parquet(f"{folder}/0"))
+            return whole.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
         if done == max_rounds:
             raise RuntimeError(f"costs still improve after {max_rounds} rounds")
+        fresh = further.join(at_block, "node")
 
 
 def anchor_times(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, *, weight: str = "travel_time") -> DataFrame:
     """(node, anchor, cost) from each listed node to each anchor (anchor, node) along directed edges; null if it can't be reached."""
     found = shortest_times(edges, anchors.select(F.col("anchor").alias("origin"), "node"), weight=weight, reverse=True)
-    pairs = nodes.select("node").join(F.broadcast(anchors.select("anchor")))
+    pairs = nodes.select("node").join(anchors.select("anchor"))
     return pairs.join(found.withColumnRenamed("origin", "anchor"), ["node", "anchor"], "left")
 
 
