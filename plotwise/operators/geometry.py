@@ -182,7 +182,7 @@ def grid_zones(df: DataFrame, key: str = "alt_id") -> DataFrame:
     names = [f"{b}_{a}" for b in ns for a in ew if (a, b) != ("central", "central")]
     _guard(df, ["grid_zone", *[f"grid_zone_{n}" for n in names]])
     label = lambda c, words: F.element_at(F.array(*[F.lit(w) for w in words]), c + 1)
-    placed = df.withColumn("__e", tercile("centroid_east_km", key)).withColumn("__n", tercile("centroid_north_km", key))
+    placed = with_terciles(with_terciles(df, "centroid_east_km", key, "__e"), "centroid_north_km", key, "__n")
     zoned = placed.withColumn("grid_zone", F.concat_ws("_", label(F.col("__n"), ns), label(F.col("__e"), ew))).drop("__e", "__n")
     return zoned.withColumns({f"grid_zone_{n}": (F.col("grid_zone") == n).cast("int") for n in names})
 

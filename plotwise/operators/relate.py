@@ -60,8 +60,9 @@ def mutual_best(pairs: DataFrame, left: str, right: str, closeness: list[str]) -
 
 
 def dense_index(names: DataFrame, column: str, index: str = "alt_id") -> DataFrame:
-    """Distinct names with their place in ascending order, from 0. One row per alternative."""
-    return names.select(column).where(F.col(column).isNotNull()).distinct().withColumn(index, F.row_number().over(Window.orderBy(column)) - 1)
+    """Distinct names with their place in ascending order, from 0; nulls have none."""
+    known = names.select(column).where(F.col(column).isNotNull()).distinct()
+    return with_places(known, [F.col(column).asc()], index).withColumn(index, F.col(index).cast("int"))
 
 
 def with_places(df: DataFrame, order: list[Column], place: str) -> DataFrame:
