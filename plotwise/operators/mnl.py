@@ -66,37 +66,59 @@ def _utility(features: list[str], beta: np.ndarray) -> Column:
 def per_obs(long: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:
     """A row per sale: ll, its score s_<i>, and the covariance of the features under the model h_<i>_<j>. Only available rows count."""
     rows = long.where("available").select("obs_id", "chosen", *features).withColumn("__v", _utility(features, beta))
+    return _sums(rows, features, ["obs_id"])
+
+
+def _sums(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """What :func:`per_obs` returns, for each group of rows with utilities __v."""
     # One shuffle by sale; the largest utility of a sale keeps the exponentials in range.
-    top = F.max("__v").over(Window.partitionBy("obs_id"))
+    top = F.max("__v").over(Window.partitionBy(*by))
     rows = rows.withColumn("__e", F.exp(F.col("__v") - top)).withColumn("__d", F.col("__v") - top)
     pick = lambda c: F.sum(F.when(F.col("chosen"), c))
     sums = [F.sum("__e").alias("s"), pick(F.col("__d")).alias("chosen_v"), F.count("*").alias("n_available")]
     k = range(len(features))
     sums += [F.sum(F.col("__e") * F.col(features[i])).alias(f"x_{i}") for i in k] + [pick(F.col(features[i]).cast("double")).alias(f"c_{i}") for i in k]
     sums += [F.sum(F.col("__e") * F.col(features[i]) * F.col(features[j])).alias(f"xx_{i}_{j}") for i in k for j in range(i + 1)]
-    o = rows.groupBy("obs_id").agg(*sums)
+    o = rows.groupBy(*by).agg(*sums)
     return o.select(
-        "obs_id", "n_available", (F.col("chosen_v") - F.log("s")).alias("ll"), *[(F.col(f"c_{i}") - F.col(f"x_{i}") / F.col("s")).alias(f"s_{i}") for i in k],
+        *by, "n_available", (F.col("chosen_v") - F.log("s")).alias("ll"), *[(F.col(f"c_{i}") - F.col(f"x_{i}") / F.col("s")).alias(f"s_{i}") for i in k],
         *[(F.col(f"xx_{i}_{j}") / F.col("s") - F.col(f"x_{i}") / F.col("s") * F.col(f"x_{j}") / F.col("s")).alias(f"h_{i}_{j}") for i in k for j in range(i + 1)],
     )
 
 
-def moments(long: DataFrame, features: list[str], beta: np.ndarray) -> dict:
-    """Log-likelihood, gradient, information and summed outer products of the scores at beta, from one job."""
-    k = len(features)
+def _totals(k: int) -> list[Column]:
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    o = per_obs(long, features, beta)
-    row = o.agg(
+    return [
         F.count("*").alias("n"), F.sum("ll").alias("ll"), F.sum(-F.log(F.col("n_available").cast("double"))).alias("null_ll"), *[F.sum(f"s_{i}").alias(f"g_{i}") for i in range(k)],
         *[F.sum(f"h_{i}_{j}").alias(f"h_{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"b_{i}_{j}") for i, j in pairs],
-    ).first()
+    ]
+
+
+def _moments(row: dict, k: int) -> dict:
     info, outer = np.zeros((k, k)), np.zeros((k, k))
-    for i, j in pairs:
-        info[i, j] = info[j, i] = row[f"h_{i}_{j}"] or 0.0
-        outer[i, j] = outer[j, i] = row[f"b_{i}_{j}"] or 0.0
+    for i in range(k):
+        for j in range(i + 1):
+            info[i, j] = info[j, i] = row[f"h_{i}_{j}"] or 0.0
+            outer[i, j] = outer[j, i] = row[f"b_{i}_{j}"] or 0.0
     return {"n": row["n"], "ll": row["ll"] or 0.0, "null_ll": row["null_ll"] or 0.0, "gradient": np.array([row[f"g_{i}"] or 0.0 for i in range(k)]), "information": info, "outer": outer}
 
 
+def moments(long: DataFrame, features: list[str], beta: np.ndarray) -> dict:
+    """Log-likelihood, gradient, information and summed outer products of the scores at beta, from one job."""
+    k = len(features)
+    return _moments(per_obs(long, features, beta).agg(*_totals(k)).first().asDict(), k)
+
+
+def moments_at(long: DataFrame, features: list[str], betas: list[np.ndarray]) -> list[dict]:
+    """The moments at each of several betas, from one job: every row is taken at all of them."""
+    k = len(features)
+    utilities = F.posexplode(F.array(*[_utility(features, b) for b in betas])).alias("point", "__v")
+    rows = long.where("available").select("obs_id", "chosen", *features, utilities)
+    found = {r["point"]: _moments(r.asDict(), k) for r in _sums(rows, features, ["obs_id", "point"]).groupBy("point").agg(*_totals(k)).collect()}
+    none = {"n": 0, "ll": 0.0, "null_ll": 0.0, "gradient": np.zeros(k), "information": np.zeros((k, k)), "outer": np.zeros((k, k))}
+    return [found.get(i, none) for i in range(len(betas))]
+
+
 def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolerance: float = 1e-8, start: np.ndarray | None = None) -> MnlFit:
     """Maximise the likelihood from zero by Newton steps, halved while they don't improve it; a singular information matrix ends it as not converged."""
     if len(set(features)) != len(features):
@@ -129,18 +151,23 @@ def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolera
         long.unpersist()
 
 
-def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4) -> dict[str, float]:
-    """Largest differences between the analytic gradient and information and central differences, from two jobs for each parameter and one more."""
+def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4, at: np.ndarray | None = None) -> dict[str, float]:
+    """Largest differences between the analytic gradient and information and central differences, from one job however many parameters.
+
+    They are taken at ``at``, by default at the fit. The relative ones are
+    parts of the largest entry, of 1 at least.
+    """
+    beta = fit.beta if at is None else np.asarray(at, float)
     k = len(fit.features)
-    here = moments(long, fit.features, fit.beta)
-    gradient, hessian = np.zeros(k), np.zeros((k, k))
-    for i in range(k):
-        move = np.zeros(k)
-        move[i] = step
-        up, down = moments(long, fit.features, fit.beta + move), moments(long, fit.features, fit.beta - move)
-        gradient[i] = (up["ll"] - down["ll"]) / (2 * step)
-        hessian[i] = -(up["gradient"] - down["gradient"]) / (2 * step)
-    return {"gradient_error": float(np.abs(gradient - here["gradient"]).max()), "hessian_error": float(np.abs(hessian - here["information"]).max())}
+    moves = np.eye(k) * step
+    here, *moved = moments_at(long, fit.features, [beta, *(beta + m for m in moves), *(beta - m for m in moves)])
+    up, down = moved[:k], moved[k:]
+    gradient = np.array([(u["ll"] - d["ll"]) / (2 * step) for u, d in zip(up, down, strict=True)])
+    hessian = np.array([-(u["gradient"] - d["gradient"]) / (2 * step) for u, d in zip(up, down, strict=True)])
+    off = lambda a, b: float(np.abs(a - b).max())
+    size = lambda a: max(1.0, float(np.abs(a).max()))
+    g, h = off(gradient, here["gradient"]), off(hessian, here["information"])
+    return {"gradient_error": g, "hessian_error": h, "gradient_relative": g / size(here["gradient"]), "hessian_relative": h / size(here["information"])}
 
 
 def choice_probabilities(long: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:

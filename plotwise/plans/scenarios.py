@@ -60,9 +60,11 @@ def m29(spark, d):
 @query("m11_derivative_check")
 def m11(spark, d):
     frame = model_frame(spark, d).cache()
-    errors = mnl.check_derivatives(frame, mnl.fit_mnl(frame, FEATURES))
+    # At a point beside the maximum, where no derivative is 0; errors as parts of the largest entry.
+    fit = mnl.fit_mnl(frame, FEATURES)
+    errors = mnl.check_derivatives(frame, fit, at=fit.beta * 0.9)
     frame.unpersist()
-    return spark.createDataFrame([(k, v, bool(v < 1.0)) for k, v in errors.items()], "check string, value double, passed boolean")
+    return spark.createDataFrame([(k, v, bool(v < 1e-3)) for k, v in errors.items() if k.endswith("relative")], "check string, value double, passed boolean")
 
 
 @query("m14_residual_change")

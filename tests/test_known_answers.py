@@ -231,6 +231,11 @@ def test_logit_against_numpy(spark):
     assert math.isclose(fit.null_log_likelihood, -len(x) * math.log(3))
     errors = mnl.check_derivatives(long, fit)
     assert errors["gradient_error"] < 1e-3 and errors["hessian_error"] < 1e-2
+    betas = [fit.beta * 0.5, fit.beta, fit.beta + 1]
+    for one, many in zip([mnl.moments(long, ["x", "z"], b) for b in betas], mnl.moments_at(long, ["x", "z"], betas), strict=True):
+        assert one["n"] == many["n"] and all(np.allclose(one[k], many[k]) for k in ("ll", "null_ll", "gradient", "information", "outer"))
+    beside = mnl.check_derivatives(long, fit, at=fit.beta * 0.5)
+    assert beside["gradient_relative"] < 1e-5 and beside["hessian_relative"] < 1e-5
     alternatives = spark.createDataFrame([(0,), (1,), (2,), (3,)], "alt_id int")
     shares = mnl.choice_shares(long, ["x", "z"], fit.beta, alternatives)
     total = mnl.share_fit(shares).first()
