@@ -151,6 +151,69 @@ def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolera
         long.unpersist()
 
 
+def fit_specs(long: DataFrame, specs: dict[str, list[str]], *, max_steps: int = 25, tolerance: float = 1e-8) -> dict[str, MnlFit]:
+    """The fit of every spec (name -> features), as :func:`fit_mnl` gives it, with one job for all of them an iteration.
+
+    A row is taken once for each spec that isn't done, with that spec's
+    features and utility; what is done drops out. So the number of jobs is
+    that of the slowest spec, whatever the number of specs, and the data are
+    shuffled by sale once.
+    """
+    every = list(dict.fromkeys(f for fs in specs.values() for f in fs))
+    missing = [c for c in ("obs_id", "alt_id", "chosen", "available", *every) if c not in long.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    if any(len(set(fs)) != len(fs) for fs in specs.values()):
+        raise ValueError("duplicate features")
+    width = max(map(len, specs.values()), default=0)
+    names = [f"f_{i}" for i in range(width)]
+    long = long.where("available").select("obs_id", "chosen", *every).repartition("obs_id").cache()
+
+    def at_all(betas: dict[str, np.ndarray]) -> dict[str, dict]:
+        point = lambda name, b: F.struct(F.lit(name).alias("spec"), _utility(specs[name], b).alias("__v"), *[(F.col(specs[name][i]).cast("double") if i < len(specs[name]) else F.lit(0.0)).alias(names[i]) for i in range(width)])
+        rows = long.select("obs_id", "chosen", F.explode(F.array(*[point(n, b) for n, b in betas.items()])).alias("p")).select("obs_id", "chosen", "p.*")
+        found = {r["spec"]: _moments(r.asDict(), width) for r in _sums(rows, names, ["obs_id", "spec"]).groupBy("spec").agg(*_totals(width)).collect()}
+        none = {"n": 0, "ll": 0.0, "null_ll": 0.0, "gradient": np.zeros(width), "information": np.zeros((width, width)), "outer": np.zeros((width, width))}
+        out = {}
+        for n in betas:
+            k, m = len(specs[n]), found.get(n, none)
+            out[n] = m | {"gradient": m["gradient"][:k], "information": m["information"][:k, :k], "outer": m["outer"][:k, :k]}
+        return out
+
+    try:
+        fits, moves, halved = {}, {}, {}
+        for name, at in at_all({n: np.zeros(len(fs)) for n, fs in specs.items()}).items() if specs else ():
+            fits[name] = MnlFit(list(specs[name]), np.zeros(len(specs[name])), at["ll"], at["null_ll"], at["n"], False, at["gradient"], at["information"], at["outer"], at["ll"])
+
+        def turn(name: str) -> None:
+            """The next move of a spec, unless it is done."""
+            fit = fits[name]
+            moves.pop(name, None)
+            if fit.steps < max_steps:
+                fit.steps += 1
+                move = np.linalg.pinv(fit.information) @ fit.gradient
+                if abs(float(move @ fit.gradient)) < tolerance:
+                    fit.converged = bool(np.linalg.matrix_rank(fit.information) == len(fit.features))
+                else:
+                    moves[name], halved[name] = move, 0
+
+        for name in fits:
+            turn(name)
+        while moves:
+            for name, new in at_all({n: fits[n].beta + m for n, m in moves.items()}).items():
+                fit = fits[name]
+                if new["ll"] >= fit.log_likelihood - 1e-12 * abs(fit.log_likelihood):
+                    fit.beta, fit.log_likelihood, fit.gradient, fit.information, fit.scores = fit.beta + moves[name], new["ll"], new["gradient"], new["information"], new["outer"]
+                    turn(name)
+                elif halved[name] == 11:  # no step of this direction is better: the fit stays where it is, not converged
+                    moves.pop(name)
+                else:
+                    moves[name], halved[name] = moves[name] / 2, halved[name] + 1
+        return fits
+    finally:
+        long.unpersist()
+
+
 def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4, at: np.ndarray | None = None) -> dict[str, float]:
     """Largest differences between the analytic gradient and information and central differences, from one job however many parameters.
 

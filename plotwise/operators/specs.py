@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mnl import MnlFit, fit_mnl
+from .mnl import fit_specs
 
 SPEC_SCHEMA = "spec_id string, kind string, families array<string>, candidates array<string>, columns array<string>"
 
@@ -60,17 +60,12 @@ def extension_specs(spark, base: list[str], extensions: dict[str, list[str]]) ->
 
 
 def screen_specs(long: DataFrame, specs: dict[str, list[str]], **options) -> tuple[DataFrame, DataFrame]:
-    """(summary, coefficients) of all specs, fitted on one cached frame with the union of their features.
+    """(summary, coefficients) of all specs, fitted together: one job an iteration, whatever their number.
 
     Adds delta_aic and rank by AIC. Each fit's result is a few numbers.
     """
     spark = long.sparkSession
-    every = list(dict.fromkeys(f for fs in specs.values() for f in fs))
-    shared = long.select("obs_id", "alt_id", "chosen", "available", *every).repartition("obs_id").cache()
-    try:
-        fits: dict[str, MnlFit] = {name: fit_mnl(shared, fs, **options) for name, fs in specs.items()}
-    finally:
-        shared.unpersist()
+    fits = fit_specs(long, specs, **options)
     names = ["n_obs", "k", "log_likelihood", "null_log_likelihood", "aic", "bic", "rho_squared", "converged"]
     rows = [(name, *[f.statistics[n] for n in names]) for name, f in fits.items()]
     summary = spark.createDataFrame(rows, "spec_id string, n_obs long, k long, log_likelihood double, null_log_likelihood double, aic double, bic double, rho_squared double, converged boolean")

@@ -231,6 +231,12 @@ def test_logit_against_numpy(spark):
     assert math.isclose(fit.null_log_likelihood, -len(x) * math.log(3))
     errors = mnl.check_derivatives(long, fit)
     assert errors["gradient_error"] < 1e-3 and errors["hessian_error"] < 1e-2
+    specs = {"both": ["x", "z"], "turned": ["z", "x"], "x": ["x"], "z": ["z"]}
+    together = mnl.fit_specs(long, specs)
+    for name, features in specs.items():
+        alone = mnl.fit_mnl(long, features)
+        assert together[name].steps == alone.steps and together[name].converged and np.allclose(together[name].beta, alone.beta) and np.allclose(together[name].covariance(), alone.covariance())
+        assert together[name].statistics == pytest.approx(alone.statistics)
     betas = [fit.beta * 0.5, fit.beta, fit.beta + 1]
     for one, many in zip([mnl.moments(long, ["x", "z"], b) for b in betas], mnl.moments_at(long, ["x", "z"], betas), strict=True):
         assert one["n"] == many["n"] and all(np.allclose(one[k], many[k]) for k in ("ll", "null_ll", "gradient", "information", "outer"))
