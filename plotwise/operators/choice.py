@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .relate import day_number, with_places
 
 
@@ -97,10 +98,14 @@ def availability_summary(choice: ActiveChoiceSet, *, min_available: int = 2) ->
 
 
 def distribution(df: DataFrame, column: str, percentiles: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), *, exact: bool = True) -> DataFrame:
-    """One row: count, mean, std (n - 1), min, percentiles (p05 ...), max; exact=False takes approximate percentiles at scale."""
-    pick = (lambda p: F.percentile(column, F.lit(p))) if exact else (lambda p: F.percentile_approx(column, p, 10_000))
-    marks = [pick(p).alias(f"p{round(100 * p):02d}") for p in percentiles]
-    return df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), *marks, F.max(column).alias("max"))
+    """One row: count, mean, std (n - 1), min, percentiles (p05 ...), max; percentiles are exact by selection, or approximate with exact=False. Nulls count as no value; without values all but count are null."""
+    names = {f"p{round(100 * p):02d}": p for p in percentiles}
+    near = [] if exact else [F.percentile_approx(column, p, 10_000).alias(name) for name, p in names.items()]
+    row = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), *near)
+    if exact:
+        marks = quantiles(df.select(F.lit(0).alias("feature"), F.col(column).alias("value")), names).drop("feature", "n")
+        row = row.join(F.broadcast(marks), how="left")
+    return row.select("count", "mean", "std", "min", *names, "max")
 
 
 def built_area_long(features: DataFrame, prefix: str = "built_area_") -> DataFrame:

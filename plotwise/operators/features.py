@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 CROSSINGS = ("travel_time_crossing_west", "travel_time_crossing_east")
 NEAREST = "min(travel_time_crossing_west, travel_time_crossing_east)"
 CATALOG = "source_column string, model_column string, family string, role string, transform string, scale_denominator double, eligible boolean, reason string"
@@ -41,7 +43,9 @@ def snapped(raw: Column) -> Column:
 def nice_denominators(df: DataFrame, columns: list[str], *, target_p75: float = 5.0) -> DataFrame:
     """(feature, denominator, n_unique): a round number that brings the 75th percentile of the non-zero sizes near ``target_p75``; 1 without such values."""
     values = long_values(df, columns)
-    stats = values.groupBy("feature").agg(F.percentile(F.when(F.col("value") != 0, F.abs("value")), F.lit(0.75)).alias("p75"), F.count_distinct("value").alias("n_unique"))
+    n_unique = values.groupBy("feature").agg(F.count_distinct("value").alias("n_unique"))
+    sizes = values.withColumn("value", F.when(F.col("value") != 0, F.abs("value")))
+    stats = n_unique.join(F.broadcast(quantiles(sizes, {"p75": 0.75})), "feature")
     raw = F.col("p75") / target_p75
     return stats.select("feature", F.when(raw > 0, snapped(raw)).otherwise(1.0).alias("denominator"), "n_unique")
 
@@ -145,13 +149,19 @@ def prepare_features(df: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def scale_audit(df: DataFrame, columns: list[str], *, lower: float = 1.0, upper: float = 10.0) -> DataFrame:
-    """(feature, missing, n_unique, min, p25, median, p75, max, scale_warning) from one grouped pass; numbers to four places."""
+    """(feature, missing, n_unique, min, p25, median, p75, max, scale_warning); numbers to four places, percentiles exact by selection."""
     v, size = F.col("value"), F.abs(F.col("value"))
-    pick = lambda c, p: F.percentile(c, F.lit(p))
-    s = long_values(df, columns).groupBy("feature").agg(
-        F.count_if(v.isNull()).alias("missing"), F.count_distinct("value").alias("n_unique"), F.min("value").alias("min"), pick("value", 0.25).alias("p25"), pick("value", 0.5).alias("median"), pick("value", 0.75).alias("p75"), F.max("value").alias("max"),
-        F.count("value").alias("__n"), F.count_if((v != 0) & (v != 1)).alias("__other"), pick(size, 0.75).alias("__a75"), F.percentile(F.when(size > 0, size), F.lit(0.5)).alias("__mid"),
+    values = long_values(df, columns)
+    s = values.groupBy("feature").agg(
+        F.count_if(v.isNull()).alias("missing"), F.count_distinct("value").alias("n_unique"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count("value").alias("__n"), F.count_if((v != 0) & (v != 1)).alias("__other"),
     )
+    # Percentiles of the values, of their sizes, and of the sizes above zero, in one selection.
+    series = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in (("value", v), ("size", size), ("some", F.when(size > 0, size)))]))
+    marks = quantiles(values.select("feature", series.alias("s")).select(F.concat_ws(":", "s.k", "feature").alias("key"), F.col("s.v").alias("value")), {"p25": 0.25, "median": 0.5, "p75": 0.75}, by="key")
+    of = lambda k, names: marks.where(F.col("key").startswith(f"{k}:")).select(F.expr(f"substr(key, {len(k) + 2})").alias("feature"), *[F.col(a).alias(b) for a, b in names.items()])
+    for part in (of("value", {c: c for c in ("p25", "median", "p75")}), of("size", {"p75": "__a75"}), of("some", {"median": "__mid"})):
+        s = s.join(F.broadcast(part), "feature")
     warning = F.when(F.col("__n") == 0, "all missing").when(F.col("__other") == 0, "binary").when(F.col("__a75") > upper, "too large").when(F.col("__mid").isNull() | (F.col("__mid") < lower), "too small").otherwise("ok")
     places = [(F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in ("min", "p25", "median", "p75", "max")]
     return s.select("feature", "missing", "n_unique", *places, warning.alias("scale_warning"))

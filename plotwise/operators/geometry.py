@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .relate import with_places
 
 # The Lambert conformal conic projection of EPSG:6372 (GRS80).
@@ -140,7 +141,9 @@ def centroid_controls(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     missing = [c for c in (x, y) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    mid = df.agg(F.percentile(x, F.lit(0.5)).alias("__mx"), F.percentile(y, F.lit(0.5)).alias("__my"))
+    sides = df.select(F.col(x).cast("double").alias("__mx"), F.col(y).cast("double").alias("__my")).unpivot([], ["__mx", "__my"], "feature", "value")
+    middle = F.col("middle")
+    mid = quantiles(sides, {"middle": 0.5}).agg(*[F.max(F.when(F.col("feature") == c, middle)).alias(c) for c in ("__mx", "__my")])
     return df.join(F.broadcast(mid)).withColumns({"centroid_east_km": (F.col(x) - F.col("__mx")) / 1000, "centroid_north_km": (F.col(y) - F.col("__my")) / 1000}).drop("__mx", "__my")
 
 
