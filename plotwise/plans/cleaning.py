@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import relate
-from ..sources import tables
+from ..operators import names, relate
+from ..sources import nested, tables
 from .registry import ALTERNATIVES_SQL, R4, SALES_SQL, alternatives, query, r4, sales, table
 
 ACC, PLN = clean.ACCENTED, clean.PLAIN
@@ -113,6 +113,23 @@ def p9(spark, d):
     return _names(spark, d).select("p_partkey", F.lower(F.trim(F.replace(body, F.lit("COLONIA"), F.lit("COL")))).alias("subdivision"))
 
 
+# Names of every form that the rules know, on the parts.
+_FORMS = ("FRACC VILLA ", "FRACCTO ", "FRACCIONAMIENTO VILLANOVA ", "SECTOR PORTICOS DEL VALLE ", "COLONIA BALBUENA DE MEXICALI BC DENTRO DE LA ", "LA RIOJA CASTILLAUNA ", "GRAN FORESTA", "FRACTO FORESTA LIFE")
+_FORMS_SQL = "(SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{w}'" + (" || upper(p_name)" if i < 6 else "") for i, w in enumerate(_FORMS)) + " END AS f FROM part)"
+_VALLE_SQL = "(SELECT p_partkey, regexp_replace(regexp_replace(f, '^FRACCIONAMIENTO VILLANOVA.*', 'VILLANOVA'), '.*PORTICOS DEL VALLE.*', 'PORTICOS DEL VALLE') AS f FROM " + _FORMS_SQL + ")"
+_LABEL_SQL = "(SELECT p_partkey, CASE WHEN starts_with(f, 'FRAC') THEN trim(replace(replace(replace(replace(f, 'FRACCIONAMIENTO', ''), 'FRACCTO', ''), 'FRACTO', ''), 'FRACC', '')) ELSE f END AS f FROM " + _VALLE_SQL + ")"
+_PLACE_SQL = "(SELECT p_partkey, lower(trim(CASE WHEN starts_with(f, 'COLONIA BALBUENA') THEN replace(f, 'DE MEXICALI BC DENTRO DE LA', '') WHEN starts_with(f, 'LA RIOJA') THEN replace(f, 'CASTILLAUNA', 'CASTILLA') ELSE f END)) AS f FROM " + _LABEL_SQL + ")"
+
+
+@query("p9_rule_table", f"SELECT p_partkey, CASE WHEN f IN ('gran foresta', 'foresta life') THEN 'foresta residencial' ELSE f END AS subdivision FROM {_PLACE_SQL}")
+def p9_rules(spark, d):
+    k, form = F.col("p_partkey") % 8, None
+    for i, words in enumerate(_FORMS):
+        name = F.concat(F.lit(words), F.upper("p_name")) if i < 6 else F.lit(words)
+        form = F.when(k == i, name) if form is None else form.when(k == i, name)
+    return names.subdivisions(table(spark, d, "part").select("p_partkey", form.alias("subdivision")), "subdivision")
+
+
 @query("p10_section", f"SELECT p_partkey, CASE WHEN starts_with(f, 'COLONIA') THEN replace(f, 'COLONIA ', '') WHEN starts_with(f, 'FRACTO') THEN replace(f, 'FRACTO PORTICOS', 'PORTICOS') END AS section FROM {_NAME_SQL}")
 def p10(spark, d):
     return _names(spark, d).select("p_partkey", clean.section_of(F.col("f"), [("COLONIA", {"COLONIA ": ""}), ("FRACTO", {"FRACTO PORTICOS": "PORTICOS"})]).alias("section"))
@@ -252,6 +269,21 @@ def p31(spark, d):
     return results.select("event_id", "event_type", "result.*").where("k is not null")
 
 
+_LINES_SQL = "SELECT o_orderkey AS body_id, o_orderstatus AS head_status, o_orderpriority AS priority, l_linenumber AS number, l_partkey AS part_id, t.kind AS kind, t.v AS value, l_linestatus AS lines_status FROM orders JOIN lineitem ON o_orderkey = l_orderkey CROSS JOIN LATERAL (VALUES ('discount', l_discount), ('tax', l_tax)) t(kind, v)"
+
+
+@query("p31_flatten_by_schema", _LINES_SQL)
+def p31_schema(spark, d):
+    c = F.col
+    rates = F.array(*[F.struct(F.lit(k).alias("kind"), c(f"l_{k}").alias("value")) for k in ("discount", "tax")])
+    line = F.struct(c("l_linenumber").alias("number"), F.struct(c("l_partkey").alias("id")).alias("part"), c("l_linestatus").alias("status"), rates.alias("rates"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))  # the lines of one order
+    head = F.struct(c("o_orderstatus").alias("status"), c("o_orderpriority").alias("priority")).alias("head")
+    texts = table(spark, d, "orders").join(lines, c("o_orderkey") == c("l_orderkey")).select(F.to_json(F.struct(c("o_orderkey").alias("id"), head, "lines")).alias("body"))
+    schema = "id long, head struct<status string, priority string>, lines array<struct<number long, part struct<id long>, status string, rates array<struct<kind string, value double>>>>"
+    return nested.flatten(texts.select(F.from_json("body", schema).alias("body")))
+
+
 @query("p32_string_scalars", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, replace(trim(' ' || p_brand || ' '), '#', '-') AS b, starts_with(p_name, 'p') AS s, p_brand LIKE '%1%' AS k, concat(p_brand, '/', p_type) AS c FROM part")
 def p32(spark, d):
     c = F.col

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import exposure, geometry, grid, overlay
+from ..operators import exposure, geometry, grid, names, overlay
 from .registry import R4, query, r4, table
 from .spatial import COARSE, GRID, MESH_SQL, PIXELS_SQL, POINTS_SQL, _ROOT_SQL, coarse_clusters, mesh, points
 
@@ -121,6 +121,25 @@ def p29_polygons(spark, d):
     return names.join(geometry.measures(outline).select("id", "area"), "id").join(perimeter, "id")
 
 
+# The tiles under names of the older registry; tiles of one name become one plot.
+_OLD_NAMES = (("FRACC. BALBUENA", None), ("Balbuena Condominios", None), ("La Condesa", "La Condesa Seccio0n Norte"), ("valle de puebla", "Valle de Puebla Quinta Etapa"), ("Fraccionamiento Corceles", None), ("La Condesa Seccion Fontalba", None))
+_NEW_NAMES = ("colonia balbuena", "colonia balbuena", "privadas condesa (norte)", "valle de puebla 5ta secc.", "corceles residencial", "fontalba residencial")
+_NAMED_SQL = "(SELECT i, j, CASE (k // 2) % 6 " + " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(_NEW_NAMES)) + f" END AS name FROM {_TILES_SQL})"
+
+
+@query("p25_harmonized_plots", f"SELECT a.name, CAST(count(*) * 1000000 AS DOUBLE) AS area, CAST(sum(4 - (SELECT count(*) FROM {_NAMED_SQL} b WHERE b.name = a.name AND abs(a.i - b.i) + abs(a.j - b.j) = 1)) * 1000 AS DOUBLE) AS perimeter FROM {_NAMED_SQL} a GROUP BY 1")
+def p25_plots(spark, d):
+    k, name, section = F.col("s_suppkey"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (old, part) in enumerate(_OLD_NAMES):
+        here = F.floor(k / 2) % 6 == n
+        name, section = F.when(here, F.lit(old)).otherwise(name), F.when(here, F.lit(part)).otherwise(section)
+    tiles = table(spark, d, "supplier").select(name.alias("name"), section.alias("section"), (k % 20 * 1000).cast("double").alias("x0"), (F.floor(k / 20) * 1000).cast("double").alias("y0"))
+    named = names.older_names(tiles, "name", "section").withColumns({"x1": F.col("x0") + 1000, "y1": F.col("y0") + 1000})
+    outline = overlay.dissolve(geometry.box_segments(named.select("name", "x0", "y0", "x1", "y1"), "name"), key="name")
+    perimeter = outline.groupBy("name").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("perimeter"))
+    return geometry.measures(outline, "name").select("name", "area").join(perimeter, "name")
+
+
 # Distances are from the plots of the suppliers that are made of boxes.
 _ZONE_PARTS_SQL = _parts_sql(_plots_sql("s_suppkey", "supplier"))
 _GAP = "sqrt(power(greatest({u} - z.x1, z.x0 - {u} - {w}, 0), 2) + power(greatest({v} - z.y1, z.y0 - {v} - {w}, 0), 2))"
