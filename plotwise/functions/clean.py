@@ -63,6 +63,23 @@ ATTRACTION = {
     "Educación superior": ("num_workers * 40", 3000, 0.15),
 }
 
+# Whom an amenity of each type serves, as an expression over the columns of a census.
+SERVED = {
+    "Hospital general": "POBTOT",
+    "Consultorios médicos": "POBTOT",
+    "Farmacia": "POBTOT",
+    "Parques recreativos": "POBTOT",
+    "Clubs deportivos y de acondicionamiento físico": "P_12A14 + POB15_64",
+    "Cine": "POBTOT",
+    "Otros servicios recreativos": "P_12A14 + POB15_64",
+    "Guarderia": "P_0A2 + P_3A5",
+    "Educación preescolar": "P_3A5",
+    "Educación primaria": "P_6A11",
+    "Educación secundaria": "P_12A14",
+    "Educación media superior": "P_15A17",
+    "Educación superior": "P_18A24",
+}
+
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 

@@ -92,7 +92,8 @@ def _settle(graph: dict, known: dict, arrived: list, radius: float) -> tuple[dic
 def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None, blocks: DataFrame | None = None, per_task: int = 8192) -> DataFrame:
     """(origin, node, cost): least cost from each origin to every node it reaches, within ``radius`` if given.
 
-    ``starts``: origin, node. The network is dealt over ``blocks`` (node,
+    ``starts``: origin, node, and, if origins have reaches of their own, limit
+    (the largest counts, null is none). The network is dealt over ``blocks`` (node,
     block; by default ranges of ids, :func:`grown_blocks` where ids say nothing
     of the place). In a round, each block that something has reached searches
     to the end within itself, and only the costs at nodes of other blocks go
@@ -115,11 +116,11 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
         raise ValueError("negative weights")
     limit = math.inf if radius is None else float(radius)
     kinds = dict(starts.dtypes) | {"block": dict(blocks.dtypes)["block"]}
-    labels = f"origin {kinds['origin']}, node {kinds['node']}, cost double, block {kinds['block']}"
+    labels = f"origin {kinds['origin']}, node {kinds['node']}, cost double, block {kinds['block']}, limit double"
 
     def search(key: tuple, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         """Costs that improved, with their block, and those at nodes of other blocks, without one."""
-        out = {"origin": [], "node": [], "cost": [], "block": []}
+        out = {"origin": [], "node": [], "cost": [], "block": [], "limit": []}
         fresh = rows.fresh.to_numpy()
         if not fresh.any():
             return pd.DataFrame(out, dtype=object)
@@ -128,43 +129,48 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
             near.setdefault(node, []).append((to, inside, w))
         known: dict = {}
         arrived: dict = {}
-        for origin, node, cost, new in zip(rows.origin.tolist(), rows.node.tolist(), rows.cost.tolist(), fresh.tolist(), strict=True):
+        limits: dict = {}
+        for origin, node, cost, new, reach in zip(rows.origin.tolist(), rows.node.tolist(), rows.cost.tolist(), fresh.tolist(), rows.limit.tolist(), strict=True):
             if new:
+                limits[origin] = reach
                 arrived.setdefault(origin, []).append((cost, node))
             else:
                 mine = known.setdefault(origin, {})
                 mine[node] = min(cost, mine.get(node, math.inf))
         for origin, came in arrived.items():
-            better, further = _settle(near, known.get(origin, {}), came, limit)
+            better, further = _settle(near, known.get(origin, {}), came, limits[origin])
             for found, block in ((better, key[0]), (further, None)):
-                out["origin"].extend([origin] * len(found)), out["node"].extend(found), out["cost"].extend(found.values()), out["block"].extend([block] * len(found))
+                out["origin"].extend([origin] * len(found)), out["node"].extend(found), out["cost"].extend(found.values()), out["block"].extend([block] * len(found)), out["limit"].extend([limits[origin]] * len(found))
         return pd.DataFrame(out, dtype=object)
 
     # Each round is a table of its own in the shared folder, so that no plan grows with the rounds.
     spark = edges.sparkSession
     folder = f"{spark.sparkContext.getCheckpointDir()}/times-{uuid.uuid4().hex}"
     at_block = blocks.select("node", "block")
-    first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().withColumn("cost", F.lit(0.0))
+    own = F.coalesce(F.col("limit").cast("double"), F.lit(math.inf)) if "limit" in starts.columns else F.lit(math.inf)
+    # The reach of an origin is that of all its starts.
+    reaches = starts.groupBy("origin").agg(F.least(F.max(own), F.lit(limit)).alias("limit"))
+    first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().join(reaches, "origin").withColumn("cost", F.lit(0.0))
     first.write.parquet(f"{folder}/0")
     fresh = spark.read.parquet(f"{folder}/0").join(at_block, "node")
     rounds: list[str] = []
     for done in itertools.count(1):
-        fresh.select("origin", "node", "cost", "block").write.parquet(f"{folder}/to-{done}")
+        fresh.select("origin", "node", "cost", "block", "limit").write.parquet(f"{folder}/to-{done}")
         came = spark.read.parquet(f"{folder}/to-{done}")
         # How many tasks share the origins of a block; blocks that nothing came to are not in it.
         shares = came.groupBy("block").agg(F.ceil(F.count("*") / per_task).alias("share"))
         deal = F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal")
-        rows = came.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(True).alias("fresh"))
+        rows = came.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(True).alias("fresh"), "limit")
         if rounds:
             known = spark.read.parquet(*rounds).where("block is not null")
-            rows = rows.union(known.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(False).alias("fresh")))
+            rows = rows.union(known.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(False).alias("fresh"), "limit"))
         copies = steps.join(shares, "block").select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("copy"), "node", "to", "inside", "w")
         copies.groupBy("at", "copy").cogroup(rows.groupBy("block", "deal")).applyInPandas(search, labels).write.parquet(f"{folder}/{done}")
         rounds.append(f"{folder}/{done}")
-        further = spark.read.parquet(rounds[-1]).where("block is null").groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+        further = spark.read.parquet(rounds[-1]).where("block is null").groupBy("origin", "node").agg(F.min("cost").alias("cost"), F.max("limit").alias("limit"))
         if further.isEmpty():
             # Starts off the network reach themselves only.
-            whole = spark.read.parquet(*rounds).where("block is not null").select("origin", "node", "cost").union(spark.read.parquet(f"{folder}/0"))
+            whole = spark.read.parquet(*rounds).where("block is not null").select("origin", "node", "cost").union(spark.read.parquet(f"{folder}/0").select("origin", "node", "cost"))
             return whole.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
         if done == max_rounds:
             raise RuntimeError(f"costs still improve after {max_rounds} rounds")
