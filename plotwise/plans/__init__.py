@@ -1,4 +1,4 @@
-from . import analytics, cleaning, polygons, scenarios, spatial  # noqa: F401  they register their queries
+from . import access, analytics, cleaning, polygons, scenarios, spatial  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
