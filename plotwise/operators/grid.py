@@ -76,10 +76,14 @@ def queen_edges(grid: Grid, spark) -> DataFrame:
 
 
 def _lags(cells: DataFrame, edges: DataFrame, value: str) -> DataFrame:
-    """cells with the weighted (lag) and plain (around, n_around) sums of the neighbours' values."""
-    seen = edges.join(cells.select("sector", F.col("cell").alias("dst"), F.col(value).alias("__v")), "dst")
+    """cells with the weighted (lag) and plain (around, n_around) sums of the neighbours' values.
+
+    Cells may be permuted ones, of which there are far more than Spark guesses
+    from before they were exploded; so no join here may broadcast a side.
+    """
+    seen = edges.hint("merge").join(cells.select("sector", F.col("cell").alias("dst"), F.col(value).alias("__v")), "dst")
     sums = seen.groupBy("sector", F.col("src").alias("cell")).agg(F.sum(F.col("weight") * F.col("__v")).alias("lag"), F.sum("__v").alias("around"), F.count("*").alias("n_around"))
-    return cells.join(sums, ["sector", "cell"], "left").fillna({"lag": 0.0, "around": 0.0, "n_around": 0})
+    return cells.join(sums.hint("merge"), ["sector", "cell"], "left").fillna({"lag": 0.0, "around": 0.0, "n_around": 0})
 
 
 def spatial_statistics(cells: DataFrame, edges: DataFrame, value: str = "num_jobs") -> DataFrame:
@@ -124,12 +128,14 @@ def permuted(cells: DataFrame, value: str, permutations: int, seed: int) -> Data
     by = Window.partitionBy("sector", "permutation")
     ranked = runs.withColumns({"to": F.row_number().over(by.orderBy(key, "cell")), "at": F.row_number().over(by.orderBy("cell"))})
     values = ranked.select("sector", "permutation", F.col("to").alias("at"), F.col(value))
-    return ranked.select("sector", "permutation", "at", "cell").join(values, ["sector", "permutation", "at"]).select("sector", "permutation", "cell", value)
+    # Rows are many more than Spark guesses from the cells, so the values mustn't be broadcast.
+    return ranked.select("sector", "permutation", "at", "cell").join(values.hint("merge"), ["sector", "permutation", "at"]).select("sector", "permutation", "cell", value)
 
 
 def moran_p(cells: DataFrame, edges: DataFrame, *, value: str = "num_jobs", permutations: int = 199, seed: int = 42) -> DataFrame:
     """sector, moran_i, p: the share of permutations (and the observation) at least as extreme, on the nearer side."""
-    dealt = permuted(cells, value, permutations, seed).withColumn("sector", F.concat_ws("|", "sector", F.col("permutation").cast("string")))
+    cells = cut(cells.select("sector", "cell", value))
+    dealt = cut(permuted(cells, value, permutations, seed).select(F.concat_ws("|", "sector", F.col("permutation").cast("string")).alias("sector"), "cell", value))
     simulated = global_moran(dealt, edges, value).withColumn("sector", F.regexp_replace("sector", r"\|[0-9]+$", "")).withColumnRenamed("moran_i", "sim")
     observed = global_moran(cells, edges, value).select("sector", "moran_i")
     larger = simulated.join(F.broadcast(observed), "sector").groupBy("sector").agg(F.first("moran_i").alias("moran_i"), F.count_if(F.col("sim") >= F.col("moran_i")).alias("larger"), F.count("*").alias("r"))
