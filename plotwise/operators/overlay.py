@@ -201,28 +201,52 @@ def overlay_areas(left: DataFrame, right: DataFrame, *, cell: float, left_key: s
     return plain.union(exact).groupBy(left_key, right_key).agg(F.sum("area").alias("area")).where(F.col("area") > size * size * 1e-9)
 
 
+def shapes(segs: DataFrame, *, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(segments, members): each polygon that differs from all others once, under the least key, and (key, shape) with that key for every polygon.
+
+    Polygons are the same if all their segments are, in the same order. What
+    depends on the place and form of a polygon alone is the same for all of
+    them, so it is worked out once and handed to the members.
+    """
+    side = F.struct("ring", "seq", *[F.col(v).cast("double").alias(v) for v in ("x1", "y1", "x2", "y2")])
+    whole = segs.groupBy(key).agg(F.sort_array(F.collect_list(side)).alias("__sides"))
+    whole = cut(whole.withColumn("__mark", F.sha2(F.to_json("__sides"), 256)))
+    kinds = cut(whole.groupBy("__mark").agg(F.min(key).alias("shape"), F.first("__sides").alias("__sides")))
+    members = whole.select(key, "__mark").join(kinds.select("__mark", "shape"), "__mark").select(key, "shape")
+    return kinds.select(F.col("shape").alias(key), F.inline("__sides")), members
+
+
 def interpolate(sources: DataFrame, values: DataFrame, targets: DataFrame, *, cell: float, columns: list[str]) -> DataFrame:
-    """(id, columns) of every target polygon: the sources' values (id, columns), each by the share of its area that lies in the target; 0 where none does."""
-    areas = overlay_areas(sources.withColumnRenamed("id", "left_id"), targets.withColumnRenamed("id", "right_id"), cell=cell)
-    whole = measures(sources).select(F.col("id").alias("left_id"), F.col("area").alias("whole"))
-    given = values.select(F.col("id").alias("left_id"), *columns).join(whole, "left_id")
-    sums = areas.join(given, "left_id").groupBy(F.col("right_id").alias("id")).agg(*[F.sum(F.col("area") / F.col("whole") * F.col(c)).alias(c) for c in columns])
-    return targets.select("id").distinct().join(sums, "id", "left").fillna(0.0, columns)
+    """(id, columns) of every target polygon: the sources' values (id, columns), each by the share of its area that lies in the target; 0 where none does.
+
+    Equal polygons are overlaid once, as in all that follows here.
+    """
+    (left, of_left), (right, of_right) = shapes(sources), shapes(targets)
+    areas = overlay_areas(left.withColumnRenamed("id", "left_id"), right.withColumnRenamed("id", "right_id"), cell=cell)
+    whole = measures(left).select(F.col("id").alias("left_id"), F.col("area").alias("whole"))
+    given = values.select("id", *columns).join(of_left, "id").groupBy(F.col("shape").alias("left_id")).agg(*[F.sum(c).alias(c) for c in columns]).join(whole, "left_id")
+    sums = areas.join(given, "left_id").groupBy(F.col("right_id").alias("shape")).agg(*[F.sum(F.col("area") / F.col("whole") * F.col(c)).alias(c) for c in columns])
+    return of_right.join(sums, "shape", "left").fillna(0.0, columns).select("id", *columns)
 
 
 def overlap_shares(zones: DataFrame, others: DataFrame, *, cell: float) -> DataFrame:
     """(id, share): how much of each zone's area the other polygons cover, each by itself; zones that none meets get 0."""
-    areas = overlay_areas(zones.withColumnRenamed("id", "left_id"), others.withColumnRenamed("id", "right_id"), cell=cell)
-    sums = areas.groupBy(F.col("left_id").alias("id")).agg(F.sum("area").alias("covered"))
-    return measures(zones).select("id", F.col("area").alias("whole")).join(sums, "id", "left").select("id", (F.coalesce("covered", F.lit(0.0)) / F.col("whole")).alias("share"))
+    (left, of_left), (right, of_right) = shapes(zones), shapes(others)
+    areas = overlay_areas(left.withColumnRenamed("id", "left_id"), right.withColumnRenamed("id", "right_id"), cell=cell)
+    copies = of_right.groupBy(F.col("shape").alias("right_id")).agg(F.count("*").alias("n"))
+    sums = areas.join(copies, "right_id").groupBy(F.col("left_id").alias("id")).agg(F.sum(F.col("area") * F.col("n")).alias("covered"))
+    shares = measures(left).select("id", F.col("area").alias("whole")).join(sums, "id", "left").select(F.col("id").alias("shape"), (F.coalesce("covered", F.lit(0.0)) / F.col("whole")).alias("share"))
+    return of_left.join(shares, "shape").select("id", "share")
 
 
 def polygon_means(zones: DataFrame, others: DataFrame, values: DataFrame, *, cell: float, columns: list[str]) -> DataFrame:
     """(id, columns): the plain mean of the values (id, columns) of the polygons that a zone has an area in common with; null where there is none."""
-    areas = overlay_areas(zones.withColumnRenamed("id", "left_id"), others.withColumnRenamed("id", "right_id"), cell=cell)
-    met = areas.select(F.col("left_id").alias("id"), F.col("right_id").alias("__other")).join(values.select(F.col("id").alias("__other"), *columns), "__other")
-    means = met.groupBy("id").agg(*[F.avg(c).alias(c) for c in columns])
-    return zones.select("id").distinct().join(means, "id", "left")
+    (left, of_left), (right, of_right) = shapes(zones), shapes(others)
+    areas = overlay_areas(left.withColumnRenamed("id", "left_id"), right.withColumnRenamed("id", "right_id"), cell=cell)
+    known = values.select("id", *columns).join(of_right, "id").groupBy(F.col("shape").alias("right_id")).agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("sum", F.sum), ("n", F.count))])
+    mean = lambda c: F.try_divide(F.sum(f"__sum_{c}").cast("double"), F.sum(f"__n_{c}"))
+    means = areas.join(known, "right_id").groupBy(F.col("left_id").alias("shape")).agg(*[mean(c).alias(c) for c in columns])
+    return of_left.join(means, "shape", "left").select("id", *columns)
 
 
 def oriented(segs: DataFrame, key: str = "id") -> DataFrame:
