@@ -58,12 +58,13 @@ class ActiveChoiceSet:
     n_alternatives: DataFrame
 
 
-def active_choice_set(sales: DataFrame, *, window_days: int = 365, min_available: int = 2, sparse: bool = False) -> ActiveChoiceSet:
+def active_choice_set(sales: DataFrame, *, window_days: int = 365, min_available: int = 2, sparse: bool = False, focal: DataFrame | None = None) -> ActiveChoiceSet:
     """For each sale the other sales of every alternative within the window, and whether it was available.
 
     The focal sale doesn't count for its own alternative. An alternative is
     available with any active sale, or if it was chosen. Sales with fewer than
-    ``min_available`` alternatives are dropped.
+    ``min_available`` alternatives are dropped. ``focal``: the sales whose sets
+    are wanted, if not all; every sale is counted all the same.
     """
     if window_days < 0:
         raise ValueError("window_days must not be negative")
@@ -73,6 +74,7 @@ def active_choice_set(sales: DataFrame, *, window_days: int = 365, min_available
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     roll = rolling_sales(sales, window_days=window_days)
+    sales = sales if focal is None else focal
     obs = sales.where("purchase_date is not null").select("obs_id", F.col("alt_id").alias("chosen_alt"), day_number(F.col("purchase_date")).alias("day"))
     if sparse:  # unavailable rows never enter the likelihood
         roll = roll.where("roll > 0")
@@ -86,6 +88,12 @@ def active_choice_set(sales: DataFrame, *, window_days: int = 365, min_available
     return ActiveChoiceSet(long.join(good, "obs_id", "left_semi"), sales.join(good, "obs_id", "left_semi"), sales.join(good, "obs_id", "left_anti"), sizes)
 
 
+def situations(sales: DataFrame) -> DataFrame:
+    """(obs_id, alt_id, purchase_date, weight): of the sales of an alternative on a day, which choose the same from the same, the least, and how many they are."""
+    day = F.col("purchase_date").cast("date").alias("purchase_date")
+    return sales.where("obs_id is not null").groupBy("alt_id", day).agg(F.min("obs_id").alias("obs_id"), F.count("*").alias("weight")).select("obs_id", "alt_id", "purchase_date", "weight")
+
+
 def availability_summary(choice: ActiveChoiceSet, *, min_available: int = 2) -> DataFrame:
     """One row: n_obs, n_kept, n_dropped, drop_share, and the least, median and most alternatives of the sales kept."""
     n = F.col("n")

@@ -4,6 +4,10 @@ The long choice frame stays in Spark. Each step is one aggregation: per sale
 the shifted softmax sums over its alternatives, then over all sales the
 log-likelihood, its gradient (k numbers) and its information matrix (k x k).
 Only these come to the driver, where the step is solved.
+
+Sales that choose the same from the same are alike to the likelihood. A frame
+may hold one of them with a column that says how many they are (``weight``);
+it counts as so many sales in every sum.
 """
 
 from __future__ import annotations
@@ -63,6 +67,10 @@ def _utility(features: list[str], beta: np.ndarray) -> Column:
     return out
 
 
+def _weight(weight: str | None) -> Column:
+    return (F.col(weight) if weight else F.lit(1)).cast("long").alias("__w")
+
+
 def per_obs(long: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:
     """A row per sale: ll, its score s_<i>, and the covariance of the features under the model h_<i>_<j>. Only available rows count."""
     rows = long.where("available").select("obs_id", "chosen", *features).withColumn("__v", _utility(features, beta))
@@ -88,9 +96,10 @@ def _sums(rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
 
 def _totals(k: int) -> list[Column]:
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    w = F.col("__w")
     return [
-        F.count("*").alias("n"), F.sum("ll").alias("ll"), F.sum(-F.log(F.col("n_available").cast("double"))).alias("null_ll"), *[F.sum(f"s_{i}").alias(f"g_{i}") for i in range(k)],
-        *[F.sum(f"h_{i}_{j}").alias(f"h_{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"b_{i}_{j}") for i, j in pairs],
+        F.sum(w).alias("n"), F.sum(w * F.col("ll")).alias("ll"), F.sum(w * -F.log(F.col("n_available").cast("double"))).alias("null_ll"), *[F.sum(w * F.col(f"s_{i}")).alias(f"g_{i}") for i in range(k)],
+        *[F.sum(w * F.col(f"h_{i}_{j}")).alias(f"h_{i}_{j}") for i, j in pairs], *[F.sum(w * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"b_{i}_{j}") for i, j in pairs],
     ]
 
 
@@ -100,36 +109,37 @@ def _moments(row: dict, k: int) -> dict:
         for j in range(i + 1):
             info[i, j] = info[j, i] = row[f"h_{i}_{j}"] or 0.0
             outer[i, j] = outer[j, i] = row[f"b_{i}_{j}"] or 0.0
-    return {"n": row["n"], "ll": row["ll"] or 0.0, "null_ll": row["null_ll"] or 0.0, "gradient": np.array([row[f"g_{i}"] or 0.0 for i in range(k)]), "information": info, "outer": outer}
+    return {"n": row["n"] or 0, "ll": row["ll"] or 0.0, "null_ll": row["null_ll"] or 0.0, "gradient": np.array([row[f"g_{i}"] or 0.0 for i in range(k)]), "information": info, "outer": outer}
 
 
-def moments(long: DataFrame, features: list[str], beta: np.ndarray) -> dict:
+def moments(long: DataFrame, features: list[str], beta: np.ndarray, weight: str | None = None) -> dict:
     """Log-likelihood, gradient, information and summed outer products of the scores at beta, from one job."""
     k = len(features)
-    return _moments(per_obs(long, features, beta).agg(*_totals(k)).first().asDict(), k)
+    rows = long.where("available").select("obs_id", "chosen", *features, _weight(weight)).withColumn("__v", _utility(features, beta))
+    return _moments(_sums(rows, features, ["obs_id", "__w"]).agg(*_totals(k)).first().asDict(), k)
 
 
-def moments_at(long: DataFrame, features: list[str], betas: list[np.ndarray]) -> list[dict]:
+def moments_at(long: DataFrame, features: list[str], betas: list[np.ndarray], weight: str | None = None) -> list[dict]:
     """The moments at each of several betas, from one job: every row is taken at all of them."""
     k = len(features)
     utilities = F.posexplode(F.array(*[_utility(features, b) for b in betas])).alias("point", "__v")
-    rows = long.where("available").select("obs_id", "chosen", *features, utilities)
-    found = {r["point"]: _moments(r.asDict(), k) for r in _sums(rows, features, ["obs_id", "point"]).groupBy("point").agg(*_totals(k)).collect()}
+    rows = long.where("available").select("obs_id", "chosen", *features, _weight(weight), utilities)
+    found = {r["point"]: _moments(r.asDict(), k) for r in _sums(rows, features, ["obs_id", "__w", "point"]).groupBy("point").agg(*_totals(k)).collect()}
     none = {"n": 0, "ll": 0.0, "null_ll": 0.0, "gradient": np.zeros(k), "information": np.zeros((k, k)), "outer": np.zeros((k, k))}
     return [found.get(i, none) for i in range(len(betas))]
 
 
-def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolerance: float = 1e-8, start: np.ndarray | None = None) -> MnlFit:
+def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolerance: float = 1e-8, start: np.ndarray | None = None, weight: str | None = None) -> MnlFit:
     """Maximise the likelihood from zero by Newton steps, halved while they don't improve it; a singular information matrix ends it as not converged."""
     if len(set(features)) != len(features):
         raise ValueError("duplicate features")
-    missing = [c for c in ("obs_id", "alt_id", "chosen", "available", *features) if c not in long.columns]
+    missing = [c for c in ("obs_id", "alt_id", "chosen", "available", *features, *([weight] if weight else [])) if c not in long.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    long = long.select("obs_id", "chosen", "available", *features).repartition("obs_id").cache()
+    long = long.select("obs_id", "chosen", "available", *features, *([weight] if weight else [])).repartition("obs_id").cache()
     try:
         beta = np.zeros(len(features)) if start is None else np.asarray(start, float)
-        at = moments(long, features, beta)
+        at = moments(long, features, beta, weight)
         first, converged, steps = at["ll"], False, 0
         while steps < max_steps:
             steps += 1
@@ -139,7 +149,7 @@ def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolera
                 converged = not singular
                 break
             for _ in range(12):
-                new = moments(long, features, beta + move)
+                new = moments(long, features, beta + move, weight)
                 if new["ll"] >= at["ll"] - 1e-12 * abs(at["ll"]):
                     beta, at = beta + move, new
                     break
@@ -151,7 +161,7 @@ def fit_mnl(long: DataFrame, features: list[str], *, max_steps: int = 25, tolera
         long.unpersist()
 
 
-def fit_specs(long: DataFrame, specs: dict[str, list[str]], *, max_steps: int = 25, tolerance: float = 1e-8) -> dict[str, MnlFit]:
+def fit_specs(long: DataFrame, specs: dict[str, list[str]], *, max_steps: int = 25, tolerance: float = 1e-8, weight: str | None = None) -> dict[str, MnlFit]:
     """The fit of every spec (name -> features), as :func:`fit_mnl` gives it, with one job for all of them an iteration.
 
     A row is taken once for each spec that isn't done, with that spec's
@@ -160,19 +170,19 @@ def fit_specs(long: DataFrame, specs: dict[str, list[str]], *, max_steps: int =
     shuffled by sale once.
     """
     every = list(dict.fromkeys(f for fs in specs.values() for f in fs))
-    missing = [c for c in ("obs_id", "alt_id", "chosen", "available", *every) if c not in long.columns]
+    missing = [c for c in ("obs_id", "alt_id", "chosen", "available", *every, *([weight] if weight else [])) if c not in long.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     if any(len(set(fs)) != len(fs) for fs in specs.values()):
         raise ValueError("duplicate features")
     width = max(map(len, specs.values()), default=0)
     names = [f"f_{i}" for i in range(width)]
-    long = long.where("available").select("obs_id", "chosen", *every).repartition("obs_id").cache()
+    long = long.where("available").select("obs_id", "chosen", *every, _weight(weight)).repartition("obs_id").cache()
 
     def at_all(betas: dict[str, np.ndarray]) -> dict[str, dict]:
         point = lambda name, b: F.struct(F.lit(name).alias("spec"), _utility(specs[name], b).alias("__v"), *[(F.col(specs[name][i]).cast("double") if i < len(specs[name]) else F.lit(0.0)).alias(names[i]) for i in range(width)])
-        rows = long.select("obs_id", "chosen", F.explode(F.array(*[point(n, b) for n, b in betas.items()])).alias("p")).select("obs_id", "chosen", "p.*")
-        found = {r["spec"]: _moments(r.asDict(), width) for r in _sums(rows, names, ["obs_id", "spec"]).groupBy("spec").agg(*_totals(width)).collect()}
+        rows = long.select("obs_id", "chosen", "__w", F.explode(F.array(*[point(n, b) for n, b in betas.items()])).alias("p")).select("obs_id", "chosen", "__w", "p.*")
+        found = {r["spec"]: _moments(r.asDict(), width) for r in _sums(rows, names, ["obs_id", "__w", "spec"]).groupBy("spec").agg(*_totals(width)).collect()}
         none = {"n": 0, "ll": 0.0, "null_ll": 0.0, "gradient": np.zeros(width), "information": np.zeros((width, width)), "outer": np.zeros((width, width))}
         out = {}
         for n in betas:
@@ -214,7 +224,7 @@ def fit_specs(long: DataFrame, specs: dict[str, list[str]], *, max_steps: int =
         long.unpersist()
 
 
-def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4, at: np.ndarray | None = None) -> dict[str, float]:
+def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4, at: np.ndarray | None = None, weight: str | None = None) -> dict[str, float]:
     """Largest differences between the analytic gradient and information and central differences, from one job however many parameters.
 
     They are taken at ``at``, by default at the fit. The relative ones are
@@ -223,7 +233,7 @@ def check_derivatives(long: DataFrame, fit: MnlFit, step: float = 1e-4, at: np.n
     beta = fit.beta if at is None else np.asarray(at, float)
     k = len(fit.features)
     moves = np.eye(k) * step
-    here, *moved = moments_at(long, fit.features, [beta, *(beta + m for m in moves), *(beta - m for m in moves)])
+    here, *moved = moments_at(long, fit.features, [beta, *(beta + m for m in moves), *(beta - m for m in moves)], weight)
     up, down = moved[:k], moved[k:]
     gradient = np.array([(u["ll"] - d["ll"]) / (2 * step) for u, d in zip(up, down, strict=True)])
     hessian = np.array([-(u["gradient"] - d["gradient"]) / (2 * step) for u, d in zip(up, down, strict=True)])
@@ -241,11 +251,11 @@ def choice_probabilities(long: DataFrame, features: list[str], beta: np.ndarray)
     return rows.withColumn("probability", F.col("__e") / F.sum("__e").over(by)).drop("__v", "__e")
 
 
-def choice_shares(long: DataFrame, features: list[str], beta: np.ndarray, alternatives: DataFrame) -> DataFrame:
+def choice_shares(long: DataFrame, features: list[str], beta: np.ndarray, alternatives: DataFrame, weight: str | None = None) -> DataFrame:
     """(alt_id, predicted, observed, error, abs_error) for each alternative: mean probability over all sales beside the share of sales."""
-    p = choice_probabilities(long, features, beta)
-    n = p.select("obs_id").distinct().agg(F.count("*").alias("n"))
-    by_alt = p.groupBy("alt_id").agg(F.sum("probability").alias("p"), F.count_if("chosen").alias("c"))
+    p = choice_probabilities(long.withColumn("__w", _weight(weight)), features, beta)
+    n = p.select("obs_id", "__w").distinct().agg(F.sum("__w").alias("n"))
+    by_alt = p.groupBy("alt_id").agg(F.sum(F.col("probability") * F.col("__w")).alias("p"), F.sum(F.when(F.col("chosen"), F.col("__w"))).alias("c"))
     joined = alternatives.select("alt_id").join(by_alt, "alt_id", "left").join(F.broadcast(n))
     rows = joined.select("alt_id", (F.coalesce("p", F.lit(0.0)) / F.col("n")).alias("predicted"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("observed"))
     return rows.withColumn("error", F.col("predicted") - F.col("observed")).withColumn("abs_error", F.abs("error"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import choice, features, geometry, mnl, specs
-from .analytics import ACTIVE_SQL, FRAME_SQL, KEPT_SQL, model_frame
+from .analytics import ACTIVE_SQL, FRAME_SQL, KEPT_SQL, model_frame, weighted_frame
 from .registry import ALTERNATIVES_SQL, R4, SALES_SQL, alternatives, query, r4, sales, table
 from .spatial import raw_features
 
@@ -59,11 +59,10 @@ def m29(spark, d):
 
 @query("m11_derivative_check")
 def m11(spark, d):
-    frame = model_frame(spark, d).cache()
+    frame = weighted_frame(spark, d)
     # At a point beside the maximum, where no derivative is 0; errors as parts of the largest entry.
-    fit = mnl.fit_mnl(frame, FEATURES)
-    errors = mnl.check_derivatives(frame, fit, at=fit.beta * 0.9)
-    frame.unpersist()
+    fit = mnl.fit_mnl(frame, FEATURES, weight="weight")
+    errors = mnl.check_derivatives(frame, fit, at=fit.beta * 0.9, weight="weight")
     return spark.createDataFrame([(k, v, bool(v < 1e-3)) for k, v in errors.items() if k.endswith("relative")], "check string, value double, passed boolean")
 
 
@@ -71,22 +70,22 @@ def m11(spark, d):
 def m14(spark, d):
     import numpy as np
 
-    frame, alts = model_frame(spark, d), alternatives(spark, d)
-    base = mnl.choice_shares(frame, FEATURES, np.zeros(3), alts)
-    other = mnl.choice_shares(frame, FEATURES, np.array([0.0, 0.0, 1.0]), alts)
+    frame, alts = weighted_frame(spark, d), alternatives(spark, d)
+    base = mnl.choice_shares(frame, FEATURES, np.zeros(3), alts, "weight")
+    other = mnl.choice_shares(frame, FEATURES, np.array([0.0, 0.0, 1.0]), alts, "weight")
     return mnl.residual_change(other, base).orderBy("change", "alt_id").limit(15)
 
 
 @query("m19_finalists")
 def m19(spark, d):
     named = {"baseline": ["log_active_sales"], "balance": ["balance", "log_active_sales"], "suppliers": ["suppliers", "log_active_sales"]}
-    return specs.finalists(specs.screen_specs(model_frame(spark, d), named)[0], top=1)
+    return specs.finalists(specs.screen_specs(weighted_frame(spark, d), named, weight="weight")[0], top=1)
 
 
 @query("m21_continuation_flags")
 def m21(spark, d):
     named = {"baseline": ["log_active_sales"], "balance": ["balance", "log_active_sales"], "suppliers": ["suppliers", "log_active_sales"]}
-    summary, coefficients = specs.screen_specs(model_frame(spark, d), named)
+    summary, coefficients = specs.screen_specs(weighted_frame(spark, d), named, weight="weight")
     own = coefficients.where("feature = spec_id").select("spec_id", "coefficient", "p")
     candidates = summary.join(own, "spec_id").select("spec_id", F.lit("baseline").alias("comparison"), "aic", "coefficient", "p")
     return specs.continuation_flags(candidates, summary)
