@@ -11,7 +11,7 @@ from ..functions.clean import SECTORS
 from .geometry import box_segments, interior_point
 from .graph import cut
 from .grid import Grid, buffered_extent, cell_jobs, hotspot_clusters, hotspots, local_permutation_p, queen_edges, spatial_statistics
-from .overlay import dissolve, distances_to_boxes
+from .overlay import dissolve, shape_distances, shapes
 
 # Fixed values of the sector analysis.
 BUFFER_M, CELL_M, MIN_JOBS, MIN_BUSINESSES, PERMUTATIONS, SEED = 10_000.0, 250.0, 500.0, 2, 199, 42
@@ -47,12 +47,13 @@ def cluster_exposure(zones: DataFrame, boxes: DataFrame, sectors: DataFrame, ban
     centres is that from a point within the zone. Of equally near clusters the
     better ranked counts. Without clusters, distances are null, flags false and
     sums 0. A zone meets every cluster, as the sums are over all of them, but
-    of a cluster's cells only those that may be the nearest.
+    of a cluster's cells only those that may be the nearest. Equal zones are
+    worked out once.
     """
-    segs, boxes = outlines(zones), cut(boxes)
+    (segs, members), boxes = shapes(outlines(zones), key="alt_id"), cut(boxes)
     facts = ["num_jobs", "num_businesses", "area_km2"]
     clusters = boxes.groupBy("sector", "cluster_rank").agg(*[F.first(k).alias(k) for k in (*facts, "cx", "cy")])
-    near_by = distances_to_boxes(segs, boxes, group=["sector", "cluster_rank"], size=size, key="alt_id")
+    near_by = shape_distances(segs, boxes, group=["sector", "cluster_rank"], size=size, key="alt_id")
     centre = F.hypot(F.col("px") - F.col("cx"), F.col("py") - F.col("cy"))
     each = near_by.join(clusters, ["sector", "cluster_rank"]).join(interior_point(segs, "alt_id"), "alt_id", "left").withColumn("c", centre)
     km = F.col("d") / 1000
@@ -62,14 +63,15 @@ def cluster_exposure(zones: DataFrame, boxes: DataFrame, sectors: DataFrame, ban
         near += [F.count_if(inside).alias(f"clusters_within_{s}"), F.sum(F.when(inside, F.col("num_jobs")).otherwise(0.0)).alias(f"jobs_within_{s}"), F.max(F.when(inside, F.col("num_jobs")).otherwise(0.0)).alias(f"largest_within_{s}")]
     near += [F.sum(F.col("num_jobs") / F.pow(km + GRAVITY_KM, F.lit(2))).alias("gravity_inv_sq"), F.sum(F.col("num_jobs") * F.exp(-km / DECAY_KM)).alias("gravity_exp")]
     sums = each.groupBy("alt_id", "sector").agg(*near)
-    full = zones.select("alt_id").distinct().join(sectors.select("sector")).join(sums, ["alt_id", "sector"], "left")
+    full = segs.select("alt_id").distinct().join(sectors.select("sector")).join(sums, ["alt_id", "sector"], "left")
     out = {"nearest_rank": F.col("near.cluster_rank"), "distance_m": F.col("near.d"), "distance_km": F.col("near.d") / 1000, "centroid_distance_m": F.col("near.c"), "centroid_distance_km": F.col("near.c") / 1000}
     out |= {"nearest_jobs": F.col("near.num_jobs"), "nearest_businesses": F.col("near.num_businesses"), "nearest_area_km2": F.col("near.area_km2")}
     out |= {f"within_{m}m" if m else "overlaps": F.coalesce(F.col("near.d") <= m, F.lit(False)) for m in FLAGS_M}
     zero = [c for c in sums.columns if c not in ("alt_id", "sector", "near")]
     out |= {c: F.coalesce(F.col(c), F.lit(0).cast(dict(sums.dtypes)[c])) for c in zero}
     out |= {f"log_{c}": F.log1p(F.coalesce(F.col(c), F.lit(0.0))) for c in (*[f"jobs_within_{band_suffix(b)}" for b in bands], "gravity_inv_sq", "gravity_exp")}
-    return full.select("alt_id", "sector", *[v.alias(k) for k, v in out.items()])
+    each_shape = full.select(F.col("alt_id").alias("shape"), "sector", *[v.alias(k) for k, v in out.items()])
+    return members.join(each_shape, "shape").drop("shape")
 
 
 def wide_exposure(long: DataFrame, prefixes: dict[str, str], columns: list[str]) -> DataFrame:

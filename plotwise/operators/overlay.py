@@ -369,8 +369,15 @@ def distances_to_boxes(segs: DataFrame, boxes: DataFrame, *, group: list[str], s
     8 x 8. From the large blocks on, a polygon keeps those of a group whose
     bounds can hold a box nearer than the nearest known one, and its segments
     by sixteens likewise; only what is left is measured. So of a group's boxes
-    the near ones meet a polygon, not all.
+    the near ones meet a polygon, not all. Equal polygons are measured once.
     """
+    once, members = shapes(segs, key=key)
+    found = shape_distances(once, boxes, group=group, size=size, key=key, cell=cell)
+    return members.join(found.withColumnRenamed(key, "shape"), "shape").select(key, *[f"`{g}`" for g in group], "d")
+
+
+def shape_distances(segs: DataFrame, boxes: DataFrame, *, group: list[str], size: float, key: str = "id", cell: float | None = None) -> DataFrame:
+    """What :func:`distances_to_boxes` returns, for polygons that all differ (see :func:`shapes`)."""
     c = F.col
     names = [f"`{g}`" for g in group]
     bounds = lambda: [F.min("u0").alias("u0"), F.min("v0").alias("v0"), F.max("u1").alias("u1"), F.max("v1").alias("v1"), F.min(F.struct("u0", "v0", "u1", "v1")).alias("one")]
