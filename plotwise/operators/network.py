@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import math
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 from .graph import cut
 from .relate import with_places
 
+#: How many blocks of the network are one of the next level.
+GROUP = 8
+
 
 def travel_times(edges: DataFrame) -> DataFrame:
     """edges (src, dst, length, road_class, speed_kmh) with travel_time in seconds; a missing speed is the mean of its class, else of all."""
@@ -89,83 +91,69 @@ def _settle(graph: dict, known: dict, arrived: list, radius: float) -> tuple[dic
     return better, out
 
 
-def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None, blocks: DataFrame | None = None, per_task: int = 8192) -> DataFrame:
-    """(origin, node, cost): least cost from each origin to every node it reaches, within ``radius`` if given.
+def _search(key: tuple, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block's origins: costs that improved, with their block, and those at nodes of other blocks, without one."""
+    out = {"origin": [], "node": [], "cost": [], "block": [], "limit": []}
+    fresh = rows.fresh.to_numpy()
+    if not fresh.any():
+        return pd.DataFrame(out, dtype=object)
+    near: dict = {}
+    for node, to, inside, w in zip(graph.node.tolist(), graph.to.tolist(), graph.inside.tolist(), graph.w.tolist(), strict=True):
+        near.setdefault(node, []).append((to, inside, w))
+    known: dict = {}
+    arrived: dict = {}
+    limits: dict = {}
+    for origin, node, cost, new, reach in zip(rows.origin.tolist(), rows.node.tolist(), rows.cost.tolist(), fresh.tolist(), rows.limit.tolist(), strict=True):
+        if new:
+            limits[origin] = reach
+            arrived.setdefault(origin, []).append((cost, node))
+        else:
+            mine = known.setdefault(origin, {})
+            mine[node] = min(cost, mine.get(node, math.inf))
+    for origin, came in arrived.items():
+        better, further = _settle(near, known.get(origin, {}), came, limits[origin])
+        for found, block in ((better, key[0]), (further, None)):
+            out["origin"].extend([origin] * len(found)), out["node"].extend(found), out["cost"].extend(found.values()), out["block"].extend([block] * len(found)), out["limit"].extend([limits[origin]] * len(found))
+    return pd.DataFrame(out, dtype=object)
+
+
+def _deal(steps: DataFrame, came: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame]:
+    """(copies of the blocks' steps: at, copy, node, to, ...; shares: block, share): how many tasks share the origins of a block; blocks that nothing came to are in neither."""
+    shares = came.groupBy("block").agg(F.ceil(F.count("*") / per_task).alias("share"))
+    copies = steps.join(shares, "block").withColumnRenamed("block", "at").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1))).drop("share")
+    return copies, shares
+
+
+def _labels(starts: DataFrame, blocks: DataFrame) -> str:
+    kinds = dict(starts.dtypes) | {"block": dict(blocks.dtypes)["block"]}
+    return f"origin {kinds['origin']}, node {kinds['node']}, cost double, block {kinds['block']}, limit double"
 
-    ``starts``: origin, node, and, if origins have reaches of their own, limit
-    (the largest counts, null is none). The network is dealt over ``blocks`` (node,
-    block; by default ranges of ids, :func:`grown_blocks` where ids say nothing
-    of the place). In a round, each block that something has reached searches
-    to the end within itself, and only the costs at nodes of other blocks go
-    on; so there are as many rounds as blocks on the longest of the shortest
-    paths, not hops, and costs of blocks that nothing reached stay where they
-    are. What comes to a block is dealt by origin over tasks of about
-    ``per_task`` costs, each with a copy of the block.
 
-    If ``max_rounds`` is given and there is more to do after it, that is an
-    error, as is a negative weight. Edges with a null end or weight don't
-    count. reverse: costs from nodes to the origins.
-    """
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    plain = edges.select(F.col("src"), F.col("dst"), F.col(weight).cast("double").alias("w")).where("src is not null and dst is not null and w is not null and not isnan(w)")
-    steps = plain.groupBy(F.col(a).alias("node"), F.col(b).alias("to")).agg(F.min("w").alias("w"))
-    blocks = cut(range_blocks(plain) if blocks is None else blocks.select("node", "block"))
-    steps = steps.join(blocks, "node").join(blocks.select(F.col("node").alias("to"), F.col("block").alias("other")), "to")
-    steps = cut(steps.select("block", "node", "to", (F.col("block") == F.col("other")).alias("inside"), "w"))
-    if (steps.agg(F.min("w")).first()[0] or 0.0) < 0:
-        raise ValueError("negative weights")
-    limit = math.inf if radius is None else float(radius)
-    kinds = dict(starts.dtypes) | {"block": dict(blocks.dtypes)["block"]}
-    labels = f"origin {kinds['origin']}, node {kinds['node']}, cost double, block {kinds['block']}, limit double"
-
-    def search(key: tuple, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """Costs that improved, with their block, and those at nodes of other blocks, without one."""
-        out = {"origin": [], "node": [], "cost": [], "block": [], "limit": []}
-        fresh = rows.fresh.to_numpy()
-        if not fresh.any():
-            return pd.DataFrame(out, dtype=object)
-        near: dict = {}
-        for node, to, inside, w in zip(graph.node.tolist(), graph.to.tolist(), graph.inside.tolist(), graph.w.tolist(), strict=True):
-            near.setdefault(node, []).append((to, inside, w))
-        known: dict = {}
-        arrived: dict = {}
-        limits: dict = {}
-        for origin, node, cost, new, reach in zip(rows.origin.tolist(), rows.node.tolist(), rows.cost.tolist(), fresh.tolist(), rows.limit.tolist(), strict=True):
-            if new:
-                limits[origin] = reach
-                arrived.setdefault(origin, []).append((cost, node))
-            else:
-                mine = known.setdefault(origin, {})
-                mine[node] = min(cost, mine.get(node, math.inf))
-        for origin, came in arrived.items():
-            better, further = _settle(near, known.get(origin, {}), came, limits[origin])
-            for found, block in ((better, key[0]), (further, None)):
-                out["origin"].extend([origin] * len(found)), out["node"].extend(found), out["cost"].extend(found.values()), out["block"].extend([block] * len(found)), out["limit"].extend([limits[origin]] * len(found))
-        return pd.DataFrame(out, dtype=object)
+def _scratch(df: DataFrame) -> str:
+    """A folder of its own among the checkpoints, which all executors share."""
+    return f"{df.sparkSession.sparkContext.getCheckpointDir()}/times-{uuid.uuid4().hex}"
+
 
+def _by_rounds(steps: DataFrame, first: DataFrame, blocks: DataFrame, *, per_task: int, max_rounds: int | None = None) -> DataFrame:
+    """Costs by rounds: each block that something has reached searches to the end within itself, and only the costs at nodes of other blocks go on.
+
+    ``steps``: block, node, to, inside, w; ``first``: origin, node, cost, limit.
+    """
     # Each round is a table of its own in the shared folder, so that no plan grows with the rounds.
-    spark = edges.sparkSession
-    folder = f"{spark.sparkContext.getCheckpointDir()}/times-{uuid.uuid4().hex}"
+    spark, folder, labels = steps.sparkSession, _scratch(steps), _labels(first, blocks)
     at_block = blocks.select("node", "block")
-    own = F.coalesce(F.col("limit").cast("double"), F.lit(math.inf)) if "limit" in starts.columns else F.lit(math.inf)
-    # The reach of an origin is that of all its starts.
-    reaches = starts.groupBy("origin").agg(F.least(F.max(own), F.lit(limit)).alias("limit"))
-    first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().join(reaches, "origin").withColumn("cost", F.lit(0.0))
     first.write.parquet(f"{folder}/0")
     fresh = spark.read.parquet(f"{folder}/0").join(at_block, "node")
     rounds: list[str] = []
     for done in itertools.count(1):
         fresh.select("origin", "node", "cost", "block", "limit").write.parquet(f"{folder}/to-{done}")
         came = spark.read.parquet(f"{folder}/to-{done}")
-        # How many tasks share the origins of a block; blocks that nothing came to are not in it.
-        shares = came.groupBy("block").agg(F.ceil(F.count("*") / per_task).alias("share"))
-        deal = F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal")
-        rows = came.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(True).alias("fresh"), "limit")
+        copies, shares = _deal(steps, came, per_task)
+        rows = came.join(shares, "block").select("block", F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal"), "origin", "node", "cost", F.lit(True).alias("fresh"), "limit")
         if rounds:
             known = spark.read.parquet(*rounds).where("block is not null")
-            rows = rows.union(known.join(shares, "block").select("block", deal, "origin", "node", "cost", F.lit(False).alias("fresh"), "limit"))
-        copies = steps.join(shares, "block").select(F.col("block").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("copy"), "node", "to", "inside", "w")
-        copies.groupBy("at", "copy").cogroup(rows.groupBy("block", "deal")).applyInPandas(search, labels).write.parquet(f"{folder}/{done}")
+            rows = rows.union(known.join(shares, "block").select("block", F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal"), "origin", "node", "cost", F.lit(False).alias("fresh"), "limit"))
+        copies.groupBy("at", "copy").cogroup(rows.groupBy("block", "deal")).applyInPandas(_search, labels).write.parquet(f"{folder}/{done}")
         rounds.append(f"{folder}/{done}")
         further = spark.read.parquet(rounds[-1]).where("block is null").groupBy("origin", "node").agg(F.min("cost").alias("cost"), F.max("limit").alias("limit"))
         if further.isEmpty():
@@ -177,6 +165,117 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
         fresh = further.join(at_block, "node")
 
 
+def _between(key: tuple, graph: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """(node, to, w): least costs within a block from those of its kept nodes that are this task's own to all kept ones."""
+    near: dict = {}
+    for node, to, w in zip(graph.node.tolist(), graph.to.tolist(), graph.w.tolist(), strict=True):
+        near.setdefault(node, []).append((to, True, w))
+    wanted = set(kept.node.tolist())
+    out = {"node": [], "to": [], "w": []}
+    for origin in kept.node[kept.own.to_numpy(dtype=bool)].tolist():
+        better, _ = _settle(near, {}, [(0.0, origin)], math.inf)
+        for node in wanted.intersection(better):
+            if node != origin:
+                out["node"].append(origin), out["to"].append(node), out["w"].append(better[node])
+    return pd.DataFrame(out, dtype=object)
+
+
+def _by_levels(steps: DataFrame, first: DataFrame, blocks: DataFrame, *, per_task: int, ranges: bool) -> DataFrame:
+    """The same without a limit, in as many steps as there are levels of blocks.
+
+    Upward, only the nodes at the edge of a block, and the starts, stay, with
+    the least costs between them within the block as steps; :data:`GROUP`
+    blocks are one of the next level, until no step leaves its block. Costs
+    found there are those of the nodes that stayed, and downward each block
+    searches once from these. Where blocks have so many nodes at their edge
+    that a level would not be smaller, that level is searched by rounds.
+    """
+    c = F.col
+    spark, number = steps.sparkSession, dict(first.dtypes)["node"]
+    below: list[tuple[DataFrame, DataFrame]] = []
+    while True:
+        cross = steps.where(~c("inside"))
+        if cross.isEmpty():
+            break
+        ends = cross.select("node", "block").union(cross.select(c("to").alias("node"), "other")).union(first.join(blocks, "node").select("node", "block"))
+        kept = cut(ends.distinct())
+        pairs = kept.groupBy("block").agg(F.count("*").alias("n")).agg(F.sum(c("n") * c("n"))).first()[0]
+        if pairs > steps.count():
+            break
+        inner = steps.where("inside").select("block", "node", "to", "inside", "w")
+        # A task has 32 of the kept nodes to start from, and all of them to reach.
+        shares = kept.groupBy("block").agg(F.ceil(F.count("*") / 32).alias("share"))
+        copy = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), c("share") - 1)).alias(name)
+        mine = kept.join(shares, "block").select("block", "node", copy("part"), "share")
+        mine = mine.select(c("block").alias("of"), "part", c("node").alias("node"), (F.pmod(F.xxhash64("node"), c("share")) == c("part")).alias("own"))
+        graph = inner.join(shares, "block").select(c("block").alias("at"), copy("copy"), c("node").alias("node"), "to", "w")
+        short = graph.groupBy("at", "copy").cogroup(mine.groupBy("of", "part")).applyInPandas(_between, f"node {number}, to {number}, w double")
+        graph = cut(short.union(cross.select("node", "to", "w")).groupBy("node", "to").agg(F.min("w").alias("w")))
+        if ranges:
+            upper = kept.select("node", F.floor(c("block") / GROUP).alias("block"))
+        else:
+            groups = grown_blocks(cross.select(c("block").alias("src"), c("other").alias("dst")), size=GROUP).select(c("node").alias("block"), c("block").alias("group"))
+            upper = kept.join(groups, "block", "left").select("node", F.coalesce("group", "block").alias("block"))
+        below.append((inner, blocks))
+        blocks = cut(upper)
+        steps = _placed(graph, blocks)
+    found = _by_rounds(steps, first, blocks, per_task=per_task)
+    for inner, at in reversed(below):
+        folder = _scratch(steps)
+        found.withColumn("limit", F.lit(math.inf)).write.parquet(folder)
+        rows = spark.read.parquet(folder)
+        came = rows.join(at, "node")
+        copies, shares = _deal(inner, came, per_task)
+        dealt = came.join(shares, "block").select("block", F.pmod(F.xxhash64("origin"), F.col("share")).alias("deal"), "origin", "node", "cost", F.lit(True).alias("fresh"), "limit")
+        inside = copies.groupBy("at", "copy").cogroup(dealt.groupBy("block", "deal")).applyInPandas(_search, _labels(first, at))
+        # Starts off the network are in no block.
+        found = inside.select("origin", "node", "cost").union(rows.join(at, "node", "left_anti").select("origin", "node", "cost"))
+    return found
+
+
+def _placed(steps: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Steps (node, to, w) with the blocks of both ends, and whether they are the same."""
+    both = steps.join(blocks.select("node", "block"), "node").join(blocks.select(F.col("node").alias("to"), F.col("block").alias("other")), "to")
+    return cut(both.select("block", "node", "to", (F.col("block") == F.col("other")).alias("inside"), "w", "other"))
+
+
+def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel_time", radius: float | None = None, reverse: bool = False, max_rounds: int | None = None, blocks: DataFrame | None = None, per_task: int = 8192) -> DataFrame:
+    """(origin, node, cost): least cost from each origin to every node it reaches, within ``radius`` if given.
+
+    ``starts``: origin, node, and, if origins have reaches of their own, limit
+    (the largest counts, null is none). The network is dealt over ``blocks`` (node,
+    block; by default ranges of ids, :func:`grown_blocks` where ids say nothing
+    of the place). In a round, each block that something has reached searches
+    to the end within itself, and only the costs at nodes of other blocks go
+    on; so there are as many rounds as blocks on the longest of the shortest
+    paths, not hops, and costs of blocks that nothing reached stay where they
+    are. What comes to a block is dealt by origin over tasks of about
+    ``per_task`` costs, each with a copy of the block. Without any limit, blocks
+    are joined to larger ones level by level, so that the rounds grow with the
+    logarithm of the number of blocks.
+
+    If ``max_rounds`` is given, the search goes by rounds, and if there is more
+    to do after them, that is an error, as is a negative weight. Edges with a
+    null end or weight don't count. reverse: costs from nodes to the origins.
+    """
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    plain = edges.select(F.col("src"), F.col("dst"), F.col(weight).cast("double").alias("w")).where("src is not null and dst is not null and w is not null and not isnan(w)")
+    steps = plain.groupBy(F.col(a).alias("node"), F.col(b).alias("to")).agg(F.min("w").alias("w"))
+    ranges = blocks is None
+    blocks = cut(range_blocks(plain) if ranges else blocks.select("node", "block"))
+    steps = _placed(steps, blocks)
+    if (steps.agg(F.min("w")).first()[0] or 0.0) < 0:
+        raise ValueError("negative weights")
+    limit = math.inf if radius is None else float(radius)
+    own = F.coalesce(F.col("limit").cast("double"), F.lit(math.inf)) if "limit" in starts.columns else F.lit(math.inf)
+    # The reach of an origin is that of all its starts.
+    reaches = starts.groupBy("origin").agg(F.least(F.max(own), F.lit(limit)).alias("limit"))
+    first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().join(reaches, "origin").withColumn("cost", F.lit(0.0)).select("origin", "node", "limit", "cost")
+    if max_rounds is None and radius is None and "limit" not in starts.columns:
+        return _by_levels(steps, cut(first), blocks, per_task=per_task, ranges=ranges)
+    return _by_rounds(steps.drop("other"), first, blocks, per_task=per_task, max_rounds=max_rounds)
+
+
 def anchor_times(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, *, weight: str = "travel_time") -> DataFrame:
     """(node, anchor, cost) from each listed node to each anchor (anchor, node) along directed edges; null if it can't be reached."""
     found = shortest_times(edges, anchors.select(F.col("anchor").alias("origin"), "node"), weight=weight, reverse=True)
