@@ -7,6 +7,7 @@ import itertools
 import math
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from .relate import with_places
 
 #: How many blocks of the network are one of the next level.
 GROUP = 8
+#: How many costs a search within limits holds at once.
+CELLS = 2_000_000
+#: How many times a block, or the network, what starts may reach can be for a search in one piece.
+WIDE = 8
 
 
 def travel_times(edges: DataFrame) -> DataFrame:
@@ -233,6 +238,70 @@ def _by_levels(steps: DataFrame, first: DataFrame, blocks: DataFrame, *, per_tas
     return found
 
 
+def _reach(_, graph: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """(origin, node, cost): every node within each origin's limit, on the part of the network that the block's origins reach; many origins advance by a step at once."""
+    if rows.empty:
+        return pd.DataFrame({"origin": [], "node": [], "cost": []}, dtype=object)
+    codes, nodes = pd.factorize(pd.concat([rows.node, graph.node, graph.to], ignore_index=True))
+    begin, source, target = np.split(codes, [len(rows), len(rows) + len(graph)])
+    order = np.argsort(source, kind="stable")
+    target, weight = target[order], graph.w.to_numpy(dtype=float)[order]
+    offsets = np.searchsorted(source[order], np.arange(len(nodes) + 1))
+    owner, origins = pd.factorize(rows.origin)
+    limits = np.zeros(len(origins))
+    limits[owner] = rows.limit.to_numpy(dtype=float)
+    found: list = []
+    batch = max(1, CELLS // len(nodes))
+    for low in range(0, len(origins), batch):
+        some = (owner >= low) & (owner < low + batch)
+        best = np.full(min(batch, len(origins) - low) * len(nodes), np.inf)
+        front = np.unique((owner[some] - low) * len(nodes) + begin[some])
+        best[front] = 0.0
+        while len(front):
+            row, at = np.divmod(front, len(nodes))
+            degree = offsets[at + 1] - offsets[at]
+            which = np.repeat(np.arange(len(front)), degree)
+            edge = np.arange(len(which)) + np.repeat(offsets[at] - (np.cumsum(degree) - degree), degree)
+            cost = best[front][which] + weight[edge]
+            place = row[which] * len(nodes) + target[edge]
+            better = (cost <= limits[low + row[which]]) & (cost < best[place])
+            np.minimum.at(best, place[better], cost[better])
+            front = np.unique(place[better])
+        near = np.flatnonzero(best < np.inf)
+        found.append((low + near // len(nodes), near % len(nodes), best[near]))
+    who, where, cost = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    return pd.DataFrame({"origin": origins.take(who), "node": nodes.take(where), "cost": cost})
+
+
+def _within(steps: DataFrame, first: DataFrame, blocks: DataFrame, *, per_task: int) -> DataFrame:
+    """Costs within limits by one search: each block is given the steps that its starts may take, in other blocks too.
+
+    Which these are comes from a search by rounds with a block as one origin,
+    and so with few rows. Where they are many times the network, reaches are
+    wide, and the search goes by rounds as a whole.
+    """
+    c = F.col
+    homes = cut(first.join(blocks, "node").select("block", "origin", "node", "limit"))
+    widest = homes.groupBy("block").agg(F.max("limit").alias("limit"))
+    areas = homes.select("block", "node").distinct().join(widest, "block").select(c("block").alias("origin"), "node", "limit", F.lit(0.0).alias("cost"))
+    near = cut(_by_rounds(steps.drop("other"), areas, blocks, per_task=per_task))
+    size, most = near.groupBy("origin").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    per_block, network = blocks.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if size and (size > WIDE * network or most > WIDE * per_block):
+        return _by_rounds(steps.drop("other"), first, blocks, per_task=per_task)
+    inner = near.select(c("origin").alias("at"), c("node").alias("node"), "cost").join(widest.withColumnRenamed("block", "at"), "at")
+    graph = inner.join(steps.select("node", "to", "w"), "node").where(c("cost") + c("w") <= c("limit")).select(c("at").alias("block"), "node", "to", "w")
+    copies, shares = _deal(graph, homes.select("block"), per_task)
+    rows = homes.join(shares, "block").select(c("block").alias("of"), F.pmod(F.xxhash64("origin"), c("share")).alias("deal"), c("origin").alias("origin"), c("node").alias("node"), "limit")
+    kinds = dict(first.dtypes)
+    reached = copies.groupBy("at", "copy").cogroup(rows.groupBy("of", "deal")).applyInPandas(_reach, f"origin {kinds['origin']}, node {kinds['node']}, cost double")
+    # Starts off the network reach themselves only; an origin with starts in several blocks takes the least of their costs.
+    found = reached.union(first.join(blocks, "node", "left_anti").select("origin", "node", "cost"))
+    if homes.groupBy("origin").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").isEmpty():
+        return found
+    return found.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+
+
 def _placed(steps: DataFrame, blocks: DataFrame) -> DataFrame:
     """Steps (node, to, w) with the blocks of both ends, and whether they are the same."""
     both = steps.join(blocks.select("node", "block"), "node").join(blocks.select(F.col("node").alias("to"), F.col("block").alias("other")), "to")
@@ -252,7 +321,8 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
     are. What comes to a block is dealt by origin over tasks of about
     ``per_task`` costs, each with a copy of the block. Without any limit, blocks
     are joined to larger ones level by level, so that the rounds grow with the
-    logarithm of the number of blocks.
+    logarithm of the number of blocks. Where every origin has a limit, each
+    block searches once, on the part of the network that its starts may reach.
 
     If ``max_rounds`` is given, the search goes by rounds, and if there is more
     to do after them, that is an error, as is a negative weight. Edges with a
@@ -273,6 +343,9 @@ def shortest_times(edges: DataFrame, starts: DataFrame, *, weight: str = "travel
     first = starts.select("origin", "node").where("origin is not null and node is not null").distinct().join(reaches, "origin").withColumn("cost", F.lit(0.0)).select("origin", "node", "limit", "cost")
     if max_rounds is None and radius is None and "limit" not in starts.columns:
         return _by_levels(steps, cut(first), blocks, per_task=per_task, ranges=ranges)
+    first = cut(first)
+    if max_rounds is None and first.agg(F.max("limit")).first()[0] not in (None, math.inf):
+        return _within(steps, first, blocks, per_task=per_task)
     return _by_rounds(steps.drop("other"), first, blocks, per_task=per_task, max_rounds=max_rounds)
 
 
