@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .quantiles import quantiles
 
 CROSSINGS = ("travel_time_crossing_west", "travel_time_crossing_east")
@@ -148,17 +149,23 @@ def prepare_features(df: DataFrame, catalog: DataFrame) -> DataFrame:
     return df.select(*ids, *[v.alias(k) for k, v in out.items()], *built)
 
 
-def scale_audit(df: DataFrame, columns: list[str], *, lower: float = 1.0, upper: float = 10.0) -> DataFrame:
-    """(feature, missing, n_unique, min, p25, median, p75, max, scale_warning); numbers to four places, percentiles exact by selection."""
+def scale_audit(df: DataFrame, columns: list[str], *, lower: float = 1.0, upper: float = 10.0, weight: str | None = None) -> DataFrame:
+    """(feature, missing, n_unique, min, p25, median, p75, max, scale_warning); numbers to four places, percentiles exact by selection. ``weight``: a column of how many alike rows a row stands for; equal values are then one row."""
     v, size = F.col("value"), F.abs(F.col("value"))
-    values = long_values(df, columns)
+    if weight is None:
+        values, missing = long_values(df, columns), F.count_if(v.isNull())
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("value")) for c in columns]))
+        values = cut(df.where(F.col(weight) > 0).select(each.alias("e"), F.col(weight).cast("long").alias("w")).groupBy("e.feature", "e.value").agg(F.sum("w").alias("w")))
+        missing = F.coalesce(F.sum(F.when(v.isNull(), F.col("w"))), F.lit(0))
     s = values.groupBy("feature").agg(
-        F.count_if(v.isNull()).alias("missing"), F.count_distinct("value").alias("n_unique"), F.min("value").alias("min"), F.max("value").alias("max"),
+        missing.alias("missing"), F.count_distinct("value").alias("n_unique"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.count("value").alias("__n"), F.count_if((v != 0) & (v != 1)).alias("__other"),
     )
     # Percentiles of the values, of their sizes, and of the sizes above zero, in one selection.
     series = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("v")) for k, c in (("value", v), ("size", size), ("some", F.when(size > 0, size)))]))
-    marks = quantiles(values.select("feature", series.alias("s")).select(F.concat_ws(":", "s.k", "feature").alias("key"), F.col("s.v").alias("value")), {"p25": 0.25, "median": 0.5, "p75": 0.75}, by="key")
+    own = [] if weight is None else ["w"]
+    marks = quantiles(values.select("feature", *own, series.alias("s")).select(F.concat_ws(":", "s.k", "feature").alias("key"), F.col("s.v").alias("value"), *own), {"p25": 0.25, "median": 0.5, "p75": 0.75}, by="key", weight="w" if own else None)
     of = lambda k, names: marks.where(F.col("key").startswith(f"{k}:")).select(F.expr(f"substr(key, {len(k) + 2})").alias("feature"), *[F.col(a).alias(b) for a, b in names.items()])
     for part in (of("value", {c: c for c in ("p25", "median", "p75")}), of("size", {"p75": "__a75"}), of("some", {"median": "__mid"})):
         s = s.join(F.broadcast(part), "feature")

@@ -18,7 +18,7 @@ def _positions(p: float) -> tuple[Column, Column, Column]:
     return place, F.floor(place) + 1, F.ceil(place) + 1
 
 
-def quantiles(values: DataFrame, fractions: dict[str, float], *, by: str = "feature", value: str = "value") -> DataFrame:
+def quantiles(values: DataFrame, fractions: dict[str, float], *, by: str = "feature", value: str = "value", weight: str | None = None) -> DataFrame:
     """(by, n, one column for each of ``fractions``): exact percentiles of each group, between ranks as Spark's ``percentile`` has them.
 
     For a bounded number of groups, such as the columns of a table below each
@@ -32,16 +32,21 @@ def quantiles(values: DataFrame, fractions: dict[str, float], *, by: str = "feat
     lies below a bracket and how often each value in it occurs; tasks send
     these counts only. The values within brackets, about half a percent of all,
     are then placed by ranges and their running counts, so ties and hot values
-    are single rows. A rank that is in no bracket, which the sketch's error
+    are single rows. ``weight``: a column of how many times (a whole number, null
+    or below 1 is none) a row stands for its value; each distinct value is then
+    placed, without a sketch. A rank that is in no bracket, which the sketch's error
     rules out, would raise an error rather than give another value.
     """
     bad = [p for p in fractions.values() if not 0 <= p <= 1]
     if bad:
         raise ValueError(f"not fractions: {bad}")
-    rows = values.select(F.col(by).alias("__g"), F.col(value).cast("double").alias("v"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    rows = values.select(F.col(by).alias("__g"), F.col(value).cast("double").alias("v"), times.alias("w"))
+    if weight is not None:
+        rows = rows.groupBy("__g", "v").agg(F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("w"))), F.lit(0)).alias("w")).withColumn("v", F.when(F.col("w") > 0, F.col("v")))
     number = F.when(~F.isnan("v"), F.col("v"))
     cuts = F.expr(f"percentile_approx(number, array({', '.join(f'{k / STEPS}D' for k in range(STEPS + 1))}), {ACCURACY})")
-    sketch = rows.withColumn("number", number).groupBy("__g").agg(F.count("v").alias("n"), F.count("number").alias("numbers"), cuts.alias("cuts"))
+    sketch = rows.withColumn("number", number).groupBy("__g").agg(F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("w"))), F.lit(0)).alias("n"), F.count("number").alias("numbers"), cuts.alias("cuts"))
     # Brackets that reach an end of the sketch are open there, so NaN, which the sketch leaves out, is within those above it.
     at = lambda step, beyond: F.when((step <= 0) | (step >= STEPS), beyond).otherwise(F.get("cuts", step.cast("int")))
     size = F.greatest(F.col("numbers"), F.lit(1))
@@ -49,12 +54,14 @@ def quantiles(values: DataFrame, fractions: dict[str, float], *, by: str = "feat
     for mark, p in enumerate(fractions.values()):
         _, low, high = _positions(p)
         lo, hi = F.least(F.floor((low - 1) / size * STEPS) - 2, F.lit(STEPS - 1)), F.ceil(high / size * STEPS) + 2
+        if weight is not None:  # the sketch knows nothing of weights
+            lo, hi = F.lit(0), F.lit(STEPS)
         brackets.append(F.struct(F.lit(mark).alias("mark"), at(lo, F.lit(float("-inf"))).alias("lo"), at(hi, F.lit(float("nan"))).alias("hi")))
     known = sketch.select(F.col("__g").alias("__h"), "n", F.array(*brackets).alias("brackets"))
     bounds = F.broadcast(values.sparkSession.createDataFrame(known.collect(), known.schema))  # a row per group
 
-    met = rows.where("v is not null").join(bounds, F.col("__g").eqNullSafe(F.col("__h"))).select("__g", "v", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
-    counted = met.groupBy("__g", F.col("b.mark").alias("mark"), F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
+    met = rows.where("v is not null").join(bounds, F.col("__g").eqNullSafe(F.col("__h"))).select("__g", "v", "w", F.explode(F.filter("brackets", lambda b: F.col("v") <= b["hi"])).alias("b"))
+    counted = met.groupBy("__g", F.col("b.mark").alias("mark"), F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v")).agg(F.sum("w").alias("m"))
 
     order = [F.col("__g").asc_nulls_first(), F.col("mark").asc(), F.col("v").asc_nulls_first()]
     ranged = cut(counted.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))

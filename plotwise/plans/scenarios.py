@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import choice, features, geometry, mnl, specs
-from .analytics import ACTIVE_SQL, FRAME_SQL, KEPT_SQL, model_frame, weighted_frame
+from .analytics import ACTIVE_SQL, FRAME_SQL, KEPT_SQL, weighted_frame
 from .registry import ALTERNATIVES_SQL, R4, SALES_SQL, alternatives, query, r4, sales, table
 from .spatial import raw_features
 
@@ -46,7 +46,7 @@ def m28(spark, d):
 
 @query("m27_masked_scale_audit", f"SELECT 'log_active_sales' AS feature, count(*) FILTER (f2 IS NULL) AS missing, count(DISTINCT f2) AS n_unique, {R4('min(f2)')} AS min, {R4('quantile_cont(f2, 0.25)')} AS p25, {R4('quantile_cont(f2, 0.5)')} AS median, {R4('quantile_cont(f2, 0.75)')} AS p75, {R4('max(f2)')} AS max, CASE WHEN quantile_cont(abs(f2), 0.75) > 10 THEN 'too large' WHEN quantile_cont(abs(f2), 0.5) FILTER (f2 <> 0) < 1 THEN 'too small' ELSE 'ok' END AS scale_warning FROM {FRAME_SQL}")
 def m27(spark, d):
-    return features.scale_audit(model_frame(spark, d).where("available"), ["log_active_sales"])
+    return features.scale_audit(weighted_frame(spark, d).where("available"), ["log_active_sales"], weight="weight")
 
 
 @query("m29_older_frame", f"SELECT s.obs_id, a.alt_id, a.balance, s.alt_id = a.alt_id AS chosen FROM {SALES_SQL} s, {ALTERNATIVES_SQL} a WHERE s.alt_id IN (SELECT alt_id FROM {SALES_SQL} GROUP BY alt_id HAVING count(*) >= 10) AND a.alt_id IN (SELECT alt_id FROM {SALES_SQL} GROUP BY alt_id HAVING count(*) >= 10)")
